@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from plumbline.llm.language import op1
+from plumbline.llm.quality_model import op6
 from plumbline.llm.secrets import op10
 from plumbline.llm.sharding import op9
 
 QUERIES = {
+    "op1_language_id": op1,
+    "op6_quality_classifier": op6,
     "op9_sharding": op9,
     "op10_secret_scan": op10,
 }
