@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from plumbline.llm.decontamination import op5
 from plumbline.llm.language import op1
 from plumbline.llm.quality_model import op6
+from plumbline.llm.quality_rules import op4
 from plumbline.llm.secrets import op10
 from plumbline.llm.sharding import op9
 
 QUERIES = {
     "op1_language_id": op1,
+    "op4_quality_rules": op4,
+    "op5_decontamination": op5,
     "op6_quality_classifier": op6,
     "op9_sharding": op9,
     "op10_secret_scan": op10,
