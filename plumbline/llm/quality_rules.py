@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import SPACES, documents, let, materialize, small, words_of
 
 #: Statistic, its transformation's column, and its least standard deviation.
-LEAST_SD = {"_x0": 0.1, "_x1": 0.05, "_x2": 0.1, "_x3": 0.1, "_x4": 1.5}
+LEAST_SD = {"_x0": 0.1, "_x1": 0.04, "_x2": 0.15, "_x3": 0.12, "_x4": 1.5}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 WINDOW = 8
 P = len(LEAST_SD)
