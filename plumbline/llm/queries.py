@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.decontamination import op5
 from plumbline.llm.language import op1
+from plumbline.llm.mixing import op7
 from plumbline.llm.near_dedup import op8
 from plumbline.llm.quality_model import op6
 from plumbline.llm.quality_rules import op4
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_quality_rules": op4,
     "op5_decontamination": op5,
     "op6_quality_classifier": op6,
+    "op7_mixing": op7,
     "op8_near_dedup": op8,
     "op9_sharding": op9,
     "op10_secret_scan": op10,
