@@ -149,3 +149,22 @@ def boundaries(table: pa.Table, keys: list[str]) -> np.ndarray:
         v = table.column(k).to_numpy()
         new |= v[1:] != v[:-1]
     return np.r_[0, np.flatnonzero(new) + 1, n]
+
+
+def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose first column is also in another row, from rows sorted by it; holds one row between batches."""
+    pending, before = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if pending is not None:
+            batch = pa.Table.from_batches([pending, batch]).combine_chunks().to_batches()[0]
+        key = batch.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        hit = np.r_[before, same] | np.r_[same, False]
+        n = batch.num_rows - 1
+        pending, before = batch.slice(n), bool(hit[n])
+        if hit[:n].any():
+            yield batch.slice(0, n).filter(pa.array(hit[:n]))
+    if pending is not None and before:
+        yield pending

@@ -10,9 +10,13 @@ from plumbline.llm.quality_model import op6
 from plumbline.llm.quality_rules import op4
 from plumbline.llm.secrets import op10
 from plumbline.llm.sharding import op9
+from plumbline.llm.suffix_dedup import op2
+from plumbline.llm.window_dedup import op3
 
 QUERIES = {
     "op1_language_id": op1,
+    "op2_suffix_dedup": op2,
+    "op3_substring_dedup": op3,
     "op4_quality_rules": op4,
     "op5_decontamination": op5,
     "op6_quality_classifier": op6,
