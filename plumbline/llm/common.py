@@ -9,7 +9,9 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,21 +83,50 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def with_row_ids(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(docs with a unique ``_rid`` in the order of ``id_col``, the same frame without other use of ids).
+def with_row_ids(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame, str, str], DataFrame]]:
+    """``docs`` with a unique ``_rid`` in the order of ``id_col``, and ``name(df, rid, out)``, which adds the id of row ``rid``.
 
     Ids are used as they are when all are present and distinct. Otherwise rows are ordered by id
     (nulls last) and text, numbered, and written to the shared folder so that the numbers are stable.
     """
+    kind = docs.schema[id_col].dataType
     c = docs.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("k")).first()
     distinct = c["n"] == c["k"] and docs.groupBy(id_col).count().filter("count > 1").limit(1).count() == 0
     if distinct:
-        out = docs.withColumn("_rid", F.col(id_col).cast("long"))
-    else:
-        ordered = docs.repartitionByRange(n_partitions(docs.sparkSession), F.col(id_col).asc_nulls_last(), F.xxhash64("text"))
-        ordered = ordered.sortWithinPartitions(F.col(id_col).asc_nulls_last(), F.xxhash64("text"))
-        out = materialize(ordered.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    return out, docs
+        return docs.withColumn("_rid", F.col(id_col).cast("long")), lambda df, rid, out: df.withColumn(out, F.col(rid).cast(kind))
+    order = [F.col(id_col).asc_nulls_last(), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(n_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows = materialize(ordered.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+
+    def name(df: DataFrame, rid: str, out: str) -> DataFrame:
+        ids = rows.select(F.col("_rid").alias("_named"), F.col(id_col).alias(out))
+        return df.join(ids, df[rid] == ids["_named"]).drop("_named")
+
+    return rows, name
+
+
+def packed_by_row(rows: DataFrame) -> DataFrame:
+    """(_rid, size, packed): the texts as compressed UTF-8, dealt out by row, for plans that join them more than once.
+
+    Both uses read the same shuffle, which holds well under half of the text's bytes.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            texts = [t.as_buffer() if t.is_valid else b"" for t in batch.column(1)]
+            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), packed], ["_rid", "size", "packed"])
+
+    # the filter states what an inner join would infer, so that all uses have the same plan below the shuffle
+    out = rows.select("_rid", "text").mapInArrow(pack, "_rid long, size long, packed binary").filter(F.col("_rid").isNotNull())
+    return out.repartition(n_partitions(rows.sparkSession), "_rid")
+
+
+def unpacked(sizes: pa.Array, packed: pa.Array) -> Iterator[bytes]:
+    codec = pa.Codec("zstd")
+    for n, b in zip(sizes.to_pylist(), packed):
+        yield codec.decompress(b.as_buffer(), n, asbytes=True) if n else b""
 
 
 def let(value: Column, body) -> Column:

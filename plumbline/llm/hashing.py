@@ -168,3 +168,18 @@ def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch.slice(0, n).filter(pa.array(hit[:n]))
     if pending is not None and before:
         yield pending
+
+
+def merged(rid: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching intervals ``[first, end)`` of each row as one; both bounds grow together within a row."""
+    order = np.lexsort((first, rid))
+    rid, first, end = rid[order], first[order], end[order]
+    if not len(rid):
+        return rid, first, end
+    new = np.r_[True, (rid[1:] != rid[:-1]) | (first[1:] > end[:-1])]
+    return rid[new], first[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(end) - 1]]
+
+
+def spread(rid: np.ndarray) -> np.ndarray:
+    """A sort key for rows that need no company: any partition will do."""
+    return mix(rid.astype(np.int64).view(np.uint64)).view(np.int64)

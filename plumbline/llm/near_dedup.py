@@ -194,11 +194,9 @@ def label_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     are null or repeated, rows are told apart in the order of id and text; the first of a component is
     kept. Other columns are not read; an empty table gives an empty result.
     """
-    rows, _ = with_row_ids(docs.select("doc_id", "text"))
-    out = near_duplicates(rows, **how)
-    ids = rows.select("_rid", "doc_id")
-    named = out.join(ids, "_rid").join(ids.select(F.col("_rid").alias("root"), F.col("doc_id").alias("component_id")), "root")
-    return named.select("doc_id", "n_shingles", "component_id", (F.col("_rid") == F.col("root")).alias("kept"))
+    rows, name = with_row_ids(docs.select("doc_id", "text"))
+    out = name(name(near_duplicates(rows, **how), "_rid", "doc_id"), "root", "component_id")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("_rid") == F.col("root")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:

@@ -20,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, n_partitions, with_row_ids
-from plumbline.llm.hashing import BYTE_VALUES, anchors, byte_groups, prefix, repeated_keys, whole_groups
+from plumbline.llm.common import documents, n_partitions, packed_by_row, unpacked, with_row_ids
+from plumbline.llm.hashing import BYTE_VALUES, anchors, byte_groups, merged, prefix, repeated_keys, spread, whole_groups
 
 WINDOW, GRAM = 100, 24
 _PACK = 128
+RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
 
 
 def byte_anchors(window: int, gram: int):
@@ -48,22 +50,37 @@ def byte_anchors(window: int, gram: int):
 
 
 def strings_at(window: int):
-    """(h, _rid, at, piece): the bytes of all windows that each candidate anchor serves."""
+    """(h, _rid, at, end, piece): the bytes of all windows that each candidate anchor serves.
+
+    Of equal strings in a batch only the earliest is passed on. The windows of the others are later copies
+    by that alone; they come as rows without a piece, merged to stretches from ``at`` to ``end``. So a
+    string that a third of all documents share, or one document repeats, reaches a task a few times only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, found = batch.column(0).to_numpy(), batch.column(1)
             keys, rids, ats, pieces = [], [], [], []
-            for i, t in enumerate(batch.column(2)):
-                b = t.as_buffer().to_pybytes()
+            for i, b in enumerate(unpacked(batch.column(2), batch.column(3))):
                 key, at = found[i].values.field("h").to_numpy(), found[i].values.field("at").to_numpy()
                 first, n = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK
                 pieces += [b[x : x + y] for x, y in zip(first.tolist(), (n + window).tolist())]
                 keys.append(key)
                 rids.append(np.full(len(key), rid[i]))
                 ats.append(at)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, rids, ats)] + [pa.array(pieces, pa.binary())], ["h", "_rid", "at", "piece"])
+            if not keys:
+                continue
+            key, row, at = np.concatenate(keys), np.concatenate(rids), np.concatenate(ats)
+            number: dict[tuple[int, bytes], int] = {}
+            same = np.array([number.setdefault(x, len(number)) for x in zip(key.tolist(), pieces)], dtype=np.int64)
+            order = np.lexsort((at // (_PACK * _PACK), row, same))
+            kept = order[np.r_[True, same[order][1:] != same[order][:-1]]]
+            later = np.ones(len(key), dtype=bool)
+            later[kept] = False
+            first = at // (_PACK * _PACK) - at // _PACK % _PACK
+            r, a, b = merged(row[later], first[later], (first + at % _PACK + window)[later])
+            columns = [np.r_[key[kept], spread(r)], np.r_[row[kept], r], np.r_[at[kept], a], np.r_[np.zeros(len(kept), np.int64), b]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([pieces[k] for k in kept] + [None] * len(r), pa.binary())], ["h", "_rid", "at", "end", "piece"])
 
     return run
 
@@ -91,8 +108,8 @@ def later_windows(group: np.ndarray, start: np.ndarray, length: np.ndarray, flat
     """
     m = len(group)
     symbols = np.zeros((columns, m), dtype=np.uint8)
-    row = np.repeat(np.arange(m), length)
-    symbols[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(len(flat)), row] = flat
+    row = np.repeat(np.arange(m, dtype=np.int32), length)
+    symbols[np.repeat((start - (np.cumsum(length) - length)).astype(np.int32), length) + np.arange(len(flat), dtype=np.int32), row] = flat
     marks = np.zeros((columns - window + 1, m), dtype=bool)
     end = start + length
     by_end = np.argsort(-end, kind="stable")
@@ -136,7 +153,11 @@ def _removed(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["h"]):
-            table = table.combine_chunks()
+            whole = pc.is_valid(table.column("piece"))
+            told = table.filter(pc.invert(whole))
+            if told.num_rows:
+                yield pa.RecordBatch.from_arrays([told.column(c).combine_chunks() for c in ("_rid", "at", "end")], ["_rid", "first", "last"])
+            table = table.filter(whole).combine_chunks()
             h, rid, at = (table.column(c).to_numpy() for c in ("h", "_rid", "at"))
             if len(h) < 2:
                 continue
@@ -155,12 +176,11 @@ def _removed(window: int, gram: int):
     return run
 
 
-def _kept(ids: list[str], with_text: bool):
+def _kept(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, out = batch.column(len(ids) + 1), []
-            for i, t in enumerate(batch.column(len(ids))):
-                b = t.as_buffer().to_pybytes() if t.is_valid else b""
+            marks, out = batch.column(3), []
+            for i, b in enumerate(unpacked(batch.column(1), batch.column(2))):
                 removed = spans = 0
                 kept = b
                 if marks[i].is_valid:
@@ -173,7 +193,7 @@ def _kept(ids: list[str], with_text: bool):
                 out.append((len(b), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             cols = list(zip(*out)) or [[]] * 5
             arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], *arrays], [*ids, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["_rid", *RESULT])
 
     return run
 
@@ -190,17 +210,17 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     if not 0 < window - gram < _PACK:
         raise ValueError("the window may hold up to 127 more bytes than the anchor")
     n = n_partitions(docs.sparkSession)
-    rows, _ = with_row_ids(docs.select("doc_id", "text"))
+    rows, name = with_row_ids(docs.select("doc_id", "text"))
     all_ = rows.select("_rid", "text").mapInArrow(byte_anchors(window, gram), "h long, _rid long, at long")
     shared = all_.repartition(n, "h").sortWithinPartitions("h").mapInArrow(repeated_keys, "h long, _rid long, at long")
     places = shared.groupBy("_rid").agg(F.collect_list(F.struct("h", "at")).alias("found"))
-    by_row = rows.select("_rid", "doc_id", "text").repartition(n, "_rid")
-    pieces = places.join(by_row, "_rid").select("_rid", "found", "text").mapInArrow(strings_at(window), "h long, _rid long, at long, piece binary")
+    by_row = packed_by_row(rows)
+    pieces = places.join(by_row, "_rid").select("_rid", "found", "size", "packed").mapInArrow(strings_at(window), "h long, _rid long, at long, end long, piece binary")
     marks = pieces.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_removed(window, gram), "_rid long, first long, last long")
     marks = marks.groupBy("_rid").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    last = by_row.join(marks, "_rid", "left").select("doc_id", "text", "marks")
-    kind = dict(docs.dtypes)["doc_id"]
-    return last.mapInArrow(_kept(["doc_id"], with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    last = by_row.join(marks, "_rid", "left").select("_rid", "size", "packed", "marks")
+    out = last.mapInArrow(_kept(with_text), "_rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    return name(out, "_rid", "doc_id").select("doc_id", *RESULT)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
