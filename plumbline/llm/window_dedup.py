@@ -18,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, materialize, n_partitions, with_row_ids
-from plumbline.llm.hashing import U, anchors, byte_groups, mix, prefix, repeated_keys, run_hashes, whole_groups, word_hashes
+from plumbline.llm.common import documents, materialize, n_partitions, packed_by_row, unpacked, with_row_ids
+from plumbline.llm.hashing import U, anchors, byte_groups, merged, mix, prefix, repeated_keys, run_hashes, spread, whole_groups, word_hashes
 
 WINDOW, GRAM = 35, 8
 _OTHER = U(0xD6E8FEB86659FD93)
 #: An anchor's place, how many windows lie before it and how many it serves, in one number.
 _PACK = 64
+RESULT = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 
 
 def fingerprints(window: int, gram: int):
@@ -92,29 +94,50 @@ class FingerprintIndex:
 
 
 def windows_of(window: int):
-    """(h, _rid, first, windows): the second hashes of the windows that each candidate anchor serves."""
+    """(h, _rid, first, last, weight, windows): the second hashes of the windows that each candidate anchor serves.
+
+    Of equal stretches in a batch only one is passed on, with weight 2: all its windows are repeated. The
+    others come as rows without windows, merged to ranges of window starts from ``first`` to ``last``. So
+    a stretch that a third of all documents share, or one document repeats, reaches a task a few times only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, found, text = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            rid, found = batch.column(0).to_numpy(), batch.column(1)
             keys, rids, firsts, counts, values = [], [], [], [], []
-            for places, group in byte_groups(text):
-                for i, b in zip(places, group):
-                    h, _, _ = word_hashes(np.frombuffer(b, dtype=np.uint8))
-                    pre = prefix(mix(h ^ _OTHER))
-                    all_ = run_hashes(pre, slice(0, len(h) - window + 1), slice(window, len(h) + 1)).view(np.int64)
-                    mine = found[i].values
-                    key, at = mine.field("h").to_numpy(), mine.field("at").to_numpy()
-                    first, n = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK + 1
-                    keys.append(key)
-                    rids.append(np.full(len(key), rid[i]))
-                    firsts.append(first)
-                    counts.append(n)
-                    values.append(all_[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
-            if keys:
-                ends = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, rids, firsts)] + [lists], ["h", "_rid", "first", "windows"])
+            for i, b in enumerate(unpacked(batch.column(2), batch.column(3))):
+                h, _, _ = word_hashes(np.frombuffer(b, dtype=np.uint8))
+                pre = prefix(mix(h ^ _OTHER))
+                all_ = run_hashes(pre, slice(0, len(h) - window + 1), slice(window, len(h) + 1)).view(np.int64)
+                mine = found[i].values
+                key, at = mine.field("h").to_numpy(), mine.field("at").to_numpy()
+                first, n = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK + 1
+                keys.append(key)
+                rids.append(np.full(len(key), rid[i]))
+                firsts.append(first)
+                counts.append(n)
+                values.append(all_[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
+            if not keys:
+                continue
+            key, row, first, n, value = map(np.concatenate, (keys, rids, firsts, counts, values))
+            ends = np.cumsum(n)
+            # the first and the last window cover the stretch between them, as windows are longer than it
+            seen = mix(mix(value[ends - n].view(np.uint64) ^ key.view(np.uint64)) + value[ends - 1].view(np.uint64) + n.astype(np.uint64))
+            order = np.lexsort((first, row, seen))
+            new = np.r_[True, seen[order][1:] != seen[order][:-1]]
+            kept = order[new]
+            weight = np.where(np.diff(np.r_[np.flatnonzero(new), len(order)]) > 1, 2, 1)
+            other = np.ones(len(key), dtype=bool)
+            other[kept] = False
+            r, a, b = merged(row[other], first[other], (first + n - 1 + window)[other])
+            inside = np.repeat(~other, n)
+            size = np.r_[0, np.cumsum(n[~other]), np.full(len(r), n[~other].sum())].astype(np.int32)
+            place = np.flatnonzero(~other)
+            weights = np.zeros(len(key), dtype=np.int64)
+            weights[kept] = weight
+            lists = pa.ListArray.from_arrays(pa.array(size), pa.array(value[inside]))
+            columns = [np.r_[key[place], spread(r)], np.r_[row[place], r], np.r_[first[place], a], np.r_[first[place], b - window], np.r_[weights[place], np.zeros(len(r), np.int64)]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["h", "_rid", "first", "last", "weight", "windows"])
 
     return run
 
@@ -123,24 +146,27 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_rid, first, last) of runs of window starts whose window is also elsewhere, from rows sorted by anchor."""
     for table in whole_groups(batches, ["h"]):
         table = table.combine_chunks()
+        told = table.filter(pc.equal(table.column("weight"), 0))
+        if told.num_rows:
+            yield pa.RecordBatch.from_arrays([told.column(c).combine_chunks() for c in ("_rid", "first", "last")], ["_rid", "first", "last"])
         lists = table.column("windows").chunk(0)
         n = np.diff(lists.offsets.to_numpy())
         values, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
         start = table.column("first").to_numpy()[row] + np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-        _, place, count = np.unique(values, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero(count[place] > 1)
+        _, place = np.unique(values, return_inverse=True)
+        hit = np.flatnonzero(np.bincount(place, weights=table.column("weight").to_numpy()[row])[place] > 1) if len(values) else []
         if len(hit):
             new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]
             a, b = hit[new], hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
             yield pa.RecordBatch.from_arrays([pa.array(table.column("_rid").to_numpy()[row[a]]), pa.array(start[a]), pa.array(start[b])], ["_rid", "first", "last"])
 
 
-def _kept(window: int, ids: list[str], with_text: bool):
+def _kept(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, out = batch.column(len(ids) + 1), []
-            for i, t in enumerate(batch.column(len(ids))):
-                words = (t.as_buffer().to_pybytes() if t.is_valid else b"").split()
+            marks, out = batch.column(3), []
+            for i, t in enumerate(unpacked(batch.column(1), batch.column(2))):
+                words = t.split()
                 n = len(words)
                 if marks[i].is_valid:
                     cover = np.zeros(n + 1, dtype=np.int32)
@@ -151,7 +177,7 @@ def _kept(window: int, ids: list[str], with_text: bool):
                 out.append((n, n - len(words), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None))
             cols = list(zip(*out)) or [[]] * 4
             arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], *arrays], [*ids, "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["_rid", *RESULT])
 
     return run
 
@@ -167,7 +193,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
     """
     spark = docs.sparkSession
     n = n_partitions(spark)
-    rows, _ = with_row_ids(docs.select("doc_id", "text"))
+    rows, name = with_row_ids(docs.select("doc_id", "text"))
     index = FingerprintIndex(spark, window, gram, fanout)
     candidates = None
     for k in range(batches):
@@ -176,15 +202,15 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
         if k < batches - 1:
             index.compact()
     index.drop()
-    by_row = rows.select("_rid", "doc_id", "text").repartition(n, "_rid")
+    by_row = packed_by_row(rows)
     places = candidates.groupBy("_rid").agg(F.collect_set(F.struct("h", "at")).alias("found"))
-    texts = places.join(by_row, "_rid").select("_rid", "found", "text")
-    windows = texts.mapInArrow(windows_of(window), "h long, _rid long, first long, windows array<long>")
+    texts = places.join(by_row, "_rid").select("_rid", "found", "size", "packed")
+    windows = texts.mapInArrow(windows_of(window), "h long, _rid long, first long, last long, weight long, windows array<long>")
     marks = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_verified, "_rid long, first long, last long")
     marks = marks.groupBy("_rid").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    last = by_row.join(marks, "_rid", "left").select("doc_id", "text", "marks")
-    kind = dict(docs.dtypes)["doc_id"]
-    return last.mapInArrow(_kept(window, ["doc_id"], with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    last = by_row.join(marks, "_rid", "left").select("_rid", "size", "packed", "marks")
+    out = last.mapInArrow(_kept(window, with_text), "_rid long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return name(out, "_rid", "doc_id").select("doc_id", *RESULT)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
