@@ -16,8 +16,8 @@ _STRINGS = F.lit(r'"((?:[^"\\]|\\.)+)"')
 
 
 def clamp(x: Column) -> Column:
-    """Into 0 to 1; NaN becomes 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Into 0 to 1; NaN becomes 1, null stays."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def parse_scores(raw: Column, keys: list[str]) -> dict[str, Column]:

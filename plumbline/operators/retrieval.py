@@ -121,23 +121,47 @@ def rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
 def drop_near_duplicates(candidates: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Candidates (with ``text``) whose word set is not too like that of a better one that stays.
 
-    The greedy order is kept: a fold over the query's ranked list, which the search depth bounds. Word
-    sets are arrays of hashes. A threshold of 1 and more changes nothing.
+    The greedy order is kept. A query's list is bounded by the search depth, so it is one small group:
+    word sets become hashes before they travel, all shared counts come from a product of incidence
+    matrices, and the walk down the list looks up similarities. A threshold of 1 and more changes nothing.
     """
     if threshold >= 1:
         return candidates
     sets = F.array_distinct(F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)))
-    lists = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", sets.alias("words")))).alias("_all"))
+    lists = candidates.select(F.col("query_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("rank").cast("int").alias("rank"), sets.alias("words"))
+    kind = dict(candidates.dtypes)["query_id"]
+
+    def keep(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("rank", "ascending"), ("chunk_id", "ascending")]).combine_chunks()
+        lists = group.column("words").chunk(0)
+        size = np.diff(lists.offsets.to_numpy())
+        shared = _shared_counts(lists.flatten().to_numpy(), size)
+        like = shared > threshold * (size[:, None] + size[None, :] - shared)
+        kept: list[int] = []
+        for i in range(len(size)):
+            if not like[i, kept].any():
+                kept.append(i)
+        return group.select(["query_id", "chunk_id"]).take(pa.array(kept))
+
+    ids = lists.groupBy("query_id").applyInArrow(keep, f"query_id {kind}, chunk_id long")
+    return candidates.join(ids, ["query_id", "chunk_id"], "left_semi")
 
-    def like(a: Column, b: Column) -> Column:
-        shared = F.size(F.array_intersect(a, b))
-        return let(shared, lambda s: (F.size(a) + F.size(b) > 0) & (s / F.greatest(F.size(a) + F.size(b) - s, F.lit(1)) > threshold))
 
-    none = F.array().cast("array<struct<rank:int,chunk_id:bigint,words:array<bigint>>>")
-    cast = F.transform("_all", lambda c: F.struct(c["rank"].cast("int").alias("rank"), c["chunk_id"].cast("long").alias("chunk_id"), c["words"].alias("words")))
-    kept = F.aggregate(cast, none, lambda acc, c: F.when(F.exists(acc, lambda o: like(c["words"], o["words"])), acc).otherwise(F.concat(acc, F.array(c))))
-    ids = lists.select("query_id", F.explode(F.transform(kept, lambda c: c["chunk_id"])).alias("chunk_id"))
-    return candidates.join(ids, ["query_id", "chunk_id"], "left_semi")
+def _shared_counts(values: np.ndarray, size: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many values each two of the sets share."""
+    owner = np.repeat(np.arange(len(size)), size)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    often = count[column] > 1
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    out = np.diag(size).astype(np.float64)
+    for a in range(0, int(column.max()) + 1 if len(column) else 0, width):
+        inside = (column >= a) & (column < a + width)
+        m = np.zeros((len(size), width), dtype=np.float32)
+        m[owner[inside], column[inside] - a] = 1
+        product = (m @ m.T).astype(np.float64)
+        np.fill_diagonal(product, 0)
+        out += product
+    return out
 
 
 def cap_per_document(candidates: DataFrame, most: int | None) -> DataFrame:

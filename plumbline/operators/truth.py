@@ -68,7 +68,7 @@ def balanced_sample(chunks: DataFrame, budget: int = 50, least: int = 2, seed: s
     total = sizes.agg(F.sum("size").alias("_all"), F.sum(F.least(F.col("size"), F.lit(least))).alias("_sure"))
     first = sizes.orderBy("document_id").limit(budget).select("document_id", "size", F.lit(0).alias("part"))
     extra = sizes.filter(F.col("size") > least).orderBy("document_id").limit(budget).select("document_id", "size", F.lit(1).alias("part"))
-    listed = first.union(extra).groupBy(F.lit(0)).agg(F.array_sort(F.collect_list(F.struct("part", "document_id", "size"))).alias("docs"))
+    listed = first.union(extra).agg(F.array_sort(F.collect_list(F.struct("part", "document_id", "size"))).alias("docs"))
 
     def take(acc: Column, d: Column, eligible: Column) -> Column:
         left = d["size"] - least
