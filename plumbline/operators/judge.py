@@ -12,7 +12,7 @@ JUDGED = {
     "faithfulness": "groundedness_score", "relevancy": "relevancy_score", "context_relevancy": "context_relevancy_score", "abstention_quality": "abstention_score",
     "completeness": "completeness_score", "correctness": "correctness_score", "compliance_accuracy": "compliance_accuracy_score", "context_precision": "context_precision_score",
 }
-_STRINGS = F.lit(r'"((?:[^"\\]|\\.)+)"')
+_STRINGS = r'"((?:[^"\\]|\\.)+)"'
 
 
 def clamp(x: Column) -> Column:
@@ -118,7 +118,7 @@ def sub_queries(raw: Column, most: int = 5) -> Column:
     """Sub-questions from a model's answer: a JSON list, a repaired one, or its quoted strings; null if none."""
     text = strip_fence(raw)
     array = lambda t: let(F.from_json(t, "array<string>"), lambda a: F.when(F.size(a) > 0, a))
-    quoted = let(F.regexp_extract_all(text, _STRINGS, F.lit(1)), lambda a: F.when(F.size(a) > 0, a))
+    quoted = let(F.regexp_extract_all(text, F.lit(_STRINGS), F.lit(1)), lambda a: F.when(F.size(a) > 0, a))
     listed = F.coalesce(array(text), array(repair_json(text)), quoted)
     return F.slice(F.filter(listed, lambda q: strip(F.coalesce(q, F.lit(""))) != ""), 1, most)
 
