@@ -90,6 +90,16 @@ def spec_lines(models: DataFrame) -> DataFrame:
     return models.select("id", context.alias("context_shown"), F.coalesce(price, F.lit("--")).alias("price_shown"))
 
 
+def comparison_header(both: DataFrame, n_questions: DataFrame) -> DataFrame:
+    """(run_a, run_b, profile_id, n_questions, indexed_documents) of pairs of runs."""
+    profile = F.coalesce(F.nullif(F.col("a.profile_id"), F.lit("")), F.col("b.profile_id"))
+    return both.join(n_questions, ["run_a", "run_b"], "left").select("run_a", "run_b", profile.alias("profile_id"), F.coalesce("n_questions", F.lit(0)).alias("n_questions"), F.coalesce("a.total_documents", "b.total_documents").alias("indexed_documents"))
+
+
+def valid_questions(questions: DataFrame) -> DataFrame:
+    return questions.filter(F.trim("question") != "")
+
+
 def readiness(runs: DataFrame, documents: DataFrame) -> DataFrame:
     """One row: ``compare`` with two completed runs, ``evaluate`` with a document, else ``setup``."""
     n = runs.agg(F.count_if(F.col("status") == "completed").alias("completed"))

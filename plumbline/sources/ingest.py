@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import embedding_input
 from plumbline.operators.chunking import chunk_sections
 
 MAX_BYTES = 50 * 1024 * 1024
@@ -106,6 +107,25 @@ def embedding_status(chunks: DataFrame) -> DataFrame:
     return per.select("document_id", F.when(F.col("k") == F.col("n"), "embedding_failed").otherwise("ready").alias("status"), F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), told).alias("message"))
 
 
+def embed_missing(chunks: DataFrame, call: Callable[[list[str]], list[list[float] | None]], batch: int = 16) -> DataFrame:
+    """``chunks`` (chunk_id, text, embedding) with embeddings for those without one, in batches of ``batch`` texts.
+
+    ``call`` gets prepared texts and returns a vector or None for each; it is where retries belong. Only
+    rows without an embedding go through Python.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, out = b.column(1).to_pylist(), []
+            for i in range(0, len(texts), batch):
+                out += call(texts[i : i + batch])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], ["chunk_id", "_new"])
+
+    todo = chunks.filter(F.col("embedding").isNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), embedding_input(F.col("text")).alias("text"))
+    made = todo.mapInArrow(run, "chunk_id long, _new array<float>")
+    return chunks.join(made, "chunk_id", "left").withColumn("embedding", F.coalesce(F.col("embedding").cast("array<float>"), "_new")).drop("_new")
+
+
 def needs_embedding(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents with a chunk that has no embedding yet."""
     return documents.join(chunks.filter(F.col("embedding").isNull()).select("document_id"), "document_id", "left_semi")

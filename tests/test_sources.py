@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.plans.evaluation import evaluate, summarize
 from plumbline.plans.models import CallingClient, ReplayClient
 from plumbline.plans.profiles import FINANCE
+from plumbline.plans.synthesis import answer_truth, grounded_truth, synthesize, traced_truth
 from plumbline.sources import ingest
 from plumbline.streaming.ingest import stream_chunks, windowed_scores
 
@@ -95,3 +96,28 @@ def test_stream_chunks_each_file_once(spark, tmp_path):
 def test_windowed_scores(spark):
     df = spark.createDataFrame([("2024-01-01 00:01:00", 1, 0.5), ("2024-01-01 00:02:00", 1, 1.0), ("2024-01-01 00:06:00", 1, 0.0)], "ts string, run_id int, score double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r["n"], r["mean_score"]) for r in windowed_scores(df).collect()) == [(1, 0.0), (2, 0.75)]
+
+
+def test_synthesis_and_truth(spark):
+    rows = [(1, 10, "a.pdf", None, "red foxes run over the long hill", [1.0, 0.0]), (1, 11, "a.pdf", None, "blue birds sing", [0.8, 0.2]), (2, 20, "b.pdf", None, "green trees grow in the wide park", [0.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "document_id long, chunk_id long, document string, page string, text string, embedding array<double>")
+
+    def call(kind, prompts):
+        made = '{"questions": [{"question": "Where?", "expected_answer": "red foxes run"}, {"question": " ", "expected_answer": "x"}, {"question": "What?", "expected_answer": "none of it"}]}'
+        return [{"synthesize": made, "classify": '{"required": ["b.pdf"], "supporting": []}', "concepts": '["foxes"]'}[kind] for _ in prompts]
+
+    client = CallingClient(call)
+    questions, sample = synthesize(chunks, FINANCE, client)
+    assert [(r["question"], r["expected_answer"]) for r in questions.orderBy("question_id").collect()] == [("Where?", "red foxes run"), ("What?", "none of it")]
+    truths = {r["question_id"]: r for r in traced_truth(questions, sample).collect()}
+    assert truths[0]["expected_chunk_refs"] == ["chunk:10"] and truths[1]["required_documents"] == ["a.pdf"] and truths[1]["supporting_chunk_refs"] == ["chunk:20"]
+    asked = spark.createDataFrame([(7, "foxes", [1.0, 0.0])], "question_id long, question string, embedding array<double>")
+    plain, told = (grounded_truth(asked, chunks, FINANCE, c, doc_count=2).first() for c in (None, client))
+    assert plain["required_documents"] == ["a.pdf"] and told["required_documents"] == ["b.pdf"] and told["supporting_documents"] == ["a.pdf"]
+    assert {r["question_id"]: r["required_concepts"] for r in answer_truth(questions, client).collect()} == {0: ["foxes"], 1: ["foxes"]}
+
+
+def test_embed_missing(spark):
+    c = spark.createDataFrame([(1, "a", [9.0]), (2, "bb", None), (3, "", None)], "chunk_id long, text string, embedding array<double>")
+    out = ingest.embed_missing(c, lambda texts: [None if t.endswith(": ") else [float(len(t))] for t in texts])
+    assert {r["chunk_id"]: r["embedding"] for r in out.collect()} == {1: [9.0], 2: [19.0], 3: None}
