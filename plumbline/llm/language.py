@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import crc_bucket, documents
@@ -132,16 +132,23 @@ def train(
     return model
 
 
-def training_sample(docs: DataFrame, per_lang: int, max_docs: int, crop_chars: int, seed: int) -> tuple[list[str], list[str]]:
-    """A bounded sample for the driver: at most ``max_docs`` texts, ``per_lang`` a language, a seeded stretch of
-    ``crop_chars`` characters of each."""
+def training_sample(docs: DataFrame, per_lang: int, max_docs: int, crop_chars: int, seed: int, max_langs: int = 500) -> tuple[list[str], list[str]]:
+    """A bounded sample for the driver: about ``per_lang`` texts of each language and ``max_docs`` in all, a seeded
+    stretch of ``crop_chars`` characters of each; the ``max_langs`` most frequent languages.
+
+    Rows are taken by a hash of their id below a rate that follows from the language's count, so no
+    language's rows have to come together.
+    """
     h = F.xxhash64(F.lit(seed), "doc_id")
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket() != 2))
-    picked = usable.select("doc_id", "lang", h.alias("_h")).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
-    picked = picked.filter(F.col("_n") <= per_lang).orderBy("_n", "_h").limit(max_docs).select("doc_id").distinct()
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_bucket() != 2))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()
+    if not counts:
+        return [], []
+    share = min(1.0, max_docs / sum(min(r["n"], per_lang) for r in counts))
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], share * min(1.0, per_lang / r["n"]))])
+    taken = usable.filter(F.pmod(h, F.lit(1 << 20)) < F.try_element_at(rates, F.col("lang")) * (1 << 20))
     start = F.when(F.length("text") > crop_chars, F.pmod(h, F.greatest(F.length("text") - crop_chars + 1, F.lit(1)))).otherwise(0).cast("int") + 1
-    rows = usable.join(F.broadcast(picked), "doc_id").filter(F.col("text").rlike(r"\p{L}"))
-    got = rows.select("doc_id", "lang", F.col("text").substr(start, F.lit(crop_chars)).alias("text")).limit(2 * max_docs).collect()
+    got = taken.select("doc_id", "lang", F.col("text").substr(start, F.lit(crop_chars)).alias("text")).limit(2 * max_docs).collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     order = np.random.default_rng(seed).permutation(len(got))
     return [got[i]["text"] for i in order], [got[i]["lang"] for i in order]
@@ -159,10 +166,11 @@ def identify_language(docs: DataFrame, per_lang: int = 1200, max_docs: int = 600
     """
     texts, langs = training_sample(docs, per_lang, max_docs, crop_chars, seed)
     model = train(texts, langs, seed=seed)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast object would need this package on the executors
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = LanguageModel(**shared.value)
         for batch in batches:
             texts = [x.as_py() if ok.as_py() and m.langs else None for x, ok in zip(batch.column(2), batch.column(3))]
             best, score = np.full(len(texts), -1), np.zeros(len(texts))
