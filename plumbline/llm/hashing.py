@@ -27,8 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 21, 1 << (n - 1).bit_length())
+    if "up" not in _powers or len(_powers["up"]) < n:
+        size = max(1 << 21, 1 << n.bit_length())
         inverse = U(pow(int(_BASE), -1, 1 << 64))
         for name, b in (("up", _BASE), ("down", inverse)):
             p = np.full(size, b, dtype=np.uint64)
@@ -151,8 +151,30 @@ def boundaries(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.r_[0, np.flatnonzero(new) + 1, n]
 
 
-def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose first column is also in another row, from rows sorted by it; holds one row between batches."""
+ANCHORS = "k long, h long, _rid long, at long"
+
+
+def dealt_anchors(h: list[np.ndarray], rid: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+    """Anchors of a batch as rows (k, h, _rid, at) to be dealt and sorted by ``k``.
+
+    ``k`` is the anchor's hash, but for anchors that occur again in the batch: these are candidates
+    already (``at`` is complemented to say so) and all but one of them go anywhere, so that an anchor that
+    a third of all documents hold does not gather in one partition.
+    """
+    h, rid, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, rid, at))
+    order = np.argsort(h, kind="stable")
+    new = np.r_[True, h[order][1:] != h[order][:-1]][: len(h)]
+    heads = np.flatnonzero(new)
+    many = np.repeat(np.diff(np.r_[heads, len(h)]) > 1, np.diff(np.r_[heads, len(h)]))
+    k, told = h.copy(), at.copy()
+    told[order[many]] = ~at[order[many]]
+    loose = order[many & ~new]
+    k[loose] = spread(rid[loose] * 1_000_003 + at[loose])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, h, rid, told)], ["k", "h", "_rid", "at"])
+
+
+def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, _rid, at) of the anchors that occur more than once, from rows sorted by ``k``; holds one row between batches."""
     pending, before = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -164,10 +186,16 @@ def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         hit = np.r_[before, same] | np.r_[same, False]
         n = batch.num_rows - 1
         pending, before = batch.slice(n), bool(hit[n])
-        if hit[:n].any():
-            yield batch.slice(0, n).filter(pa.array(hit[:n]))
-    if pending is not None and before:
-        yield pending
+        yield _candidates(batch.slice(0, n), hit[:n])
+    if pending is not None:
+        yield _candidates(pending, np.array([before]))
+
+
+def _candidates(batch: pa.RecordBatch, hit: np.ndarray) -> pa.RecordBatch:
+    at = batch.column(3).to_numpy()
+    keep = pa.array(hit | (at < 0))
+    plain = pa.array(np.where(at < 0, ~at, at))
+    return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), plain], ["h", "_rid", "at"]).filter(keep)
 
 
 def merged(rid: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

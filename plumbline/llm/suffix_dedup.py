@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, n_partitions, packed_by_row, unpacked, with_row_ids
-from plumbline.llm.hashing import BYTE_VALUES, anchors, byte_groups, merged, prefix, repeated_keys, spread, whole_groups
+from plumbline.llm.hashing import ANCHORS, BYTE_VALUES, anchors, byte_groups, dealt_anchors, merged, prefix, repeated_anchors, spread, whole_groups
 
 WINDOW, GRAM = 100, 24
 _PACK = 128
@@ -33,18 +33,20 @@ RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
 
 
 def byte_anchors(window: int, gram: int):
-    """(h, _rid, at) of the anchors of every document."""
+    """The anchors of every document, dealt by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column(0).to_numpy()
+            rid, keys, rids, ats = batch.column(0).to_numpy(), [], [], []
             for places, group in byte_groups(batch.column(1)):
                 data = np.frombuffer(b"".join(group), dtype=np.uint8)
                 bounds = np.cumsum([0] + [len(b) for b in group])
                 key, place, a, b = anchors(prefix(BYTE_VALUES[data]), bounds[:-1], bounds[1:], gram, window)
                 doc = np.searchsorted(bounds, place, side="right") - 1
-                at = ((place - bounds[doc]) * _PACK + (place - a)) * _PACK + (b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid[np.array(places)[doc]]), pa.array(at)], ["h", "_rid", "at"])
+                keys.append(key.view(np.int64))
+                rids.append(rid[np.array(places)[doc]])
+                ats.append(((place - bounds[doc]) * _PACK + (place - a)) * _PACK + (b - a))
+            yield dealt_anchors(keys, rids, ats)
 
     return run
 
@@ -211,8 +213,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
         raise ValueError("the window may hold up to 127 more bytes than the anchor")
     n = n_partitions(docs.sparkSession)
     rows, name = with_row_ids(docs.select("doc_id", "text"))
-    all_ = rows.select("_rid", "text").mapInArrow(byte_anchors(window, gram), "h long, _rid long, at long")
-    shared = all_.repartition(n, "h").sortWithinPartitions("h").mapInArrow(repeated_keys, "h long, _rid long, at long")
+    all_ = rows.select("_rid", "text").mapInArrow(byte_anchors(window, gram), ANCHORS)
+    shared = all_.repartition(n, "k").sortWithinPartitions("k").mapInArrow(repeated_anchors, "h long, _rid long, at long")
     places = shared.groupBy("_rid").agg(F.collect_list(F.struct("h", "at")).alias("found"))
     by_row = packed_by_row(rows)
     pieces = places.join(by_row, "_rid").select("_rid", "found", "size", "packed").mapInArrow(strings_at(window), "h long, _rid long, at long, end long, piece binary")

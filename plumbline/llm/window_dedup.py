@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, materialize, n_partitions, packed_by_row, unpacked, with_row_ids
-from plumbline.llm.hashing import U, anchors, byte_groups, merged, mix, prefix, repeated_keys, run_hashes, spread, whole_groups, word_hashes
+from plumbline.llm.hashing import ANCHORS, U, anchors, byte_groups, dealt_anchors, merged, mix, prefix, repeated_anchors, run_hashes, spread, whole_groups, word_hashes
 
 WINDOW, GRAM = 35, 8
 _OTHER = U(0xD6E8FEB86659FD93)
@@ -33,18 +33,20 @@ RESULT = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 
 
 def fingerprints(window: int, gram: int):
-    """(h, _rid, at) of the anchors of every document."""
+    """The anchors of every document, dealt by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column(0).to_numpy()
+            rid, keys, rids, ats = batch.column(0).to_numpy(), [], [], []
             for places, group in byte_groups(batch.column(1)):
                 h, starts, _ = word_hashes(np.frombuffer(b"\n".join(group), dtype=np.uint8))
                 bounds = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in group]))
                 key, place, a, b = anchors(prefix(h), bounds[:-1], bounds[1:], gram, window)
                 doc = np.searchsorted(bounds, place, side="right") - 1
-                at = ((place - bounds[doc]) * _PACK + (place - a)) * _PACK + (b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid[np.array(places)[doc]]), pa.array(at)], ["h", "_rid", "at"])
+                keys.append(key.view(np.int64))
+                rids.append(rid[np.array(places)[doc]])
+                ats.append(((place - bounds[doc]) * _PACK + (place - a)) * _PACK + (b - a))
+            yield dealt_anchors(keys, rids, ats)
 
     return run
 
@@ -61,17 +63,19 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         table = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").saveAsTable(table)
+        rows.repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").sortBy("k").saveAsTable(table)
         return table
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch (_rid, text); the fingerprint rows, old and new, that it shares with itself or with history."""
-        new = self._write(batch.select("_rid", "text").mapInArrow(fingerprints(self.window, self.gram), "h long, _rid long, at long"))
+        new = self._write(batch.select("_rid", "text").mapInArrow(fingerprints(self.window, self.gram), ANCHORS))
         rows = self.spark.table(new)
-        shared = rows.sortWithinPartitions("h").mapInArrow(repeated_keys, "h long, _rid long, at long")
+        shared = rows.sortWithinPartitions("k").mapInArrow(repeated_anchors, "h long, _rid long, at long")
+        plain = ["h", "_rid", F.when(F.col("at") < 0, F.bitwise_not("at")).otherwise(F.col("at")).alias("at")]
         for run in self.runs:
             old = self.spark.table(run)
-            shared = shared.union(old.join(rows.select("h"), "h", "left_semi")).union(rows.join(old.select("h"), "h", "left_semi"))
+            for mine, other in ((old, rows), (rows, old)):
+                shared = shared.union(mine.join(other.select("k"), "k", "left_semi").select(*plain))
         found = materialize(shared, "shared-fingerprints")
         self.runs.append(new)
         return found
