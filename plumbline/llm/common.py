@@ -129,6 +129,12 @@ def unpacked(sizes: pa.Array, packed: pa.Array) -> Iterator[bytes]:
         yield codec.decompress(b.as_buffer(), n, asbytes=True) if n else b""
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` without column names that begin with an underscore, which the operators keep to themselves, and the way back."""
+    names = {c: f"own{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+    return docs.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once: it is bound as a lambda variable of a one-element array."""
     return F.transform(F.array(value), body)[0]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, materialize, n_partitions, with_row_ids
+from plumbline.llm.common import documents, materialize, n_partitions, shielded, with_row_ids
 from plumbline.llm.components import connected_components
 from plumbline.llm.hashing import U, boundaries, byte_groups, mix, whole_groups, word_hashes
 
@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, tables: int = 10, band:
     spark = docs.sparkSession
     n = n_partitions(spark)
     sig = materialize(signatures(docs, tables, band, seed), "signatures")
-    classes = sig.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("_rid").alias("class"))
+    # written out, so that the join below has plain shuffles on both sides and a hot class can be split
+    classes = materialize(sig.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("_rid").alias("class")), "set-classes")
     reps = materialize(sig.join(classes, ["f1", "f2", "n_shingles"], "left").select("_rid", "n_shingles", F.coalesce("class", "_rid").alias("class")), "classes")
 
     first = sig.filter("n_shingles > 0").join(reps.filter("_rid = class").select("_rid"), "_rid", "left_semi")
@@ -201,9 +202,10 @@ def label_near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each component of near-duplicates; columns stay as they are."""
-    rows, _ = with_row_ids(docs)
+    own, back = shielded(docs)
+    rows, _ = with_row_ids(own)
     kept = near_duplicates(rows, **how).filter("_rid = root").select("_rid")
-    return rows.join(kept, "_rid", "left_semi").select(*docs.columns)
+    return back(rows.join(kept, "_rid", "left_semi").select(*own.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
