@@ -6,7 +6,7 @@ the source's multiplier times the relative size. The multipliers solve the conve
 method; documents enter it as counts per source and size, so a step costs little, whatever the corpus.
 
 Rates become whole copies by seeded priorities: from the largest documents down to the smallest, size
-class by size class, the cut between one copy more or less is set so that what the larger ones left
+class by size class, the cut up to which copies are taken is set so that what the larger ones left
 over is made up. All of this works on histograms whose size per source is bounded.
 """
 
@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, documents, materialize, small
+from plumbline.llm.common import WORD, documents, materialize, shielded, small
 
 CAP = 3
 BINS = 1024  # of the priority, for each unit of it
-_LAST = 2 * BINS
+_LAST = 8 * BINS
 
 
 def _key(source: Column | str = "source") -> Column:
@@ -75,17 +75,32 @@ def solve(sizes: DataFrame, per: DataFrame, n_sources: int, tolerance: float = 1
 
 
 def _priced(rows: DataFrame) -> DataFrame:
-    """``rows`` with whole copies ``_base``, the rest ``_rest``, size class and bin of the priority."""
+    """``rows`` with their rate, size class, and the bins of the priorities of their copies.
+
+    Copy ``k`` has priority ``(k - 1 + u) / rate`` with a seeded ``u`` in 0 to 1: at a cut of one, a
+    document takes its rate in the mean; a lower or higher cut scales all rates of the class.
+    """
     rate = F.when(F.col("size") <= 0, 0.0).when(F.col("full"), float(CAP)).otherwise(_rate(F.col("tilt") * F.col("size") / F.col("mean_size")))
-    rows = rows.withColumn("_rate", rate).withColumn("_base", F.floor("_rate")).withColumn("_rest", F.col("_rate") - F.col("_base"))
-    bin_ = F.when(F.col("_rest") > 0, F.least(F.floor(F.col("_u") * BINS / F.col("_rest")), F.lit(_LAST)).cast("int")).otherwise(_LAST + 1)
-    return rows.withColumns({"_class": F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) / 2).cast("int"), "_bin": bin_})
+    rows = rows.withColumn("_rate", rate)
+
+    def bin_(k: int) -> Column:
+        v = (F.col("_u") + (k - 1)) / F.greatest("_rate", F.lit(1e-12))
+        fine, coarse = F.floor(v * BINS), 2 * BINS + F.floor(BINS / 4 * F.log2(F.greatest(v, F.lit(2.0)) / 2))
+        return F.least(F.when(v < 2, fine).otherwise(coarse), F.lit(_LAST)).cast("int")
+
+    bins = F.when(F.col("size") > 0, F.array(*[bin_(k) for k in range(1, CAP + 1)]))
+    return rows.withColumns({"_class": F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) / 2).cast("int"), "_bins": bins})
 
 
 def cuts(priced: DataFrame) -> DataFrame:
-    """(_source, _class, _cut): documents of the class whose bin is at most the cut take one copy more."""
-    bins = priced.filter("_rest > 0").groupBy("_source", "_class", "_bin").agg(F.sum(F.col("size").cast("double")).alias("_words"), F.sum(F.col("size") * F.col("_rest")).alias("_due"))
-    per = bins.groupBy("_source", "_class").agg(F.sum("_due").alias("due"), F.sort_array(F.collect_list(F.struct("_bin", "_words"))).alias("bins"))
+    """(_source, _class, _cut): copies whose bin is at most the cut are taken.
+
+    The cut of a class is where its words come nearest to the sum of its rates and what larger classes
+    have left over.
+    """
+    due = priced.filter("size > 0").groupBy("_source", "_class").agg(F.sum(F.col("size") * F.col("_rate")).alias("due"))
+    bins = priced.select("_source", "_class", "size", F.explode("_bins").alias("_bin")).groupBy("_source", "_class", "_bin").agg(F.sum(F.col("size").cast("double")).alias("_words"))
+    per = bins.groupBy("_source", "_class").agg(F.sort_array(F.collect_list(F.struct("_bin", "_words"))).alias("bins")).join(due, ["_source", "_class"])
     per = per.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct(F.col("_class").alias("class"), "due", "bins")), asc=False).alias("classes"))
 
     def best(goal: Column, bins: Column) -> Column:
@@ -119,6 +134,7 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     result. Columns of ``docs`` named like an output are replaced. No document exceeds 3 copies.
     """
     outputs = ["size", "source_size", "target", "copies"]
+    docs, back = shielded(docs)
     own = [c for c in docs.columns if c not in outputs]
     priority = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12) / F.lit(float(1 << 52))
     rows = docs.select(*own).withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_u": priority})
@@ -129,21 +145,16 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     cut = materialize(cuts(_priced(sizes.withColumn("_source", _key()).join(small(solved, n_sources), "_source"))), "cuts")
     out = _priced(rows.withColumn("_source", _key()).join(small(solved, n_sources), "_source"))
     out = out.join(small(cut, cut.count(), 20_000), ["_source", "_class"], "left")
-    copies = (F.col("_base") + F.when(F.col("_bin") <= F.col("_cut"), 1).otherwise(0)).cast("int")
-    return out.select(*own, "size", "source_size", "target", copies.alias("copies"))
+    copies = F.coalesce(F.size(F.filter("_bins", lambda b: b <= F.col("_cut"))), F.lit(0))
+    return back(out.select(*own, "size", "source_size", "target", copies.alias("copies")))
 
 
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: every document of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    out = mixed(docs, seed).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns) if not {"size", "source_size", "target", "copies"} & set(docs.columns) else _with_own(docs, seed)
-
-
-def _with_own(docs: DataFrame, seed: int) -> DataFrame:
-    """``mix_documents`` for tables that have columns named like the outputs: these travel under other names."""
-    clash = {c: f"_own_{c}" for c in ("size", "source_size", "target", "copies") if c in docs.columns}
-    out = mix_documents(docs.withColumnsRenamed(clash), seed)
-    return out.withColumnsRenamed({v: k for k, v in clash.items()})
+    clash = {c: f"own_{c}" for c in ("size", "source_size", "target", "copies") if c in docs.columns}
+    own, back = shielded(docs.withColumnsRenamed(clash))
+    out = mixed(own, seed).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return back(out.select(*own.columns)).withColumnsRenamed({v: k for k, v in clash.items()})
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACES, documents, let, materialize, small, words_of
+from plumbline.llm.common import SPACES, documents, let, materialize, shielded, small, words_of
 
 #: Statistic, its transformation's column, and its least standard deviation.
 LEAST_SD = {"_x0": 0.1, "_x1": 0.04, "_x2": 0.15, "_x3": 0.12, "_x4": 1.5}
@@ -183,6 +183,7 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, tail: float =
     statistics, and what is carried, is written to the shared folder once.
     """
     outputs = [*BASE, "base_failed", "outlier_distance", "kept"]
+    docs, back = shielded(docs.select(*dict.fromkeys([*(carry or docs.columns), "text", "lang", "source"])) if carry else docs)
     carry = [c for c in (carry or docs.columns) if c not in outputs]
     stats = materialize(text_statistics(docs).withColumns(vector()).select(*carry, *[F.struct("lang", "source").alias("_of")], *BASE, "base_failed", *LEAST_SD), "statistics")
     passed = stats.filter(~F.col("base_failed"))
@@ -194,7 +195,7 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, tail: float =
     model = mcd(grouped(passed), n_groups)
     judged = _distance(grouped(stats).join(small(model, n_groups), "_group", "left"))
     inside = F.coalesce(F.col("_d2") <= chi_square_quantile(1 - tail, P), F.lit(True))
-    return judged.select(*carry, *BASE, "base_failed", F.col("_d2").alias("outlier_distance"), (~F.col("base_failed") & inside).alias("kept"))
+    return back(judged.select(*carry, *BASE, "base_failed", F.col("_d2").alias("outlier_distance"), (~F.col("base_failed") & inside).alias("kept")))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

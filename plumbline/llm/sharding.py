@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, small
+from plumbline.llm.common import documents, shielded, small
 
 OUT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 #: Above this the generator has no exact hypergeometric draw.
@@ -71,6 +71,7 @@ def shard_rows(
     bounds the matrix; beyond them partitions and blocks hold more rows.
     """
     spark = docs.sparkSession
+    docs, back = shielded(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.drop(*OUT).withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text).cast("long")})
     n = docs.count()
@@ -96,7 +97,7 @@ def shard_rows(
     out = out.withColumn("_block", passed(F.col("_block_ends")[F.col("shard")]).cast("int")).drop("_shard_ends", "_block_ends", "_rank")
     out = out.withColumn("_place", rank(["shard", "_block"], ["_final", "_local", "doc_id"])).join(F.broadcast(first), ["shard", "_block"])
     out = out.withColumns({"slot": (F.col("_first") + F.col("_place")).cast("int"), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
-    return out.select(*[c for c in docs.columns if c not in OUT], *OUT)
+    return back(out.select(*[c for c in docs.columns if c not in OUT], *OUT))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
