@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm import oracles
 from plumbline.llm.decontamination import op5
 from plumbline.llm.language import op1
 from plumbline.llm.mixing import op7
@@ -25,4 +26,10 @@ QUERIES = {
     "op9_sharding": op9,
     "op10_secret_scan": op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others draw on trained models, seeded hashes or a vocabulary; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_decontamination": oracles.DECONTAMINATION,
+    "op8_near_dedup": oracles.NEAR_DEDUP,
+}
