@@ -42,3 +42,60 @@ NEAR_DEDUP = f"""with recursive d as (select doc_id, {_WORDS.format(_A_TO_Z.form
  links as (select u, v from pairs union all select v, u from pairs),
  reach as (select doc_id as node, doc_id as root from s union select links.u, reach.root from links join reach on links.v = reach.node)
  select s.doc_id, len(shingles)::bigint as n_shingles, min(root) as component_id, s.doc_id = min(root) as kept from s join reach on s.doc_id = reach.node group by s.doc_id, shingles"""
+
+
+def quality_rules(steps: int = 3, keep: float = 0.75, tail: float = 1e-6, min_rows: int = 50) -> str:
+    """The base statistics and the minimum-covariance-determinant verdict as one chain of table expressions."""
+    from plumbline.llm.quality_rules import LEAST_SD, P, chi_square_cdf, chi_square_quantile
+
+    least = list(LEAST_SD.values())
+    inside, near = chi_square_quantile(keep, P), chi_square_quantile(0.975, P)
+    lower = [(i, j) for i in range(P) for j in range(i + 1)]
+    model = ", ".join([f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in lower])
+
+    def distance(i: int) -> str:
+        return f"(x{i} - m{i}" + "".join(f" - l{i}{j} * y{j}" for j in range(i)) + f") / l{i}{i} as y{i}"
+
+    far = ", ".join(distance(i) for i in range(P)) + ", " + " + ".join(f"y{i} * y{i}" for i in range(P)) + " as d2"
+
+    def factor(i: int, j: int, scale: float) -> str:
+        c = f"(p{i}{j} - a{i} * a{j}) * {scale!r}"
+        if i != j:
+            return f"({c}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j} as l{i}{j}"
+        return f"sqrt(greatest(greatest({c}, {least[i] ** 2!r})" + "".join(f" - l{i}{k} * l{i}{k}" for k in range(i)) + f", {(least[i] / 100) ** 2!r})) as l{i}{i}"
+
+    def at_share(share: float, rows: str, value: str) -> str:
+        """The first bin of each group up to which a share of its rows lies."""
+        return f"""select g, min(bin) as bin from (select g, bin, sum(n) over (partition by g order by bin) as c, sum(n) over (partition by g) as total
+  from (select g, {value} as bin, count(*) as n from {rows} group by all)) where c >= {share} * total group by g"""
+
+    medians = ", ".join(f"med{i} as ({at_share(0.5, 'passed', f'floor(x{i} * 4 / {least[i]!r})')})" for i in range(P))
+    start = ", ".join([f"(med{i}.bin + 0.5e0) * {least[i] / 4!r} as m{i}" for i in range(P)] + [f"{least[i] if i == j else 0.0!r}::double as l{i}{j}" for i, j in lower])
+    chain = [medians, f"model0 as (select med0.g, {start} from med0 " + " ".join(f"join med{i} using (g)" for i in range(1, P)) + ")"]
+    for k in range(steps + 1):
+        last = k == steps
+        scale = 0.975 / chi_square_cdf(near, P + 2) if last else keep / chi_square_cdf(inside, P + 2)
+        chain.append(f"far{k} as (select *, floor(ln(d2 + 1e-6) * 20) as bin from (select *, {far} from passed join model{k} using (g)))")
+        chain.append(f"cut{k} as ({at_share(keep, f'far{k}', 'bin')})")
+        chosen = f"far{k} where d2 <= {near!r}" if last else f"far{k} f join cut{k} c using (g) where f.bin <= c.bin"
+        sums = ", ".join([f"any_value(m{i}) as o{i}, avg(x{i} - m{i}) as a{i}" for i in range(P)] + [f"avg((x{i} - m{i}) * (x{j} - m{j})) as p{i}{j}" for i, j in lower])
+        chain.append(f"sums{k} as (select g, {sums} from {chosen} group by g)")
+        fresh = ", ".join([f"o{i} + a{i} as m{i}" for i in range(P)] + [factor(i, j, scale) for i, j in lower])
+        chain.append(f"fresh{k} as (select g, {fresh} from sums{k})")
+        chain.append(f"model{k + 1} as (select g, {model} from fresh{k} union all select g, {model} from model{k} where g not in (select g from fresh{k}))")
+    return f"""with w as (select *, coalesce(text, '') as t, {_WORDS.format("text")} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
+ eight as (select doc_id, i, array_to_string(w[i + 1 : i + 8], ' ') as b from w, lateral (select unnest(range(0, len(w) - 7)) as i)),
+ again as (select doc_id, i from eight qualify count(*) over (partition by doc_id, b) > 1),
+ cover as (select doc_id, sum(least(8, coalesce(i - p, 8))) as n from (select *, lag(i) over (partition by doc_id order by i) as p from again) group by doc_id),
+ base as (select doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines) as n_lines, coalesce(n, 0)::bigint as n_repeat_words from w left join cover using (doc_id)),
+ vectors as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, ln(greatest(word_chars, 1)::double / greatest(n_words, 1)) as x0, sqrt(n_symbols::double / greatest(word_chars, 1)) as x1,
+  sqrt(n_dup_lines::double / greatest(n_lines, 1)) as x2, sqrt(n_repeat_words::double / greatest(n_words, 1)) as x3, ln(greatest(n_words, 1)::double) as x4, concat(coalesce('=' || lang, '-'), chr(0), coalesce('=' || source, '-')) as k from base),
+ large as (select k from vectors where not base_failed group by k having count(*) >= {min_rows}),
+ placed as (select *, case when k in (select k from large) then k else '' end as g from vectors), passed as (select * from placed where not base_failed),
+ {", ".join(chain)}
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2 <= {chi_square_quantile(1 - tail, P)!r}, true) as kept, round(d2, 6) as outlier_distance
+ from (select placed.*, {far.replace("x", "placed.x")} from placed left join model{steps + 1} using (g))"""
+
+
+QUALITY_RULES = quality_rules()

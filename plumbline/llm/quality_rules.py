@@ -200,4 +200,4 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, tail: float =
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(documents(spark, sf_dir), ["doc_id"])
-    return out.select("doc_id", *BASE, "base_failed", "kept", "outlier_distance")
+    return out.select("doc_id", *BASE, "base_failed", "kept", F.round("outlier_distance", 6).alias("outlier_distance"))

@@ -30,6 +30,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_quality_rules": oracles.QUALITY_RULES,
     "op5_decontamination": oracles.DECONTAMINATION,
     "op8_near_dedup": oracles.NEAR_DEDUP,
 }
