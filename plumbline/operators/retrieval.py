@@ -97,8 +97,8 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     lead = of_queries.join(frequency, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("lead"), F.count(F.lit(1)).alias("found"))
     lead = lead.join(asked, "query_id").filter(F.col("found") == F.size("_asked")).select("query_id", F.col("lead.term").alias("term"), "_asked")
     hits = postings.join(lead, "term").join(held, "chunk_id")
-    hits = hits.filter(F.size(F.array_except("_asked", "_terms")) == 0)
-    tf = lambda t: F.size(F.filter("_terms", lambda x: x == t)).cast("double")
+    hits = hits.filter(F.forall("_asked", lambda t: F.array_contains("_terms", t)))
+    tf = lambda t: (F.size("_terms") - F.size(F.array_remove("_terms", t))).cast("double")
     score = F.aggregate("_asked", F.lit(0.0), lambda a, t: a + let(tf(t), lambda n: n / (n + 1)))
     best = ranked(hits.select("query_id", "chunk_id", F.round(score, 6).alias("score")), F.col("score").desc(), F.col("chunk_id"))
     return best.filter(F.col("rank") < k).select("query_id", "chunk_id", "rank", "score")
@@ -119,7 +119,7 @@ def rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
 
 
 def drop_near_duplicates(candidates: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Candidates (with ``text``) whose word set is not too like that of a better one that stays.
+    """Candidates (with ``text`` or ``words``) whose word set is not too like that of a better one that stays.
 
     The greedy order is kept. A query's list is bounded by the search depth, so it is one small group:
     word sets become hashes before they travel, all shared counts come from a product of incidence
@@ -127,7 +127,7 @@ def drop_near_duplicates(candidates: DataFrame, threshold: float = 0.85) -> Data
     """
     if threshold >= 1:
         return candidates
-    sets = F.array_distinct(F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)))
+    sets = F.col("words") if "words" in candidates.columns else word_set(F.col("text"))
     lists = candidates.select(F.col("query_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("rank").cast("int").alias("rank"), sets.alias("words"))
     kind = dict(candidates.dtypes)["query_id"]
 
@@ -147,6 +147,11 @@ def drop_near_duplicates(candidates: DataFrame, threshold: float = 0.85) -> Data
     return candidates.join(ids, ["query_id", "chunk_id"], "left_semi")
 
 
+def word_set(text: Column) -> Column:
+    """Hashes of the distinct lower-cased words of a text."""
+    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
+
+
 def _shared_counts(values: np.ndarray, size: np.ndarray, width: int = 4096) -> np.ndarray:
     """How many values each two of the sets share."""
     owner = np.repeat(np.arange(len(size)), size)
@@ -211,8 +216,9 @@ def retrieve(chunks: DataFrame, queries: DataFrame, settings: Retrieval, doc_cou
         hybrid = keyword.select("query_id").distinct().join(with_vector, "query_id", "left_semi")
         fused = rank_fusion([merged.join(hybrid, "query_id", "left_semi"), keyword.join(hybrid, "query_id", "left_semi")])
         merged = fused.unionByName(merged.join(hybrid, "query_id", "left_anti")).unionByName(keyword.join(with_vector, "query_id", "left_anti"))
-    full = merged.join(chunks.select("chunk_id", "text", "document"), "chunk_id")
-    return finish(full, settings)
+    # word sets are made once for each chunk, not for each query that finds it
+    full = merged.join(chunks.select("chunk_id", "document", word_set(F.col("text")).alias("words")), "chunk_id")
+    return finish(full, settings).drop("words")
 
 
 def finish(candidates: DataFrame, settings: Retrieval) -> DataFrame:
