@@ -3,7 +3,7 @@
 Two small collections of ``tables`` band keys are made, each key from ``band`` minhashes; every pair of
 a key of the first and one of the second is a table key. So ``tables ** 2`` tables cost only
 ``2 * tables * band`` minhashes. Texts that meet in a table are put into families; inside a family the
-full shingle sets are compared, and links join texts of 85 % similarity and more.
+full shingle sets are compared, and links join texts of ``percent`` similarity and more.
 
 Texts with equal shingle sets are one class from the start, whatever their number. Families above a
 size are compared block against block in separate tasks.
@@ -11,6 +11,7 @@ size are compared block against block in separate tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,13 +145,21 @@ def compare(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, tables: int = 10, band: int = 3, block: int = 400, seed: int = 8) -> DataFrame:
+def tables_for(percent: int, band: int, miss: float = 1.5e-4) -> int:
+    """Keys of each collection with which a pair at the threshold is missed with probability ``miss`` at most."""
+    apart = 1 - (percent / 100) ** band
+    return max(1, math.ceil(math.log(miss / 2) / math.log(apart))) if apart > 0 else 1
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, tables: int | None = None, band: int = 3, block: int = 400, seed: int = 8) -> DataFrame:
     """(_rid, n_shingles, root): the least row that each row of ``docs`` (with ``_rid``, ``text``) is linked to.
 
     A pair at the threshold is missed by all tables with probability about 2 * (1 - (percent/100) ** band) **
-    tables, 0.00015 as set here, and much less above it; every pair that meets is compared exactly.
+    tables, and much less above it; ``tables`` follows from the threshold if it is not given (10 at 85, 14 at
+    80), so that this is 0.00015 at most. Every pair that meets is compared exactly.
     """
     spark = docs.sparkSession
+    tables = tables or tables_for(percent, band)
     n = n_partitions(spark)
     sig = materialize(signatures(docs, tables, band, seed), "signatures")
     # written out, so that the join below has plain shuffles on both sides and a hot class can be split
@@ -209,4 +218,4 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_near_duplicates(documents(spark, sf_dir))
+    return label_near_duplicates(documents(spark, sf_dir), percent=85)
