@@ -27,8 +27,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't overlap with a benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Rows whose text doesn't overlap with a benchmark item, whatever other rows share their id."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), by_text=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,24 +47,34 @@ def _words(df: DataFrame, keep: list[Column]) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
-    """Pairs of a document and a benchmark item whose texts overlap.
+    """Pairs of a document and a benchmark item whose texts overlap, one row per ``doc_id`` and ``item_id``.
 
     Words are lower-cased. They overlap if 12 words in a row of the item stand in the document with at
     least 10 of them equal, place by place; an item of 5 to 11 words must stand there whole and equal, a
-    shorter one is ignored. Returns one row per ``doc_id`` and ``item_id``: ``n_item_words``, ``n_equal``
-    and ``doc_start`` (equal words of the best alignment, and the document's word at which it would
-    begin) and ``best_window`` (most equal words among 12). Null texts overlap with nothing; null ids
-    are kept as a value; repeated rows give one pair. Hashes of words stand for the words: 64 bits each,
-    and 10 of them have to agree. The benchmark's seeds are broadcast up to ``max_broadcast`` rows and
-    shuffled beyond.
+    shorter one is ignored. Returns ``n_item_words``, ``n_equal`` and ``doc_start`` (equal words of the
+    best alignment, and the document's word at which it would begin) and ``best_window`` (most equal
+    words among 12). Null texts overlap with nothing; null ids are kept as a value; repeated rows give
+    one pair, and of different texts under one id the best alignment counts. Hashes of words stand for
+    the words: 64 bits each, and 10 of them have to agree. The benchmark's seeds are broadcast up to
+    ``max_broadcast`` rows and shuffled beyond.
     """
-    items = _words(benchmark.select("item_id", "text").distinct(), ["item_id"]).filter(F.size("_w") >= LEAST_WORDS).withColumnsRenamed({"_w": "_iw"})
+    best = F.max(F.struct("n_equal", "best_window", (-F.col("doc_start")).alias("back"), "n_item_words")).alias("_b")
+    out = overlaps(docs, benchmark, max_broadcast).groupBy("doc_id", "item_id").agg(best)
+    return out.select(
+        "doc_id", "item_id", F.col("_b.n_item_words").cast("long").alias("n_item_words"), F.col("_b.n_equal").cast("long").alias("n_equal"), F.col("_b.best_window").cast("long").alias("best_window"), (-F.col("_b.back")).cast("long").alias("doc_start")
+    )
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
+    """The alignments that count, as ``contamination`` describes them, of each text: ``_text`` is the hash of the
+    document's, and items are told apart by id and text (``_item``)."""
+    items = _words(benchmark.select("item_id", "text").distinct(), ["item_id", F.xxhash64("item_id", "text").alias("_item")]).filter(F.size("_w") >= LEAST_WORDS).withColumnsRenamed({"_w": "_iw"})
     items = materialize(items, "benchmark-words")
     short = sorted(r[0] for r in items.filter(F.size("_iw") < WINDOW).select(F.size("_iw")).distinct().collect())
     stretch = F.when(F.size("_iw") >= WINDOW, seeds(F.col("_iw"))).otherwise(whole(F.col("_iw"), short)) if short else seeds(F.col("_iw"))
-    probe = items.select("item_id", "_iw", F.explode(stretch).alias("_s"))
+    probe = items.select("_item", "_iw", F.explode(stretch).alias("_s"))
     probe = probe.filter((F.size("_iw") >= WINDOW) | (F.col("_s.h") == F.xxhash64(F.size("_iw"), "_iw")))
-    probe = materialize(probe.select("item_id", F.size("_iw").alias("_n"), F.col("_s.p").alias("_q"), F.col("_s.h").alias("_h")), "benchmark-seeds")
+    probe = materialize(probe.select("_item", F.size("_iw").alias("_n"), F.col("_s.p").alias("_q"), F.col("_s.h").alias("_h")), "benchmark-seeds")
     n_seeds = probe.count()
 
     d = _words(docs, [F.col("doc_id"), F.xxhash64("text").alias("_text")])
@@ -74,9 +84,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 20
     # the document's words from where the item would begin, and how many of the item's come before the text
     offset = F.col("_p") - F.col("_q")
     around = F.slice("_w", F.greatest(offset, F.lit(0)) + 1, F.greatest(F.col("_n") + F.least(offset, F.lit(0)), F.lit(0)))
-    lines = hits.select("doc_id", "_text", "item_id", offset.alias("doc_start"), around.alias("_dw"))
-    lines = lines.groupBy("doc_id", "_text", "item_id", "doc_start").agg(F.first("_dw").alias("_dw"))
-    both = lines.join(small(items, n_seeds, max_broadcast // 40), "item_id")
+    lines = hits.select("doc_id", "_text", "_item", offset.alias("doc_start"), around.alias("_dw"))
+    lines = lines.groupBy("doc_id", "_text", "_item", "doc_start").agg(F.first("_dw").alias("_dw"))
+    both = lines.join(small(items, n_seeds, max_broadcast // 40), "_item")
     part = F.slice("_iw", F.greatest(-F.col("doc_start"), F.lit(0)) + 1, F.size("_dw"))
     both = both.withColumn("_same", F.zip_with("_dw", part, lambda a, b: F.when(a == b, 1).otherwise(0)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
@@ -84,16 +94,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 20
     both = both.withColumn("best_window", F.when(F.size("_same") >= WINDOW, F.array_max(windows)).otherwise(total(F.col("_same"))))
     both = both.withColumns({"n_equal": total(F.col("_same")), "n_item_words": F.size("_iw")})
     counts = F.when(F.col("n_item_words") >= WINDOW, (F.size("_same") >= WINDOW) & (F.col("best_window") >= LEAST_EQUAL))
-    both = both.filter(counts.otherwise(F.col("n_equal") == F.col("n_item_words")))
-    best = F.max(F.struct("n_equal", "best_window", (-F.col("doc_start")).alias("back"))).alias("_b")
-    out = both.groupBy("doc_id", "item_id", "n_item_words").agg(best)
-    return out.select(
-        "doc_id", "item_id", F.col("n_item_words").cast("long").alias("n_item_words"), F.col("_b.n_equal").cast("long").alias("n_equal"), F.col("_b.best_window").cast("long").alias("best_window"), (-F.col("_b.back")).cast("long").alias("doc_start")
-    )
+    return both.filter(counts.otherwise(F.col("n_equal") == F.col("n_item_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap with a benchmark item; columns and other rows stay as they are."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, by_text: bool = False) -> DataFrame:
+    """``docs`` without the documents that overlap with a benchmark item; columns and other rows stay as they are.
+
+    A document is all rows of one ``doc_id``, null among them; with ``by_text``, all rows of one id and text, so
+    that a clean text stays whatever other rows share its id.
+    """
+    if by_text:
+        bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("_text").alias("_bad_text")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"]), "left_anti")
     bad = contamination(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
