@@ -401,8 +401,12 @@ def diversity_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dedup_near")
 def dedup_near(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.drop_near_duplicates(retrieval.ranked(docs, F.col("chunk_id")).filter("rank < 100")).select("query_id", "chunk_id", "rank")
+    """All documents, dealt by source and id into candidate lists of the search depth's cap at most."""
+    docs = _t(spark, d, "documents").select(F.concat_ws("-", "source", F.expr("doc_id div 10000")).alias("query_id"), F.col("doc_id").alias("chunk_id"), "text")
+    n = retrieval.ranked(docs, F.col("chunk_id"))
+    part = F.floor(F.col("rank") / retrieval.POOL_CAP)
+    lists = n.select(F.concat_ws("-", "query_id", part).alias("query_id"), "chunk_id", (F.col("rank") % retrieval.POOL_CAP).alias("rank"), "text")
+    return retrieval.drop_near_duplicates(lists).select("query_id", "chunk_id", "rank")
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
