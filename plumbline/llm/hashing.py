@@ -6,11 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import materialize, small
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C55)
 _rng = np.random.default_rng(2024)
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+OTHER_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
@@ -57,13 +62,22 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word."""
+def word_hashes(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word.
+
+    A word's hash sums one value for each byte at its place in the word, mixed from both: not a polynomial,
+    whose values modulo a power of two repeat for long words of a regular build. Other ``values`` give an
+    independent hash.
+    """
     starts, ends = word_bounds(data)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    h = run_hashes(prefix(BYTE_VALUES[data]), starts, ends)
-    return mix(h + (ends - starts).astype(np.uint64) * _BASE), starts, ends
+    size = ends - starts
+    upto = np.r_[0, np.cumsum(size)]
+    place = np.arange(upto[-1], dtype=np.uint64) - np.repeat(upto[:-1].astype(np.uint64), size)
+    total = np.zeros(upto[-1] + 1, dtype=np.uint64)
+    np.cumsum(mix(values[data[~_SPACE[data]]] + place * _BASE), out=total[1:], dtype=np.uint64)
+    return mix(total[upto[1:]] - total[upto[:-1]] + size.astype(np.uint64) * _BASE), starts, ends
 
 
 def byte_groups(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -211,3 +225,27 @@ def merged(rid: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def spread(rid: np.ndarray) -> np.ndarray:
     """A sort key for rows that need no company: any partition will do."""
     return mix(rid.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
+def numbered(keys: list[int], pieces: list[bytes]) -> np.ndarray:
+    """A number for each distinct pair of a key and a piece."""
+    seen: dict[tuple[int, bytes], int] = {}
+    return np.fromiter((seen.setdefault(x, len(seen)) for x in zip(keys, pieces)), dtype=np.int64, count=len(keys))
+
+
+def firsts(same: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, how often, others): the earliest of equals by row and start, the size of its group, and all others."""
+    order = np.lexsort((first, row, same))
+    heads = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]][: len(order)])
+    other = np.ones(len(order), dtype=bool)
+    other[order[heads]] = False
+    return order[heads], np.diff(np.r_[heads, len(order)]), np.flatnonzero(other)
+
+
+def marked_hot(found: DataFrame, rows: int) -> DataFrame:
+    """``found`` (h, ..) with ``hot``: whether its anchor is found more than ``rows`` times."""
+    hot = materialize(found.groupBy("h").count().filter(F.col("count") > rows).select("h", F.lit(True).alias("hot")), "hot-anchors")
+    n = hot.count()
+    if not n:
+        return found.withColumn("hot", F.lit(False))
+    return found.join(small(hot, n, 500_000), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))

@@ -21,18 +21,22 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, materialize, n_partitions, shielded, with_row_ids
 from plumbline.llm.components import connected_components
-from plumbline.llm.hashing import U, boundaries, byte_groups, mix, whole_groups, word_hashes
+from plumbline.llm.hashing import OTHER_VALUES, U, boundaries, byte_groups, mix, whole_groups, word_hashes
 
 SHINGLE = 5
 _rng = np.random.default_rng(85)
 _PLACE = _rng.integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, sorted distinct shingle hashes) of every text; A-Z are lower-cased."""
+def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(place, sorted distinct shingle hashes, second hash) of every text; A-Z are lower-cased.
+
+    The second hash is an independent one of the only shingle of a set of one, and 0 for other sets: equal
+    sets are found by 128 bits, which for larger sets are two sums over all shingles.
+    """
     for places, group in byte_groups(texts):
         data = np.frombuffer(b"\n".join(group).lower(), dtype=np.uint8)
-        h, starts, _ = word_hashes(data)
+        h, starts, ends = word_hashes(data)
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in group]))
         five = np.zeros(max(len(h) - SHINGLE + 1, 0), dtype=np.uint64)
         for i in range(SHINGLE):
@@ -41,11 +45,17 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         for place, a, b in zip(places, bounds, bounds[1:]):
             n = b - a
             if n >= SHINGLE:
-                yield place, np.unique(five[a : b - SHINGLE + 1])
+                out = np.unique(five[a : b - SHINGLE + 1])
             elif n:
-                yield place, mix(np.array([(h[a:b] * _PLACE[8 : 8 + n]).sum(dtype=np.uint64) + U(n)]))
+                out = mix(np.array([(h[a:b] * _PLACE[8 : 8 + n]).sum(dtype=np.uint64) + U(n)]))
             else:
-                yield place, np.zeros(0, np.uint64)
+                out = np.zeros(0, np.uint64)
+            yield place, out, _other_hash(data[starts[a] : ends[min(b, a + SHINGLE) - 1]]) if len(out) == 1 else 0
+
+
+def _other_hash(words: np.ndarray) -> int:
+    h, _, _ = word_hashes(words, OTHER_VALUES)
+    return int(mix(np.array([(h * _PLACE[: len(h)]).sum(dtype=np.uint64) + U(len(h))]))[0])
 
 
 def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,10 +76,10 @@ def signatures(docs: DataFrame, tables: int, band: int, seed: int) -> DataFrame:
         for batch in batches:
             n, f = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.uint64)
             keys = np.zeros((batch.num_rows, 2 * tables), np.uint64)
-            for i, h in shingle_sets(batch.column(1)):
+            for i, h, other in shingle_sets(batch.column(1)):
                 n[i] = len(h)
                 if len(h):
-                    f[i] = mix(h).sum(dtype=np.uint64), mix(h ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                    f[i] = mix(h).sum(dtype=np.uint64), U(other) if len(h) == 1 else mix(h ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                     keys[i] = mix((signature(h, a, b).reshape(2 * tables, band) * fold).sum(axis=1, dtype=np.uint64))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(k.ravel().view(np.int64)), tables).cast(pa.list_(pa.int64())) for k in (keys[:, :tables].copy(), keys[:, tables:].copy())]
             cols = [batch.column(0), pa.array(n), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64)), *lists]
@@ -97,7 +107,10 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The least place that each set is connected with, through pairs of ``percent`` similarity and more."""
+    """The least place that each set is connected with, through pairs of ``percent`` similarity and more.
+
+    Sets of one shingle are in one class if they are equal, so two of them that come here differ.
+    """
     n = len(sets)
     values, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
     order = np.argsort(values, kind="stable")
@@ -114,6 +127,7 @@ def linked(sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarra
         common += m @ m.T
     common = common.astype(np.int64)
     near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    near &= (sizes[:, None] > 1) | (sizes[None, :] > 1)
     np.fill_diagonal(near, True)
     label = np.arange(n)
     while True:
@@ -180,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, tables: int | None = Non
         for batch in batches:
             rid, family, total = (batch.column(c).to_numpy() for c in (0, 1, 2))
             out: list[tuple] = []
-            for at, h in shingle_sets(batch.column(3)):
+            for at, h, _ in shingle_sets(batch.column(3)):
                 mine = int(mix(np.array([rid[at]], dtype=np.int64).view(np.uint64))[0] % U(total[at]))
                 for other in range(total[at]):
                     out.append((family[at], min(mine, other), max(mine, other), rid[at], h.view(np.int64)))

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, n_partitions, packed_by_row, unpacked, with_row_ids
-from plumbline.llm.hashing import ANCHORS, BYTE_VALUES, anchors, byte_groups, dealt_anchors, merged, prefix, repeated_anchors, spread, whole_groups
+from plumbline.llm.common import documents, materialize, n_partitions, packed_by_row, unpacked, with_row_ids
+from plumbline.llm.hashing import ANCHORS, BYTE_VALUES, anchors, byte_groups, dealt_anchors, firsts, marked_hot, merged, numbered, prefix, repeated_anchors, spread, whole_groups
 
 WINDOW, GRAM = 100, 24
 _PACK = 128
@@ -57,32 +58,40 @@ def strings_at(window: int):
     Of equal strings in a batch only the earliest is passed on. The windows of the others are later copies
     by that alone; they come as rows without a piece, merged to stretches from ``at`` to ``end``. So a
     string that a third of all documents share, or one document repeats, reaches a task a few times only.
+
+    What a hot anchor has left, strings with different surroundings, is split into its windows: each goes by a
+    hash of its own bytes, and again only the earliest of equals. Equal windows still meet, all others spread.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, found = batch.column(0).to_numpy(), batch.column(1)
-            keys, rids, ats, pieces = [], [], [], []
+            keys, rids, ats, hots, pieces = [], [], [], [], []
             for i, b in enumerate(unpacked(batch.column(2), batch.column(3))):
-                key, at = found[i].values.field("h").to_numpy(), found[i].values.field("at").to_numpy()
+                key, at, hot = (found[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "at", "hot"))
                 first, n = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK
                 pieces += [b[x : x + y] for x, y in zip(first.tolist(), (n + window).tolist())]
                 keys.append(key)
                 rids.append(np.full(len(key), rid[i]))
                 ats.append(at)
+                hots.append(hot)
             if not keys:
                 continue
-            key, row, at = np.concatenate(keys), np.concatenate(rids), np.concatenate(ats)
-            number: dict[tuple[int, bytes], int] = {}
-            same = np.array([number.setdefault(x, len(number)) for x in zip(key.tolist(), pieces)], dtype=np.int64)
-            order = np.lexsort((at // (_PACK * _PACK), row, same))
-            kept = order[np.r_[True, same[order][1:] != same[order][:-1]]]
-            later = np.ones(len(key), dtype=bool)
-            later[kept] = False
-            first = at // (_PACK * _PACK) - at // _PACK % _PACK
-            r, a, b = merged(row[later], first[later], (first + at % _PACK + window)[later])
-            columns = [np.r_[key[kept], spread(r)], np.r_[row[kept], r], np.r_[at[kept], a], np.r_[np.zeros(len(kept), np.int64), b]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([pieces[k] for k in kept] + [None] * len(r), pa.binary())], ["h", "_rid", "at", "end", "piece"])
+            key, row, at, hot = map(np.concatenate, (keys, rids, ats, hots))
+            first, size = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK + window
+            kept, _, later = firsts(numbered(key.tolist(), pieces), row, first)
+            split = kept[hot[kept]]
+            kept = kept[~hot[kept]]
+            n = size[split] - window + 1
+            at2 = np.repeat(first[split] - np.r_[0, np.cumsum(n)[:-1]][: len(n)], n) + np.arange(n.sum())
+            row2, pieces2 = np.repeat(row[split], n), [pieces[k][i : i + window] for k in split for i in range(len(pieces[k]) - window + 1)]
+            key2 = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pieces2), np.uint64, len(pieces2)).view(np.int64)
+            kept2, _, later2 = firsts(numbered(key2.tolist(), pieces2), row2, at2)
+            r, a, b = merged(np.r_[row[later], row2[later2]], np.r_[first[later], at2[later2]], np.r_[(first + size)[later], at2[later2] + window])
+            place = [at[kept], at2[kept2] * _PACK * _PACK, a]
+            columns = [np.r_[key[kept], key2[kept2], spread(r)], np.r_[row[kept], row2[kept2], r], np.concatenate(place), np.r_[np.zeros(len(kept) + len(kept2), np.int64), b]]
+            strings = [pieces[k] for k in kept] + [pieces2[k] for k in kept2] + [None] * len(r)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], ["h", "_rid", "at", "end", "piece"])
 
     return run
 
@@ -200,14 +209,15 @@ def _kept(with_text: bool):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True, group_rows: int = 2000) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes``: later copies of ``window`` bytes go.
 
     Texts are UTF-8 bytes, null being empty; a byte goes if a string of ``window`` bytes covers it that
     also starts earlier (at a smaller id, or earlier in the document). Overlapping strings count. Rows
     with null or repeated ids are documents of their own, in the order of id (nulls last). Bytes may be
     cut inside a character, hence the binary column. Texts shorter than a window stay whole; other
-    columns are not read; an empty table gives an empty result. ``with_text`` False leaves it null.
+    columns are not read; an empty table gives an empty result. ``with_text`` False leaves it null. Anchors
+    found more than ``group_rows`` times are split into their windows.
     """
     if not 0 < window - gram < _PACK:
         raise ValueError("the window may hold up to 127 more bytes than the anchor")
@@ -215,7 +225,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     rows, name = with_row_ids(docs.select("doc_id", "text"))
     all_ = rows.select("_rid", "text").mapInArrow(byte_anchors(window, gram), ANCHORS)
     shared = all_.repartition(n, "k").sortWithinPartitions("k").mapInArrow(repeated_anchors, "h long, _rid long, at long")
-    places = shared.groupBy("_rid").agg(F.collect_list(F.struct("h", "at")).alias("found"))
+    shared = marked_hot(materialize(shared, "shared-anchors"), group_rows)
+    places = shared.groupBy("_rid").agg(F.collect_list(F.struct("h", "at", "hot")).alias("found"))
     by_row = packed_by_row(rows)
     pieces = places.join(by_row, "_rid").select("_rid", "found", "size", "packed").mapInArrow(strings_at(window), "h long, _rid long, at long, end long, piece binary")
     marks = pieces.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_removed(window, gram), "_rid long, first long, last long")

@@ -19,14 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, materialize, n_partitions, packed_by_row, unpacked, with_row_ids
-from plumbline.llm.hashing import ANCHORS, U, anchors, byte_groups, dealt_anchors, merged, mix, prefix, repeated_anchors, run_hashes, spread, whole_groups, word_hashes
+from plumbline.llm.hashing import ANCHORS, OTHER_VALUES, anchors, byte_groups, dealt_anchors, firsts, marked_hot, merged, mix, numbered, prefix, run_hashes, spread, whole_groups, word_hashes
 
 WINDOW, GRAM = 35, 8
-_OTHER = U(0xD6E8FEB86659FD93)
 #: An anchor's place, how many windows lie before it and how many it serves, in one number.
 _PACK = 64
 RESULT = ["n_words", "n_removed", "kept_sha256", "kept_text"]
@@ -70,8 +70,10 @@ class FingerprintIndex:
         """Index a batch (_rid, text); the fingerprint rows, old and new, that it shares with itself or with history."""
         new = self._write(batch.select("_rid", "text").mapInArrow(fingerprints(self.window, self.gram), ANCHORS))
         rows = self.spark.table(new)
-        shared = rows.sortWithinPartitions("k").mapInArrow(repeated_anchors, "h long, _rid long, at long")
         plain = ["h", "_rid", F.when(F.col("at") < 0, F.bitwise_not("at")).otherwise(F.col("at")).alias("at")]
+        # a window over the buckets' own key: equal keys stay together however a bucket's file is cut
+        n = F.count(F.lit(1)).over(Window.partitionBy("k"))
+        shared = rows.withColumn("_n", n).filter((F.col("_n") > 1) | (F.col("at") < 0)).select(*plain)
         for run in self.runs:
             old = self.spark.table(run)
             for mine, other in ((old, rows), (rows, old)):
@@ -97,72 +99,114 @@ class FingerprintIndex:
         self.runs = []
 
 
-def windows_of(window: int):
-    """(h, _rid, first, last, weight, windows): the second hashes of the windows that each candidate anchor serves.
+def stretches_of(window: int):
+    """(h, _rid, first, last, weight, piece): the words of all windows that each candidate anchor serves.
 
-    Of equal stretches in a batch only one is passed on, with weight 2: all its windows are repeated. The
-    others come as rows without windows, merged to ranges of window starts from ``first`` to ``last``. So
+    A piece is the words from the first window's first to the last window's last, joined by one space. Of
+    equal stretches in a batch only one is passed on, with weight 2: all its windows are repeated. The
+    others come as rows without a piece, merged to ranges of window starts from ``first`` to ``last``. So
     a stretch that a third of all documents share, or one document repeats, reaches a task a few times only.
+
+    What a hot anchor has left, stretches with different surroundings, is split into its windows: each goes by
+    a hash of its own words, so that equal windows still meet and all others spread.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, found = batch.column(0).to_numpy(), batch.column(1)
-            keys, rids, firsts, counts, values = [], [], [], [], []
+            keys, rids, firsts_, counts, hots, pieces = [], [], [], [], [], []
             for i, b in enumerate(unpacked(batch.column(2), batch.column(3))):
-                h, _, _ = word_hashes(np.frombuffer(b, dtype=np.uint8))
-                pre = prefix(mix(h ^ _OTHER))
-                all_ = run_hashes(pre, slice(0, len(h) - window + 1), slice(window, len(h) + 1)).view(np.int64)
-                mine = found[i].values
-                key, at = mine.field("h").to_numpy(), mine.field("at").to_numpy()
+                words = b.split()
+                text, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+                key, at, hot = (found[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "at", "hot"))
                 first, n = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK + 1
+                pieces += [text[x:y] for x, y in zip(np.r_[0, ends][first].tolist(), (ends[first + n + window - 2] - 1).tolist())]
                 keys.append(key)
                 rids.append(np.full(len(key), rid[i]))
-                firsts.append(first)
+                firsts_.append(first)
                 counts.append(n)
-                values.append(all_[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
+                hots.append(hot)
             if not keys:
                 continue
-            key, row, first, n, value = map(np.concatenate, (keys, rids, firsts, counts, values))
-            ends = np.cumsum(n)
-            # the first and the last window cover the stretch between them, as windows are longer than it
-            seen = mix(mix(value[ends - n].view(np.uint64) ^ key.view(np.uint64)) + value[ends - 1].view(np.uint64) + n.astype(np.uint64))
-            order = np.lexsort((first, row, seen))
-            new = np.r_[True, seen[order][1:] != seen[order][:-1]]
-            kept = order[new]
-            weight = np.where(np.diff(np.r_[np.flatnonzero(new), len(order)]) > 1, 2, 1)
-            other = np.ones(len(key), dtype=bool)
-            other[kept] = False
-            r, a, b = merged(row[other], first[other], (first + n - 1 + window)[other])
-            inside = np.repeat(~other, n)
-            size = np.r_[0, np.cumsum(n[~other]), np.full(len(r), n[~other].sum())].astype(np.int32)
-            place = np.flatnonzero(~other)
-            weights = np.zeros(len(key), dtype=np.int64)
-            weights[kept] = weight
-            lists = pa.ListArray.from_arrays(pa.array(size), pa.array(value[inside]))
-            columns = [np.r_[key[place], spread(r)], np.r_[row[place], r], np.r_[first[place], a], np.r_[first[place], b - window], np.r_[weights[place], np.zeros(len(r), np.int64)]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["h", "_rid", "first", "last", "weight", "windows"])
+            key, row, first, n, hot = map(np.concatenate, (keys, rids, firsts_, counts, hots))
+            kept, often, others = firsts(numbered(key.tolist(), pieces), row, first)
+            split, weight = kept[hot[kept]], np.minimum(often, 2)
+            row2, first2, weight2, pieces2 = np.repeat(row[split], n[split]), [], np.repeat(weight[hot[kept]], n[split]), []
+            for k in split:
+                words = pieces[k].split(b" ")
+                first2 += range(first[k], first[k] + n[k])
+                pieces2 += [b" ".join(words[i : i + window]) for i in range(n[k])]
+            first2 = np.array(first2, dtype=np.int64)
+            key2 = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pieces2), np.uint64, len(pieces2)).view(np.int64)
+            same2 = numbered(key2.tolist(), pieces2)
+            kept2, _, others2 = firsts(same2, row2, first2)
+            total2 = np.minimum(np.bincount(same2, weights=weight2, minlength=1)[same2[kept2]], 2).astype(np.int64)
+            weight, kept = weight[~hot[kept]], kept[~hot[kept]]
+            r, a, b = merged(np.r_[row[others], row2[others2]], np.r_[first[others], first2[others2]], np.r_[(first + n - 1 + window)[others], first2[others2] + window])
+            columns = [
+                np.r_[key[kept], key2[kept2], spread(r)], np.r_[row[kept], row2[kept2], r], np.r_[first[kept], first2[kept2], a],
+                np.r_[(first + n - 1)[kept], first2[kept2], b - window], np.r_[weight, total2, np.zeros(len(r), np.int64)],
+            ]
+            strings = [pieces[k] for k in kept] + [pieces2[k] for k in kept2] + [None] * len(r)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(strings, pa.binary())], ["h", "_rid", "first", "last", "weight", "piece"])
 
     return run
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated(text: bytes, begin: np.ndarray, end: np.ndarray, row: np.ndarray, value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Marks the windows (their bytes, their piece, a hash, a weight) whose words have a weight of 2 and more together.
+
+    Windows of one hash are compared with the first of them, word for word: runs of windows that follow each
+    other on both sides are compared as one. Where words differ, the windows of that hash are sorted out by words.
+    """
+    if not len(value):
+        return np.zeros(0, dtype=bool)
+    _, at, group = np.unique(value, return_index=True, return_inverse=True)
+    like = at[group]
+    hit = np.bincount(group, weights=weight)[group] > 1
+    other = np.flatnonzero(like != np.arange(len(value)))
+    if len(other):
+        x, y = other, like[other]
+        new = np.r_[True, (np.diff(x) != 1) | (np.diff(y) != 1) | (np.diff(row[x]) != 0) | (np.diff(row[y]) != 0)]
+        last = np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]
+        spans = zip(*(v.tolist() for v in (x[new], begin[x[new]], end[x[last]], begin[y[new]], end[y[last]])))
+        wrong = [group[k] for k, a, b, c, d in spans if text[a:b] != text[c:d]]
+        for k in np.flatnonzero(np.isin(group, wrong)) if wrong else ():
+            # few or none: hashes of different words agree only by chance
+            mine = text[begin[k] : end[k]]
+            hit[k] = weight[[j for j in np.flatnonzero(group == group[k]) if text[begin[j] : end[j]] == mine]].sum() > 1
+    return hit
+
+
+def _verified(window: int):
     """(_rid, first, last) of runs of window starts whose window is also elsewhere, from rows sorted by anchor."""
-    for table in whole_groups(batches, ["h"]):
-        table = table.combine_chunks()
-        told = table.filter(pc.equal(table.column("weight"), 0))
-        if told.num_rows:
-            yield pa.RecordBatch.from_arrays([told.column(c).combine_chunks() for c in ("_rid", "first", "last")], ["_rid", "first", "last"])
-        lists = table.column("windows").chunk(0)
-        n = np.diff(lists.offsets.to_numpy())
-        values, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-        start = table.column("first").to_numpy()[row] + np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-        _, place = np.unique(values, return_inverse=True)
-        hit = np.flatnonzero(np.bincount(place, weights=table.column("weight").to_numpy()[row])[place] > 1) if len(values) else []
-        if len(hit):
-            new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]
-            a, b = hit[new], hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(table.column("_rid").to_numpy()[row[a]]), pa.array(start[a]), pa.array(start[b])], ["_rid", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["h"]):
+            whole = pc.is_valid(table.column("piece"))
+            told = table.filter(pc.invert(whole))
+            if told.num_rows:
+                yield pa.RecordBatch.from_arrays([told.column(c).combine_chunks() for c in ("_rid", "first", "last")], ["_rid", "first", "last"])
+            table = table.filter(whole)
+            if not table.num_rows:
+                continue
+            h, rid, first, last, weight = (table.column(c).to_numpy() for c in ("h", "_rid", "first", "last", "weight"))
+            n = last - first + 1
+            text = b" ".join(table.column("piece").to_pylist())
+            hashes, starts, ends = word_hashes(np.frombuffer(text, dtype=np.uint8), OTHER_VALUES)
+            row = np.repeat(np.arange(len(n)), n)
+            # a piece of n windows has n + window - 1 words, so each piece before has pushed the words window - 1 further
+            at = np.arange(len(row)) + row * (window - 1)
+            pre = prefix(hashes)
+            value = mix(run_hashes(pre, at, at + window) + mix(h.view(np.uint64))[row])
+            hit = np.flatnonzero(repeated(text, starts[at], ends[at + window - 1], row, value, weight[row]))
+            if len(hit):
+                start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]
+                a, b = hit[new], hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(rid[row[a]]), pa.array(start[a]), pa.array(start[b])], ["_rid", "first", "last"])
+
+    return run
 
 
 def _kept(window: int, with_text: bool):
@@ -186,14 +230,15 @@ def _kept(window: int, with_text: bool):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, fanout: int = 2, with_text: bool = True) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, fanout: int = 2, with_text: bool = True, group_rows: int = 2000) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text``: every word goes that a repeated window covers.
 
     A window is ``window`` words in a row of one document; it is repeated if the same words start
-    anywhere else, in the same document too. All its occurrences go. Words are compared by two independent
-    64-bit hashes, of the anchor and of the window. Null and empty texts have no word; texts shorter than
+    anywhere else, in the same document too. All its occurrences go. Windows whose hashes
+    agree are compared word for word. Null and empty texts have no word; texts shorter than
     a window stay whole. Rows with null or repeated ids are documents of their own. Other columns are
     not read; an empty table gives an empty result. ``with_text`` False leaves ``kept_text`` null.
+    Anchors found more than ``group_rows`` times are split into their windows.
     """
     spark = docs.sparkSession
     n = n_partitions(spark)
@@ -207,10 +252,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
             index.compact()
     index.drop()
     by_row = packed_by_row(rows)
-    places = candidates.groupBy("_rid").agg(F.collect_set(F.struct("h", "at")).alias("found"))
+    places = marked_hot(candidates, group_rows).groupBy("_rid").agg(F.collect_set(F.struct("h", "at", "hot")).alias("found"))
     texts = places.join(by_row, "_rid").select("_rid", "found", "size", "packed")
-    windows = texts.mapInArrow(windows_of(window), "h long, _rid long, first long, last long, weight long, windows array<long>")
-    marks = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_verified, "_rid long, first long, last long")
+    stretches = texts.mapInArrow(stretches_of(window), "h long, _rid long, first long, last long, weight long, piece binary")
+    marks = stretches.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_verified(window), "_rid long, first long, last long")
     marks = marks.groupBy("_rid").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
     last = by_row.join(marks, "_rid", "left").select("_rid", "size", "packed", "marks")
     out = last.mapInArrow(_kept(window, with_text), "_rid long, n_words long, n_removed long, kept_sha256 string, kept_text string")

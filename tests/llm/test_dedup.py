@@ -11,7 +11,7 @@ from plumbline.llm import queries
 from plumbline.llm.components import connected_components
 from plumbline.llm.near_dedup import drop_near_duplicates, label_near_duplicates
 from plumbline.llm.suffix_dedup import later_windows, remove_repeated_bytes
-from plumbline.llm.window_dedup import FingerprintIndex, remove_repeated_windows
+from plumbline.llm.window_dedup import FingerprintIndex, remove_repeated_windows, repeated
 
 
 def table(df, *cols):
@@ -129,3 +129,37 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def thue_morse(n):
+    """A word of two letters and its complement, which polynomial hashes modulo a power of two don't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_a_regular_build(frame, n):
+    one, other = thue_morse(n)
+    body = [f"w{i}" for i in range(61)]
+    rows = [(1, " ".join(body[:30] + [one] + body[31:])), (2, " ".join(body[:30] + [other] + body[31:])), (3, one), (4, other), (5, one.upper()), (6, other * 2), (7, one + " " + other)]
+    assert table(remove_repeated_windows(frame(rows)), *WORDS) == brute.window_dedup(rows)
+    assert table(label_near_duplicates(frame(rows)), *NEAR) == brute.near_dedup(rows)
+
+
+@pytest.mark.parametrize("group_rows", [0, 3])
+def test_hot_anchors_are_split(frame, corpus, group_rows):
+    """One phrase amid different words in many texts, and copies of all sorts, with anchors split into windows."""
+    rng = random.Random(11)
+    phrase, long = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(45))
+    other = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))
+    rows = corpus + [(100 + i, f"{other()} {phrase} {other()}") for i in range(12)] + [(200 + i, f"{other()} {long} {other()}") for i in range(12)]
+    assert table(remove_repeated_bytes(frame(rows), group_rows=group_rows), *BYTES) == brute.suffix_dedup(rows)
+    assert table(remove_repeated_windows(frame(rows), group_rows=group_rows), *WORDS) == brute.window_dedup(rows)
+
+
+def test_windows_of_one_hash_are_told_apart_by_words():
+    text = b"aa bb cc aa bb dd aa bb cc"
+    begin, end = np.array([0, 9, 18]), np.array([8, 17, 26])
+    marks = repeated(text, begin, end, np.arange(3), np.zeros(3, np.uint64), np.ones(3, np.int64))
+    assert marks.tolist() == [True, False, True]
+    assert repeated(text, begin, end, np.arange(3), np.zeros(3, np.uint64), np.array([1, 2, 1])).tolist() == [True, True, True]
