@@ -18,7 +18,9 @@ from plumbline.llm.common import documents, let, materialize, small, table, word
 
 #: Word positions that each mask reads.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
+#: Words of a window and how many have to be equal; items of fewer words than the last occur within a text only whole.
 WINDOW, LEAST_EQUAL, LEAST_WORDS = 12, 10, 5
+_SEEDS = "array<struct<p:int,h:bigint>>"
 
 
 def seeds(hashes: Column) -> Column:
@@ -27,7 +29,7 @@ def seeds(hashes: Column) -> Column:
     def of(h: Column, mask: tuple[int, ...]) -> Column:
         last = F.size(h) - (mask[-1] + 1)
         read = lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit(str(mask)), *[F.get(h, i + m) for m in mask]).alias("h"))
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), read)).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), read)).otherwise(F.array().cast(_SEEDS))
 
     return let(hashes, lambda h: F.concat(*[of(h, m) for m in MASKS]))
 
@@ -37,11 +39,17 @@ def whole(hashes: Column, sizes: list[int]) -> Column:
 
     def of(h: Column, n: int) -> Column:
         read = lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit(n), F.slice(h, i + 1, n)).alias("h"))
-        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), read)).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
+        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), read)).otherwise(F.array().cast(_SEEDS))
 
     return let(hashes, lambda h: F.concat(*[of(h, n) for n in sizes]))
 
 
+def all_of(hashes: Column) -> Column:
+    """The seed of a text that has under ``LEAST_WORDS`` words: all of them."""
+    alone = F.array(F.struct(F.lit(0).alias("p"), F.xxhash64(F.lit("whole"), hashes).alias("h")))
+    return F.when(F.size(hashes).between(1, LEAST_WORDS - 1), alone).otherwise(F.array().cast(_SEEDS))
+
+
 def _words(df: DataFrame, keep: list[Column]) -> DataFrame:
     return df.select(*keep, F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w)).alias("_w"))
 
@@ -50,8 +58,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 20
     """Pairs of a document and a benchmark item whose texts overlap, one row per ``doc_id`` and ``item_id``.
 
     Words are lower-cased. They overlap if 12 words in a row of the item stand in the document with at
-    least 10 of them equal, place by place; an item of 5 to 11 words must stand there whole and equal, a
-    shorter one is ignored. Returns ``n_item_words``, ``n_equal`` and ``doc_start`` (equal words of the
+    least 10 of them equal, place by place; an item of 5 to 11 words must stand there whole and equal, and
+    one of 1 to 4 words must be all of the document's words; one without words is ignored. Returns ``n_item_words``, ``n_equal`` and ``doc_start`` (equal words of the
     best alignment, and the document's word at which it would begin) and ``best_window`` (most equal
     words among 12). Null texts overlap with nothing; null ids are kept as a value; repeated rows give
     one pair, and of different texts under one id the best alignment counts. Hashes of words stand for
@@ -68,24 +76,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 20
 def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     """The alignments that count, as ``contamination`` describes them, of each text: ``_text`` is the hash of the
     document's, and items are told apart by id and text (``_item``)."""
-    items = _words(benchmark.select("item_id", "text").distinct(), ["item_id", F.xxhash64("item_id", "text").alias("_item")]).filter(F.size("_w") >= LEAST_WORDS).withColumnsRenamed({"_w": "_iw"})
+    items = _words(benchmark.select("item_id", "text").distinct(), ["item_id", F.xxhash64("item_id", "text").alias("_item")]).filter(F.size("_w") > 0).withColumnsRenamed({"_w": "_iw"})
     items = materialize(items, "benchmark-words")
-    short = sorted(r[0] for r in items.filter(F.size("_iw") < WINDOW).select(F.size("_iw")).distinct().collect())
-    stretch = F.when(F.size("_iw") >= WINDOW, seeds(F.col("_iw"))).otherwise(whole(F.col("_iw"), short)) if short else seeds(F.col("_iw"))
-    probe = items.select("_item", "_iw", F.explode(stretch).alias("_s"))
-    probe = probe.filter((F.size("_iw") >= WINDOW) | (F.col("_s.h") == F.xxhash64(F.size("_iw"), "_iw")))
+    short = sorted(r[0] for r in items.filter(F.size("_iw").between(LEAST_WORDS, WINDOW - 1)).select(F.size("_iw")).distinct().collect())
+    stretches = lambda w: F.concat(seeds(w), all_of(w), *[whole(w, short)] if short else [])
+    of_item = F.when(F.size("_iw") >= WINDOW, seeds(F.col("_iw"))).when(F.size("_iw") < LEAST_WORDS, all_of(F.col("_iw")))
+    probe = items.select("_item", "_iw", F.explode(of_item.otherwise(whole(F.col("_iw"), short) if short else F.array().cast(_SEEDS))).alias("_s"))
+    probe = probe.filter(~F.size("_iw").between(LEAST_WORDS, WINDOW - 1) | (F.col("_s.h") == F.xxhash64(F.size("_iw"), "_iw")))
     probe = materialize(probe.select("_item", F.size("_iw").alias("_n"), F.col("_s.p").alias("_q"), F.col("_s.h").alias("_h")), "benchmark-seeds")
     n_seeds = probe.count()
 
     d = _words(docs, [F.col("doc_id"), F.xxhash64("text").alias("_text")])
-    every = seeds(F.col("_w")) if not short else F.concat(seeds(F.col("_w")), whole(F.col("_w"), short))
-    found = d.select("doc_id", "_text", "_w", F.explode(every).alias("_s")).withColumns({"_p": F.col("_s.p"), "_h": F.col("_s.h")})
-    hits = found.join(small(probe, n_seeds, max_broadcast), "_h")
     # the document's words from where the item would begin, and how many of the item's come before the text
     offset = F.col("_p") - F.col("_q")
-    around = F.slice("_w", F.greatest(offset, F.lit(0)) + 1, F.greatest(F.col("_n") + F.least(offset, F.lit(0)), F.lit(0)))
-    lines = hits.select("doc_id", "_text", "_item", offset.alias("doc_start"), around.alias("_dw"))
-    lines = lines.groupBy("doc_id", "_text", "_item", "doc_start").agg(F.first("_dw").alias("_dw"))
+    from_ = lambda start: F.slice("_w", F.greatest(start, F.lit(0)) + 1, F.greatest(F.col("_n") + F.least(start, F.lit(0)), F.lit(0)))
+    by = ["doc_id", "_text", "_item", "doc_start"]
+    if n_seeds <= max_broadcast:  # the words stay where they are, only those around a hit travel
+        found = d.select("doc_id", "_text", "_w", F.explode(stretches(F.col("_w"))).alias("_s")).withColumns({"_p": F.col("_s.p"), "_h": F.col("_s.h")})
+        hits = found.join(F.broadcast(probe), "_h")
+        lines = hits.select("doc_id", "_text", "_item", offset.alias("doc_start"), from_(offset).alias("_dw")).groupBy(*by).agg(F.first("_dw").alias("_dw"))
+    else:  # seeds are shuffled without the words, which then join the hits of their text
+        found = d.select("doc_id", "_text", F.explode(stretches(F.col("_w"))).alias("_s")).select("doc_id", "_text", F.col("_s.p").alias("_p"), F.col("_s.h").alias("_h"))
+        hits = found.join(probe, "_h").select("doc_id", "_text", "_item", "_n", offset.alias("doc_start")).distinct()
+        texts = d.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "_w").dropDuplicates(["_id", "_of"])
+        hits = hits.join(texts, hits["doc_id"].eqNullSafe(texts["_id"]) & (hits["_text"] == texts["_of"]))
+        lines = hits.select(*by, from_(F.col("doc_start")).alias("_dw"))
     both = lines.join(small(items, n_seeds, max_broadcast // 40), "_item")
     part = F.slice("_iw", F.greatest(-F.col("doc_start"), F.lit(0)) + 1, F.size("_dw"))
     both = both.withColumn("_same", F.zip_with("_dw", part, lambda a, b: F.when(a == b, 1).otherwise(0)))
@@ -97,17 +112,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 200_000
     return both.filter(counts.otherwise(F.col("n_equal") == F.col("n_item_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, by_text: bool = False) -> DataFrame:
-    """``docs`` without the documents that overlap with a benchmark item; columns and other rows stay as they are.
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text overlaps with a benchmark item; columns and other rows stay as they are.
 
-    A document is all rows of one ``doc_id``, null among them; with ``by_text``, all rows of one id and text, so
-    that a clean text stays whatever other rows share its id.
+    Rows go by their id and their own text, so a clean text stays whatever other rows share its id, null or not.
     """
-    if by_text:
-        bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("_text").alias("_bad_text")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"]), "left_anti")
-    bad = contamination(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("_text").alias("_bad_text")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"]), "left_anti")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,10 @@ DECONTAMINATION = f"""with d as (select doc_id, {_WORDS.format("lower(text)")} a
  dw as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as p, len(w) as nd from d), iw as (select item_id, unnest(w) as word, unnest(range(0, len(w))) as q, len(w) as n from i where len(w) >= 5),
  same as (select doc_id, item_id, p - q as off, q, n, nd from dw join iw using (word)),
  lines as (select doc_id, item_id, off, any_value(n) as n, any_value(nd) as nd, list(q) as qs from same group by all having count(*) >= least(10, any_value(n))),
+ alone as (select doc_id, item_id, len(i.w) as n, len(i.w) as n_equal, len(i.w) as best_window, 0 as doc_start from d join i on d.w = i.w where len(i.w) between 1 and 4),
  best as (select *, len(qs) as n_equal, case when n >= 12 then list_max(list_transform(range(greatest(0, -off), least(n, nd - off) - 11), lambda s: len(list_filter(qs, lambda q: q >= s and q < s + 12)))) else len(qs) end as best_window from lines)
- select doc_id, item_id, n as n_item_words, n_equal, best_window, off as doc_start from best where case when n >= 12 then best_window >= 10 else n_equal = n end
- qualify row_number() over (partition by doc_id, item_id order by n_equal desc, best_window desc, off) = 1"""
+ select doc_id, item_id, n as n_item_words, n_equal, best_window, doc_start from (select doc_id, item_id, n, n_equal, best_window, off as doc_start from best where case when n >= 12 then best_window >= 10 else n_equal = n end union all select * from alone)
+ qualify row_number() over (partition by doc_id, item_id order by n_equal desc, best_window desc, doc_start) = 1"""
 
 NEAR_DEDUP = f"""with recursive d as (select doc_id, {_WORDS.format(_A_TO_Z.format("text"))} as w from documents),
  s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as shingles from d),

@@ -1,103 +1,125 @@
 """Sharding by a hypergeometric communication matrix.
 
 The rows are dealt to logical partitions by a hash. For each partition the exact number of rows that
-go to each block of each shard is drawn from the multivariate hypergeometric law, so that the row sums
-are the partitions' sizes and the column sums the blocks' fixed sizes. A partition then permutes its
-rows (a rank by a seeded hash), hands them out by those counts, and every block permutes what it has
-received. The result is a uniform shuffle with exact shard sizes; only the matrix, whose size is
-bounded by two parameters, is made on the driver.
+go to each shard is drawn from the multivariate hypergeometric law, so that the row sums are the
+partitions' sizes and the column sums the shards' fixed sizes. A partition then permutes its rows (a
+rank by a seeded hash), hands them out by those counts, and every shard permutes what it has received.
+The result is a uniform shuffle with exact shard sizes.
 
-Every choice is a function of the rows' values and the seed, so a task that runs again after an
+The matrix is a tree of two levels: the driver draws one row for each group of partitions, and a task
+splits a group's row among its partitions. Both laws are the same, so the result is too. A shard orders
+its rows by a second seeded hash; equal ranges of that hash are its blocks, whose counts give the slots
+at which they begin, so no task holds a shard.
+
+Every choice is a function of the row's values and the seed, so a task that runs again after an
 executor was lost makes the same choice.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import documents, shielded, small
+from plumbline.llm.common import documents, materialize, n_partitions, shielded, small
 
 OUT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-#: Above this the generator has no exact hypergeometric draw.
-_EXACT = 10**9 - 1
-
-
-def _draw(rng: np.random.Generator, colors: np.ndarray, n: int) -> np.ndarray:
-    """How many of ``n`` rows go to each block of the given free places."""
-    if n == 0:
-        return np.zeros_like(colors)
-    if colors.sum() <= _EXACT:
-        return rng.multivariate_hypergeometric(colors, n, method="marginals")
-    out, left, total = np.zeros_like(colors), n, int(colors.sum())
-    for i, c in enumerate(colors):
-        rest = total - int(c)
-        if total <= _EXACT:
-            x = int(rng.hypergeometric(int(c), rest, left)) if c and left else 0
-        else:  # the normal law, cut to the possible values
-            p = c / total
-            x = round(rng.normal(left * p, np.sqrt(max(left * p * (1 - p) * (total - left) / max(total - 1, 1), 0))))
-        out[i] = x = min(max(x, left - rest, 0), int(c), left)
-        left, total = left - x, rest
-    return out
-
-
-def communication_matrix(counts: list[int], blocks: list[int], seed: int) -> np.ndarray:
-    """Counts of rows from each partition to each block; its margins are ``counts`` and ``blocks``."""
-    rng, free, rows = np.random.default_rng(seed), np.array(blocks, dtype=np.int64), []
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn without replacement are of the ``good``: inversion over all values with weight.
+
+    The ratios of neighbouring probabilities are plain products, so one way serves counts of any size; what
+    lies more than 12 standard deviations off has a probability below what a double holds.
+    """
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    total = good + bad
+    mode = (good + 1) * (n + 1) // (total + 2)
+    p = good / total
+    reach = 40 + int(12 * math.sqrt(max(n * p * (1 - p) * (total - n) / max(total - 1, 1), 0.0)))
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    x = np.arange(first, last, dtype=np.float64)
+    log = np.cumsum(np.r_[0.0, np.log((good - x) * (n - x) / ((x + 1) * (bad - n + x + 1)))])
+    upto = np.cumsum(np.exp(log - log.max()))
+    return first + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
+
+
+def communication_matrix(counts: list[int], places: list[int], rng: np.random.Generator) -> list[list[int]]:
+    """Counts of rows from each partition to each shard; its margins are ``counts`` and ``places``."""
+    free, rows = [int(c) for c in places], []
     for n in counts:
-        rows.append(drawn := _draw(rng, free, int(n)))
-        free = free - drawn
-    return np.array(rows, dtype=np.int64).reshape(len(counts), len(blocks))
+        left, total, row = int(n), sum(free), []
+        for c in free:
+            total -= c
+            row.append(hypergeometric(rng, c, total, left))
+            left -= row[-1]
+        rows.append(row)
+        free = [c - x for c, x in zip(free, row)]
+    return rows
 
 
-def block_sizes(n: int, n_shards: int, per_shard: int) -> list[list[int]]:
-    """Sizes of the blocks of each shard; shards differ by one row at most, and so do a shard's blocks."""
-    shards = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
-    return [[m // per_shard + (b < m % per_shard) for b in range(per_shard)] for m in shards]
+def _hashable(docs: DataFrame) -> list[Column]:
+    """All columns in a form that has a hash; what holds a map goes as its JSON."""
+    holds_map = lambda t: isinstance(t, (T.MapType, T.VariantType)) or "map<" in t.simpleString()
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if holds_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
 
 
-def shard_rows(
-    docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_partition: int = 2048, max_partitions: int = 1000, max_blocks: int = 4000
-) -> DataFrame:
+def shard_rows(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_partition: int = 16384, group: int = 2048) -> DataFrame:
     """``docs`` with a shard, a slot and the row's size: law ``rows``, a uniform random permutation.
 
     Adds ``size`` (UTF-8 bytes plus 16; null text counts none), ``text_crc32`` (0 for a null or empty
     text), ``law``, ``shard``, ``slot`` (0, 1, ... within the shard) and a null ``grown_shard``; input
     columns with these names are replaced. Null ids are dealt like others, repeated rows are separate
-    rows, an empty table gives an empty result. Shards differ by one row at most, whatever group of
-    equal texts there is, so equal texts are not held together. ``max_partitions`` times ``max_blocks``
-    bounds the matrix; beyond them partitions and blocks hold more rows.
+    rows, an empty table gives an empty result; rows that agree in id and text are told apart by their
+    other columns. Shards differ by one row at most, whatever group of equal texts there is, so equal
+    texts are not held together. Partitions and blocks hold some ``rows_per_partition`` rows, so their
+    number grows with the table; the driver holds one row of ``n_shards`` counts for ``group`` of them.
     """
     spark = docs.sparkSession
     docs, back = shielded(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.drop(*OUT).withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text).cast("long")})
+    kept = docs.drop(*OUT)
     n = docs.count()
-    parts = min(max_partitions, max(1, -(-n // rows_per_partition)))
-    per_shard = max(1, min(max_blocks // n_shards, -(-n // (n_shards * rows_per_partition))))
-    key = lambda i: F.xxhash64(F.lit(seed + i), "doc_id", "text_crc32", "size")
-    base = base.withColumns({"_pid": F.pmod(key(0), F.lit(parts)).cast("int"), "_local": key(1), "_final": key(2)})
-
-    counts = {r["_pid"]: r["count"] for r in base.groupBy("_pid").count().collect()}
-    shards = block_sizes(n, n_shards, per_shard)
-    matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], [b for s in shards for b in s], seed)
-    dealt = []
-    for p in range(parts):
-        ends = np.cumsum(matrix[p]).reshape(n_shards, per_shard)
-        dealt.append((p, [int(x) for x in ends[:, -1]], [[int(x) for x in row] for row in ends]))
-    dealt = spark.createDataFrame(dealt, "_pid int, _shard_ends array<bigint>, _block_ends array<array<bigint>>")
-    first = spark.createDataFrame([(s, b, int(sum(shards[s][:b]))) for s in range(n_shards) for b in range(per_shard)], "shard int, _block int, _first long")
+    parts = max(n_partitions(spark) if n else 1, -(-n // rows_per_partition))
+    per_shard = max(1, -(-n // (n_shards * rows_per_partition)))
+    key = lambda i: F.xxhash64(F.lit(seed + i), *_hashable(kept))
+    keys = {"_pid": F.pmod(key(0), F.lit(parts)), "_local": key(1), "_final": key(2)}
+
+    counts = kept.select(keys["_pid"].alias("_pid")).groupBy("_pid").count().withColumn("_group", F.floor(F.col("_pid") / group))
+    counts = materialize(counts.select("_group", "_pid", "count"), "partition-counts")
+    totals = sorted((r[0], r[1]) for r in counts.groupBy("_group").agg(F.sum("count")).collect())
+    shards = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
+    top = communication_matrix([c for _, c in totals], shards, np.random.default_rng(seed))
+    margins = spark.createDataFrame([(g, row) for (g, _), row in zip(totals, top)], "_group long, _margin array<bigint>")
+
+    def split(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("_pid")
+        matrix = communication_matrix(pdf["count"].tolist(), pdf["_margin"].iloc[0].tolist(), np.random.default_rng([seed, int(pdf["_group"].iloc[0])]))
+        return pd.DataFrame({"_pid": pdf["_pid"].values, "_ends": [np.cumsum(row).tolist() for row in matrix]})
+
+    dealt = materialize(counts.join(F.broadcast(margins), "_group").groupBy("_group").applyInPandas(split, "_pid long, _ends array<bigint>"), "matrix")
 
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by[0]).orderBy(*by[1])) - 1
-    passed = lambda ends: F.size(F.filter(ends, lambda e: e <= F.col("_rank")))
-    out = base.withColumn("_rank", rank(["_pid"], ["_local", "_final", "doc_id"])).join(small(dealt, parts, 2048), "_pid")
-    out = out.withColumn("shard", passed(F.col("_shard_ends")).cast("int"))
-    out = out.withColumn("_block", passed(F.col("_block_ends")[F.col("shard")]).cast("int")).drop("_shard_ends", "_block_ends", "_rank")
-    out = out.withColumn("_place", rank(["shard", "_block"], ["_final", "_local", "doc_id"])).join(F.broadcast(first), ["shard", "_block"])
-    out = out.withColumns({"slot": (F.col("_first") + F.col("_place")).cast("int"), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
-    return back(out.select(*[c for c in docs.columns if c not in OUT], *OUT))
+
+    def sharded(rows: DataFrame) -> DataFrame:
+        out = rows.withColumns(keys).withColumn("_rank", rank(["_pid"], ["_local", "_final"])).join(small(dealt, parts, 2048), "_pid")
+        block = F.floor(F.shiftrightunsigned("_final", 12) / F.lit(float(1 << 52)) * per_shard).cast("int")
+        return out.withColumns({"shard": F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).cast("int"), "_block": block}).drop("_ends", "_rank", "_pid")
+
+    sizes = sharded(kept).groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("shard").orderBy("_block")) - F.col("_n")
+    first = materialize(sizes.select("shard", "_block", upto.alias("_first")), "block-starts")
+    out = sharded(kept.withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text).cast("long")}))
+    out = out.withColumn("_place", rank(["shard", "_block"], ["_final", "_local"])).join(small(first, n_shards * per_shard), ["shard", "_block"])
+    out = out.withColumns({"slot": (F.col("_first") + F.col("_place")).cast("long"), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    return back(out.select(*[c for c in kept.columns], *OUT))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

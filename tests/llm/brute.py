@@ -84,7 +84,9 @@ def contamination(docs, items, window=12, least=10):
         dw = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
         for i, it in items:
             iw = re.findall(r"[^\x20\x09-\x0D]+", (it or "").lower())
-            if len(iw) < 5:
+            if len(iw) < 5:  # a short item must be the whole document
+                if iw and iw == dw:
+                    out[d, i] = len(iw)
                 continue
             for off in range(-len(iw) + 1, len(dw)):
                 same = [dw[off + q] == iw[q] for q in range(max(0, -off), min(len(iw), len(dw) - off))]

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from math import comb
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ import brute
 from tables import SMALL
 from plumbline.llm import queries
 from plumbline.llm.mixing import mix_documents, mixed
-from plumbline.llm.sharding import block_sizes, communication_matrix, shard_rows
+from plumbline.llm.sharding import communication_matrix, hypergeometric, shard_rows
 
 
 def targets(sizes):
@@ -77,9 +78,24 @@ def test_mix_repeated_rows_and_null_ids(spark):
 def test_matrix_margins():
     rng = random.Random(1)
     counts = [rng.randrange(50) for _ in range(30)]
-    blocks = [b for s in block_sizes(sum(counts), 40, 3) for b in s]
-    m = communication_matrix(counts, blocks, 5)
-    assert (m.sum(axis=1) == counts).all() and (m.sum(axis=0) == blocks).all() and (m >= 0).all()
+    places = [sum(counts) // 40 + (i < sum(counts) % 40) for i in range(40)]
+    m = np.array(communication_matrix(counts, places, np.random.default_rng(5)))
+    assert (m.sum(axis=1) == counts).all() and (m.sum(axis=0) == places).all() and (m >= 0).all()
+    large = np.array(communication_matrix([3 * 10**10, 5, 7 * 10**10], [25 * 10**9] * 4 + [5], np.random.default_rng(5)))
+    assert large.sum(axis=1).tolist() == [3 * 10**10, 5, 7 * 10**10] and large.sum(axis=0).tolist() == [25 * 10**9] * 4 + [5] and (large >= 0).all()
+
+
+def test_hypergeometric_law():
+    """Frequencies of all values against the exact law, and moments beyond the sizes that common generators draw."""
+    rng = np.random.default_rng(3)
+    for good, bad, n in [(5, 7, 6), (1, 30, 4), (40, 3, 20), (3, 0, 2)]:
+        got = np.bincount([hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1) / 20_000
+        law = [comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(n + 1)]
+        assert np.abs(got - law).max() < 0.015
+    good, bad, n = 10**11, 3 * 10**11, 10**10
+    x = np.array([hypergeometric(rng, good, bad, n) for _ in range(400)], dtype=float)
+    sd = (n * 0.25 * 0.75 * (1 - n / (good + bad))) ** 0.5
+    assert abs(x.mean() - n / 4) < 4 * sd / 20 and 0.85 < x.std() / sd < 1.15
 
 
 def check_shards(rows, n_shards=40):
@@ -105,7 +121,7 @@ def test_shards_of_the_small_table(spark):
 def test_shards_with_hot_copies_nulls_and_clashes(frame):
     rows = [(i, "same text" if i % 3 == 0 else f"text {i}") for i in range(500)] + [(None, None), (None, None), (7, "x"), (7, "x"), (8, "")]
     df = frame(rows)
-    out = shard_rows(df, rows_per_partition=4, max_partitions=20, max_blocks=80)
+    out = shard_rows(df, rows_per_partition=4, group=7)
     got = out.collect()
     assert len(got) == len(rows) and "shard" in out.columns
     check_shards(got)
@@ -113,6 +129,15 @@ def test_shards_with_hot_copies_nulls_and_clashes(frame):
     assert shard_rows(df.filter("false")).count() == 0
 
 
+def test_rows_that_differ_elsewhere_are_dealt_alike_again(spark):
+    """Rows of one id and text get the same place in every run, also when they come in another order; maps and long texts pass."""
+    rows = [(1, "same", f"url{i}", {"k": i}) for i in range(60)] + [(2, "x" * 3_000_000, "long", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string, more map<string,int>")
+    place = lambda d: {r["url"]: (r["shard"], r["slot"]) for r in shard_rows(d, n_shards=7, rows_per_partition=5).select("url", "shard", "slot").collect()}
+    once = place(df)
+    assert len(once) == 61 and once == place(df.orderBy(F.rand(1)))
+
+
 def test_shuffle_is_uniform(spark):
     """Neighbours in the input land in all shards alike: a chi-square test over shard and slot."""
     df = spark.range(8000).selectExpr("id as doc_id", "'t' as text")
@@ -144,7 +169,7 @@ def test_pipeline_stages(spark):
             kept = {r["doc_id"] for r in queries.QUERIES["op4_quality_rules"](spark, SMALL).filter("kept").collect()}
             assert set(after) == kept
         elif name == "near_dedup":
-            assert set(after) == {i for i, v in brute.near_dedup(before).items() if v[2]}
+            assert set(after) == {i for i, v in brute.near_dedup(before, 80).items() if v[2]}
         elif name == "decontamination":
             assert set(after) == {i for i, _ in before} - {d for d, _ in brute.contamination(before, bench)}
         elif name == "mixing":

@@ -51,4 +51,4 @@ def test_item_texts_under_one_id(spark, frame):
     twice = spark.createDataFrame([(7, " ".join(a[:13] + ["p"] * 11)), (7, " ".join(a))], "item_id long, text string")
     rows = contamination(frame([(1, " ".join(a))]), twice).collect()
     assert [(r["item_id"], r["n_item_words"], r["n_equal"]) for r in rows] == [(7, 24, 24)]
-    assert decontaminate(df, bench, by_text=True).count() == 1
+    assert decontaminate(df, bench).count() == 1
