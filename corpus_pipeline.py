@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import documents, materialize, table
+from plumbline.llm.common import documents, settled, table
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.mixing import mix_documents
 from plumbline.llm.near_dedup import drop_near_duplicates
@@ -55,5 +55,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

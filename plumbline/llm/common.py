@@ -1,7 +1,7 @@
 """Helpers that the training-data operators share.
 
 Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``; a temporary
-folder of our own is used only where that setting is absent (tests on one machine).
+folder of our own is used only where that setting is absent in local mode (tests on one machine).
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 #: Separators between words: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
 _own_dir: dict[str, str] = {}
+#: Intermediate tables of this session, in the order in which they were written.
+_written: list[str] = []
 
 # Functions of this package travel to the executors with their code, so that a cluster needs no
 # installed copy of it.
@@ -40,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="plumbline-")
@@ -51,17 +56,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize(make(), name)``; the tables that ``make`` has written on its way are deleted, as nothing else reads them."""
+    before = len(_written)
+    out = materialize(make(), name)
+    for path in _written[before:-1]:
+        _delete(spark, path)
+    del _written[before:-1]
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}"
 
 
 def clean_up(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; results that were not written yet can't be read after it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _session_dir(spark))
+    _written.clear()
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -86,12 +107,13 @@ def words_of(text: Column) -> Column:
 def with_row_ids(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame, str, str], DataFrame]]:
     """``docs`` with a unique ``_rid`` in the order of ``id_col``, and ``name(df, rid, out)``, which adds the id of row ``rid``.
 
-    Ids are used as they are when all are present and distinct. Otherwise rows are ordered by id
-    (nulls last) and text, numbered, and written to the shared folder so that the numbers are stable.
+    Whole numbers are used as they are when all are present and distinct. Otherwise, and for ids of other
+    types, rows are ordered by id (nulls last) and text, numbered, and written to the shared folder so that
+    the numbers are stable.
     """
     kind = docs.schema[id_col].dataType
     c = docs.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("k")).first()
-    distinct = c["n"] == c["k"] and docs.groupBy(id_col).count().filter("count > 1").limit(1).count() == 0
+    distinct = isinstance(kind, (ByteType, ShortType, IntegerType, LongType)) and c["n"] == c["k"] and docs.groupBy(id_col).count().filter("count > 1").limit(1).count() == 0
     if distinct:
         return docs.withColumn("_rid", F.col(id_col).cast("long")), lambda df, rid, out: df.withColumn(out, F.col(rid).cast(kind))
     order = [F.col(id_col).asc_nulls_last(), F.xxhash64("text")]

@@ -132,29 +132,30 @@ def train(
     return model
 
 
-def training_sample(docs: DataFrame, per_lang: int, max_docs: int, crop_chars: int, seed: int, max_langs: int = 500) -> tuple[list[str], list[str]]:
-    """A bounded sample for the driver: about ``per_lang`` texts of each language and ``max_docs`` in all, a seeded
-    stretch of ``crop_chars`` characters of each; the ``max_langs`` most frequent languages.
+def training_sample(docs: DataFrame, per_lang: int, max_docs: int, crop_chars: int, seed: int, max_langs: int, few: int = 8) -> tuple[list[str], list[str]]:
+    """A bounded sample for the driver: about ``per_lang`` texts of each language and ``max_docs`` in all, but some
+    ``few`` of every language; a seeded stretch of ``crop_chars`` characters of each.
 
-    Rows are taken by a hash of their id below a rate that follows from the language's count, so no
-    language's rows have to come together.
+    Rows are taken by a hash of their id and text below a rate that follows from the language's count, so no
+    language's rows have to come together. Of more than ``max_langs`` languages the most frequent are learned.
     """
-    h = F.xxhash64(F.lit(seed), "doc_id")
+    h = F.xxhash64(F.lit(seed), "doc_id", "text")
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_bucket() != 2))
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()
     if not counts:
         return [], []
     share = min(1.0, max_docs / sum(min(r["n"], per_lang) for r in counts))
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], share * min(1.0, per_lang / r["n"]))])
-    taken = usable.filter(F.pmod(h, F.lit(1 << 20)) < F.try_element_at(rates, F.col("lang")) * (1 << 20))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max(share * per_lang, few) / r["n"])) for r in counts], "lang string, _rate double")
+    taken = usable.join(F.broadcast(rates), "lang").filter(F.shiftrightunsigned(h, 12) < F.col("_rate") * (1 << 52))
     start = F.when(F.length("text") > crop_chars, F.pmod(h, F.greatest(F.length("text") - crop_chars + 1, F.lit(1)))).otherwise(0).cast("int") + 1
-    got = taken.select("doc_id", "lang", F.col("text").substr(start, F.lit(crop_chars)).alias("text")).limit(2 * max_docs).collect()
+    got = taken.select("doc_id", "lang", F.col("text").substr(start, F.lit(crop_chars)).alias("text"), h.alias("_h"))
+    got = got.orderBy("_h", "doc_id", "lang").limit(2 * (max_docs + few * len(counts))).collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     order = np.random.default_rng(seed).permutation(len(got))
     return [got[i]["text"] for i in order], [got[i]["lang"] for i in order]
 
 
-def identify_language(docs: DataFrame, per_lang: int = 1200, max_docs: int = 6000, crop_chars: int = 4000, seed: int = 1) -> DataFrame:
+def identify_language(docs: DataFrame, per_lang: int = 1200, max_docs: int = 6000, crop_chars: int = 4000, max_langs: int = 5000, seed: int = 1) -> DataFrame:
     """Language of every whole text.
 
     Learns from rows with a text, a language and ``crc32(doc_id) % 4 <> 2`` only (a bounded sample, the
@@ -164,7 +165,7 @@ def identify_language(docs: DataFrame, per_lang: int = 1200, max_docs: int = 600
     the calibrated score is below the threshold. A null id is not held out and not learned from.
     Repeated rows give a row each.
     """
-    texts, langs = training_sample(docs, per_lang, max_docs, crop_chars, seed)
+    texts, langs = training_sample(docs, per_lang, max_docs, crop_chars, seed, max_langs)
     model = train(texts, langs, seed=seed)
     # plain values: a broadcast object would need this package on the executors
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
@@ -193,12 +194,12 @@ def identify_language(docs: DataFrame, per_lang: int = 1200, max_docs: int = 600
             )
 
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         F.coalesce(crc_bucket() == 2, F.lit(False)).alias("held_out"),
         "text",
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
     )
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(predict, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,10 @@ over is made up. All of this works on histograms whose size per source is bounde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, documents, materialize, shielded, small
+from plumbline.llm.common import WORD, documents, materialize, n_partitions, shielded, small
 
 CAP = 3
 BINS = 1024  # of the priority, for each unit of it
@@ -26,20 +26,44 @@ def _key(source: Column | str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source) if isinstance(source, str) else source), F.lit("-"))
 
 
+def ranked_sources(per: DataFrame) -> DataFrame:
+    """``per`` with ``rank`` (from 0) by code point, nulls last: sorted in ranges, whose counts say where each begins."""
+    n = n_partitions(per.sparkSession)
+    order = F.col("source").asc_nulls_last()
+    rows = materialize(per.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("_at", 33)
+    before, upto = [], 0
+    for p, count in sorted(rows.groupBy(part).count().collect()):  # a row a partition
+        before.append((p, upto))
+        upto += count
+    starts = per.sparkSession.createDataFrame(before, "_part long, _before long")
+    rows = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return rows.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """(_source, source, source_size, target, n) from (source, size): weights 1, 2, 3, ... by code point, nulls last."""
+    """(_source, source, source_size, target, n) from (source, size): weights 1, 2, 3, ... by code point, nulls last.
+
+    Targets are the weights times a level. Sources that the level would lift above their limit stay at it,
+    and the level for the others follows, until no other source is above: sums over all sources a round.
+    """
     per = sizes.groupBy(_key().alias("_source"), "source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("weight", ((rank - 1) % 3 + 1).cast("double")).withColumn("full", (CAP * F.col("source_size")).cast("double"))
-    # the level at which sources fill up: sources in the order in which they reach their limit
-    by = Window.orderBy(F.col("full") / F.col("weight"), "_source")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.partitionBy(F.lit(0))
-    per = per.withColumns({"_full": F.sum("full").over(upto), "_weight": F.sum("weight").over(upto), "_total": F.sum("source_size").over(all_).cast("double"), "_weights": F.sum("weight").over(all_)})
-    filled = F.col("_full") + F.col("full") / F.col("weight") * (F.col("_weights") - F.col("_weight"))
-    level = F.when(filled >= F.col("_total"), (F.col("_total") - F.col("_full") + F.col("full")) / (F.col("_weights") - F.col("_weight") + F.col("weight")))
-    per = per.withColumn("_level", F.first(level, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return per.select("_source", "source", "source_size", F.least("full", F.col("weight") * F.col("_level")).alias("target"), "n")
+    per = ranked_sources(per).withColumn("weight", (F.col("rank") % 3 + 1).cast("double")).withColumn("full", (CAP * F.col("source_size")).cast("double"))
+    per = materialize(per.drop("rank"), "weighted-sources")
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    level, above = 0.0, -1
+    while True:
+        limited = F.col("full") <= F.col("weight") * level
+        sums = per.agg(F.count_if(limited), F.sum(F.when(limited, F.col("full")).otherwise(0.0)), F.sum(F.when(limited, 0.0).otherwise(F.col("weight")))).first()
+        if sums[0] == above or not sums[2]:
+            break
+        above, level = sums[0], (total - sums[1]) / sums[2]
+    return per.select("_source", "source", "source_size", F.least("full", F.col("weight") * level).alias("target"), "n")
+
+
+def _few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of some ``rows`` rows in one file for each half million."""
+    return df.coalesce(1 + rows // 500_000)
 
 
 def _rate(tilt: Column) -> Column:
@@ -52,7 +76,7 @@ def solve(sizes: DataFrame, per: DataFrame, n_sources: int, tolerance: float = 1
     mean = F.greatest(F.col("source_size"), F.lit(1)) / F.greatest(F.col("n"), F.lit(1))
     full = F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)
     now = per.withColumns({"mean_size": mean, "full": full, "tilt": F.lit(0.0), "_low": F.lit(float("-inf")), "_high": F.lit(float("inf")), "_off": F.when(full, 0.0).otherwise(1.0)})
-    now = materialize(now.coalesce(1), "multipliers")
+    now = materialize(_few_files(now, n_sources), "multipliers")
     for _ in range(steps):
         z = F.col("size") / F.col("mean_size")
         rate = _rate(F.col("tilt") * z)
@@ -68,7 +92,7 @@ def solve(sizes: DataFrame, per: DataFrame, n_sources: int, tolerance: float = 1
         after = after.withColumn("_new", F.when(F.col("full") | F.col("_f").isNull(), F.col("tilt")).when(inside, newton).otherwise((F.col("_low2") + F.col("_high2")) / 2))
         off = F.when(F.col("full") | F.col("_f").isNull(), 0.0).otherwise(F.abs(F.col("_f") - F.col("target")) / F.col("target"))
         after = after.select("_source", "source", "source_size", "target", "n", "mean_size", "full", F.when(off <= tolerance, F.col("tilt")).otherwise(F.col("_new")).alias("tilt"), F.col("_low2").alias("_low"), F.col("_high2").alias("_high"), off.alias("_off"))
-        now = materialize(after.coalesce(1), "multipliers")
+        now = materialize(_few_files(after, n_sources), "multipliers")
         if (now.agg(F.max("_off")).first()[0] or 0) <= tolerance:
             break
     return now.drop("_low", "_high", "_off")
@@ -139,7 +163,7 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     priority = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12) / F.lit(float(1 << 52))
     rows = docs.select(*own).withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_u": priority})
     sizes = materialize(rows.select("source", "size", "_u"), "sizes")
-    per = materialize(targets(sizes).coalesce(1), "targets")
+    per = targets(sizes)
     n_sources = per.count()
     solved = solve(sizes, per, n_sources).drop("source", "n")
     cut = materialize(cuts(_priced(sizes.withColumn("_source", _key()).join(small(solved, n_sources), "_source"))), "cuts")

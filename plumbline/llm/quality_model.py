@@ -151,7 +151,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 6000, th
     """
     usable = labels.filter(F.col("quality").isNotNull() & (crc_bucket() != 2)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     picked = usable.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality").limit(max_labels)
-    got = measured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["doc_id", "quality"]).limit(2 * max_labels).collect()
+    got = measured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["doc_id", "quality"])
+    got = got.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality", "features").limit(2 * max_labels).collect()
     got.sort(key=lambda r: (r["doc_id"], r["quality"], r["features"]))
     x = np.array([r["features"] for r in got]).reshape(len(got), len(FEATURES))
     model = fit(x, np.array([float(r["quality"] > 0) for r in got]))
@@ -162,8 +163,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 6000, th
             out = [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_bucket() == 2, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select("doc_id", F.coalesce(crc_bucket() == 2, F.lit(False)).alias("held_out"), "text")
+    return rows.mapInArrow(predict, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +23,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces of text that the vocabulary's merges apply to.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KINDS = ["assign", "access", "hex", "token"]
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_token long"
+SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_token long"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so runs of 24 and more are the matches that stay
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
-#: Hexadecimal lengths of the common digests.
-DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
+#: UUIDs, and hexadecimal strings as long as the common digests, between other characters than letters and digits.
+IDENTIFIER = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})(?![0-9A-Za-z])")
+LEAST = 20
 
 
 class TokenEfficiency:
@@ -56,18 +58,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def random_spans(text: str, taken: list[tuple[int, int, int]], model: TokenEfficiency, below: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
-    """Spans of unbroken strings with under ``below`` characters per token that no base span touches."""
+def random_spans(text: str, taken: list[tuple[int, int, int]], model: TokenEfficiency, below: float, letters_below: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
+    """Spans of unbroken strings of few characters per token that no base span touches.
+
+    Digests and UUIDs in a string are put aside; what is left of it counts if it has the least length. Numbers
+    alone are no random string; one of letters alone has to lie below ``letters_below``, and parts joined by
+    ``_``, ``-`` or ``/`` without a digit are a name.
+    """
     found = []
+    starts, upto = [a for a, _, _ in taken], list(accumulate((b for _, _, b in taken), max))
     for m in LONG.finditer(text):
-        s = m[0]
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
+        before = bisect_left(starts, m.end())
+        if before and upto[before - 1] > m.start() or m[0] in known:
             continue
-        if not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s):  # words and numbers alone are no random string
+        rest = IDENTIFIER.sub("", m[0])
+        if len(rest) < LEAST or not re.search(r"[A-Za-z]", rest):
             continue
-        if s in known or DIGEST.fullmatch(s) or UUID.fullmatch(s):
+        digits = re.search(r"[0-9]", rest)
+        if not digits and re.search(r"[_/-]", rest):
             continue
-        if model.ratio(s) < below:
+        if model.ratio(rest) < (below if digits else letters_below):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -76,7 +86,7 @@ def joined(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, below: float = 2.0, known: Iterable[str] = ()) -> DataFrame:
+def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, below: float = 2.0, letters_below: float = 1.8, known: Iterable[str] = ()) -> DataFrame:
     """One row per row of ``docs`` with the secrets found in its whole text.
 
     ``known`` strings (digests of public files, ids of the house) are left alone. A null or empty text
@@ -94,7 +104,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, below: float = 2
             for text in batch.column(1):
                 t = text.as_py() or ""
                 base = base_spans(t)
-                more = random_spans(t, base, model, below, known)
+                more = random_spans(t, base, model, below, letters_below, known)
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
             cols = list(zip(*rows)) or [[]] * 6
@@ -102,7 +112,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, below: float = 2
             names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names)
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCHEMA}")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

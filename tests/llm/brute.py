@@ -109,3 +109,29 @@ SPANS = [
 def base_spans(text):
     found = [(m.start(), k, m.end()) for k, (_, r, ok) in enumerate(SPANS) for m in r.finditer(text or "") if ok(m)]
     return [f"{SPANS[k][0]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+LONG_CHARACTERS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+
+
+def token_spans(text, n_tokens):
+    """Spans of random strings without digests and UUIDs, character by character; ``n_tokens`` counts a string's tokens."""
+    t = text or ""
+    base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t)]
+    out, k = [], 0
+    while k < len(t):
+        if t[k] not in LONG_CHARACTERS:
+            k += 1
+            continue
+        a = k
+        while k < len(t) and t[k] in LONG_CHARACTERS:
+            k += 1
+        s = t[a:k]
+        if len(s) < 20 or any(x < k and a < y for x, y in base) or not any(c.isalpha() for c in s):
+            continue
+        digits = any(c.isdigit() for c in s)
+        if not digits and any(c in "_-/" for c in s):
+            continue
+        if len(s) / sum(n_tokens(s[i : i + 256]) for i in range(0, len(s), 256)) < (2.0 if digits else 1.8):
+            out.append(f"token:{a}:{k}")
+    return out

@@ -89,9 +89,9 @@ def test_hypergeometric_law():
     """Frequencies of all values against the exact law, and moments beyond the sizes that common generators draw."""
     rng = np.random.default_rng(3)
     for good, bad, n in [(5, 7, 6), (1, 30, 4), (40, 3, 20), (3, 0, 2)]:
-        got = np.bincount([hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1) / 20_000
+        got = np.bincount([hypergeometric(rng, good, bad, n) for _ in range(4000)], minlength=n + 1) / 4000
         law = [comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(n + 1)]
-        assert np.abs(got - law).max() < 0.015
+        assert np.abs(got - law).max() < 0.04
     good, bad, n = 10**11, 3 * 10**11, 10**10
     x = np.array([hypergeometric(rng, good, bad, n) for _ in range(400)], dtype=float)
     sd = (n * 0.25 * 0.75 * (1 - n / (good + bad))) ** 0.5

@@ -167,6 +167,43 @@ def test_ratio_is_lower_for_random_strings():
     assert model.ratio("configuration") > 4 > 2 > model.ratio("x7Qp9ZtR2kLw8VbN3mHs")
 
 
-def test_prose_has_no_random_strings(spark):
-    got = queries.QUERIES["op10_secret_scan"](spark, SMALL)
-    assert got.filter("n_token > 0").count() == 0 and got.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+ALPHABETS = {"mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def test_planted_secrets_by_length(frame):
+    """Of planted random strings nearly all are found at any length, of names and prose none."""
+    rng = random.Random(12)
+    planted = [(k, n, "".join(rng.choice(a) for _ in range(n))) for k, a in ALPHABETS.items() for n in (20, 24, 32, 40, 200) for _ in range(60)]
+    planted = [p for p in planted if p[0] == "letters" or any(c.isdigit() for c in p[2])]
+    names = ["internationalization_configuration", "HttpServletRequestHandlerAdapterFactory", "/usr/share/applications/default-settings", "Donaudampfschifffahrtsgesellschaft", "1234567890123456789012",
+             "id=123e4567-e89b-12d3-a456-426614174000", "sha1/D41D8CD98F00B204E9800998ECF8427E00112233", "HAVE_NCURSES_CURSES_H_INCLUDED", "------------------------------", "verification-of-the-substitution"]
+    docs = frame([(i, f"é🎉 see {s}, then") for i, (_, _, s) in enumerate(planted)] + [(10_000 + i, f"see {s} then") for i, s in enumerate(names)])
+    got = {r["doc_id"]: r["spans"] for r in scan_secrets(docs).collect()}
+    hit = {}
+    for i, (k, n, s) in enumerate(planted):
+        hit.setdefault((k, n), []).append(any(x.startswith("token:7:") or not x.startswith("token") for x in got[i].split(",") if x))
+    assert all(np.mean(v) >= 0.9 for v in hit.values()), {k: np.mean(v) for k, v in hit.items()}
+    assert {got[10_000 + i] for i in range(len(names))} == {""}
+
+
+def test_letters_without_a_digit(frame):
+    assert [r["spans"] for r in scan_secrets(frame([(1, "x qZvddkndxvhGRXZhvuDjEWhGeEwQ y")])).collect()] == ["token:2:30"]
+
+
+def test_a_long_text_of_many_spans(frame):
+    """Linear in the text: 60,000 base spans and as many other strings."""
+    line = "token=abcdef " + "x7Qp9ZtR2kLw8VbN3mHs "
+    r = scan_secrets(frame([(1, line * 60_000)])).first()
+    assert r["n_assign"] == r["n_token"] == 60_000
+
+
+def test_query_against_brute_force(spark):
+    with open(VOCABULARY, "rb") as f:
+        model = TokenEfficiency(f.read())
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = queries.QUERIES["op10_secret_scan"](spark, SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base, more = brute.base_spans(texts[r["doc_id"]]), brute.token_spans(texts[r["doc_id"]], lambda s: len(model.encoding.encode_ordinary(s)))
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert sorted(s for s in r["spans"].split(",") if s) == sorted(base + more)
