@@ -240,6 +240,21 @@ def percent(x: Column) -> Column:
     return F.concat(F.bround(x * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
+def shown_score(x: Column) -> Column:
+    """A share as whole percent, halves up, ``--`` without one."""
+    return F.coalesce(F.concat(F.floor(x * 100 + 0.5).cast("string"), F.lit("%")), F.lit("--"))
+
+
+def shown_metric(metric: Column, x: Column) -> Column:
+    """A metric as the front end shows it: milliseconds of the latency, percent of all others."""
+    return F.when(metric == "latency_ms", F.coalesce(F.concat(F.floor(x + 0.5).cast("string"), F.lit("ms")), F.lit("--"))).otherwise(shown_score(x))
+
+
+def shown_time(ts: Column, date_only: bool = False) -> Column:
+    """A UTC time as text, blank without one."""
+    return F.coalesce(F.date_format(ts, "M/d/yyyy" if date_only else "M/d/yyyy, h:mm:ss a"), F.lit(""))
+
+
 def title_label(s: Column) -> Column:
     """snake_case as words that begin with capitals; other letters stay."""
     return F.array_join(F.transform(F.split(s, "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1_000_000))), " ")

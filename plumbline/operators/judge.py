@@ -142,7 +142,13 @@ def error_summary(body: Column, limit: int = 500) -> Column:
 
 
 def retry_payload(n_chunks: Column, attempt: Column, cap: Column, least_chunks: int = 4, least_tokens: int = 512) -> Column:
-    """(chunks, max_tokens) of an attempt: each retry drops a quarter of the chunks and halves the length."""
+    """(chunks, max_tokens) of an attempt (from 0): each retry drops a quarter of the chunks.
+
+    An attempt's length is that of the attempt before it divided by two to the number of the attempt, so the cuts
+    compound: 8192, 4096, 1024.
+    """
     step = F.greatest(F.lit(1), F.floor(n_chunks / 4))
     kept = F.when(attempt <= 0, n_chunks).otherwise(F.least(n_chunks, F.greatest(F.lit(least_chunks), n_chunks - step * attempt)))
-    return F.struct(kept.cast("int").alias("chunks"), F.greatest(F.lit(least_tokens), F.floor(cap / F.pow(F.lit(2), attempt))).cast("int").alias("max_tokens"))
+    shorter = lambda n, i: F.greatest(F.lit(least_tokens), F.floor(n / F.pow(F.lit(2.0), i)).cast("int"))
+    length = F.aggregate(F.sequence(F.lit(0), F.greatest(attempt.cast("int"), F.lit(0))), cap.cast("int"), shorter)
+    return F.struct(kept.cast("int").alias("chunks"), length.alias("max_tokens"))

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import let, words
 from plumbline.plans.profiles import Retrieval
+from plumbline.sources.storage import settled
 
-#: Words without weight in keyword search.
+#: The English stop words of PostgreSQL's text search.
 STOP_WORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
-    " what which who how when where why do does did from about i you we he she"
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves"
+    " what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while"
+    " of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there"
+    " when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
 POOL_CAP = 400
 
@@ -36,42 +39,68 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1)
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def vector_search(chunks: DataFrame, queries: DataFrame, k: int, block: int = 2048, grid: int = 16384) -> DataFrame:
     """The ``k`` chunks (chunk_id, embedding) nearest to each query (query_id, embedding) by cosine distance.
 
-    Chunks stay where they are. Queries pass in blocks of bounded size that are broadcast; a batch of
-    chunks meets a block in one matrix product and keeps its own best ``k``, of which a window takes the
-    best. Null embeddings are left out; the score is one minus the distance, rounded to 4 digits.
+    Up to ``block`` queries are broadcast, and chunks stay where they are: a batch of chunks meets them in one
+    matrix product and keeps its own best ``k``. More queries are dealt, as the chunks are, into blocks of
+    some ``grid`` vectors; each pair of blocks meets in a task, so the chunks are read once and travel once
+    for each block of queries. A window takes the best of the bests. Null embeddings are left out; the score
+    is one minus the distance, rounded to 4 digits.
     """
-    usable = chunks.filter(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    usable = chunks.filter(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), vector)
+    rows = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), vector)
     schema = "query_id long, chunk_id long, distance double"
-    out = None
-    rows = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
     total = rows.count()
-    for b in range(max(1, -(-total // block))):
-        part = rows if total <= block else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-total // block))) == b)
-        found = usable.mapInArrow(_nearest([(r[0], r[1]) for r in part.collect()], k), schema)
-        out = found if out is None else out.union(found)
+    if total <= block:
+        out = usable.mapInArrow(_nearest([(r[0], r[1]) for r in rows.collect()], k), schema)
+    else:
+        n_queries, n_chunks = (max(1, -(-n // grid)) for n in (total, usable.count()))
+        dealt = lambda df, c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = rows.withColumn("_q", dealt(rows, "query_id", n_queries)).withColumn("_c", every(n_chunks))
+        c = usable.withColumn("_c", dealt(usable, "chunk_id", n_chunks)).withColumn("_q", every(n_queries))
+        out = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(_best_of_blocks(k), schema)
     best = ranked(out, F.col("distance"), F.col("chunk_id")).filter(F.col("rank") < k)
     return best.select("query_id", "chunk_id", "rank", F.round(1 - F.col("distance"), 4).alias("score"))
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _best(ids: np.ndarray, q: np.ndarray, cid: np.ndarray, m: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` nearest of the chunks for each query, both given as unit vectors."""
+    d = 1 - m @ q.T
+    keep = min(k, len(cid))
+    at = np.lexsort((np.broadcast_to(cid[:, None], d.shape), d), axis=0)[:keep]
+    col = np.broadcast_to(np.arange(len(ids)), at.shape)
+    return pa.RecordBatch.from_arrays([pa.array(ids[col].ravel()), pa.array(cid[at].ravel()), pa.array(d[at, col].ravel())], ["query_id", "chunk_id", "distance"])
+
+
 def _nearest(queries: list[tuple[int, list[float]]], k: int):
     ids = np.array([q for q, _ in queries], dtype=np.int64)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    q = unit(np.array([v for _, v in queries], dtype=np.float64)) if queries else np.zeros((0, 1))
+    q = _unit(np.array([v for _, v in queries], dtype=np.float64)) if queries else np.zeros((0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            cid = batch.column(0).to_numpy()
-            m = unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
-            d = 1 - m @ q.T
-            keep = min(k, len(cid))
-            at = np.lexsort((np.broadcast_to(cid[:, None], d.shape), d), axis=0)[:keep]
-            col = np.broadcast_to(np.arange(len(ids)), at.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[col].ravel()), pa.array(cid[at].ravel()), pa.array(d[at, col].ravel())], ["query_id", "chunk_id", "distance"])
+            if batch.num_rows and len(ids):
+                yield _best(ids, q, batch.column(0).to_numpy(), _unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)), k)
+
+    return run
+
+
+def _best_of_blocks(k: int, step: int = 512):
+    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        sides = []
+        for t, name in ((queries, "query_id"), (chunks, "chunk_id")):
+            flat = t.column("embedding").combine_chunks().flatten().to_numpy()
+            sides += [t.column(name).to_numpy(), _unit(flat.reshape(max(t.num_rows, 1), -1)) if t.num_rows else None]
+        ids, q, cid, m = sides
+        parts = [_best(ids[i : i + step], q[i : i + step], cid, m, k) for i in range(0, len(ids) if len(cid) else 0, step)]
+        empty = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64())])
+        return pa.Table.from_batches(parts, empty)
 
     return run
 
@@ -81,22 +110,27 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, broadcast_terms: int = 200_000) -> DataFrame:
     """Chunks (chunk_id, text) that hold all terms of a query (query_id, text), best ``k`` by rank.
 
-    The rarest term of each query leads to the candidates, so a frequent word never multiplies rows; the
-    others are then looked up in the candidate's own term set. The rank is the sum of ``tf / (tf + 1)``
-    over the query's terms: it stands in for a database's full-text rank, which fusion discards anyway.
-    A query without terms finds nothing.
+    Texts are split into terms once. Only terms that some query asks for leave the scan; a chunk's are gathered,
+    and both the terms' frequencies and the search read that. The rarest term of each query leads to its
+    candidates, so a frequent word never multiplies rows, and the others are looked up in the candidate's own
+    terms. The rank is the sum of ``tf / (tf + 1)`` over the query's terms: it stands in for a database's
+    full-text rank, which fusion discards anyway. A query without terms finds nothing. Up to
+    ``broadcast_terms`` distinct terms and queries are broadcast.
     """
-    held = chunks.select("chunk_id", terms(F.col("text")).alias("_terms"))
     asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("_asked")).filter(F.size("_asked") > 0)
     of_queries = asked.select("query_id", F.explode("_asked").alias("term"))
-    postings = held.select("chunk_id", F.explode(F.array_distinct("_terms")).alias("term"))
-    frequency = postings.join(of_queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lead = of_queries.join(frequency, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("lead"), F.count(F.lit(1)).alias("found"))
+    wanted = of_queries.select("term").distinct()
+    n = wanted.count()
+    hint = lambda df, rows: F.broadcast(df) if rows <= broadcast_terms else df
+    found = chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term")).join(hint(wanted, n), "term", "left_semi")
+    held = found.groupBy("chunk_id").agg(F.collect_list("term").alias("_terms"))
+    frequency = held.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    lead = of_queries.join(hint(frequency, n), "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("lead"), F.count(F.lit(1)).alias("found"))
     lead = lead.join(asked, "query_id").filter(F.col("found") == F.size("_asked")).select("query_id", F.col("lead.term").alias("term"), "_asked")
-    hits = postings.join(lead, "term").join(held, "chunk_id")
+    hits = held.select("chunk_id", "_terms", F.explode(F.array_distinct("_terms")).alias("term")).join(lead, "term")
     hits = hits.filter(F.forall("_asked", lambda t: F.array_contains("_terms", t)))
     tf = lambda t: (F.size("_terms") - F.size(F.array_remove("_terms", t))).cast("double")
     score = F.aggregate("_asked", F.lit(0.0), lambda a, t: a + let(tf(t), lambda n: n / (n + 1)))
@@ -202,23 +236,61 @@ def recent_chunks(chunks: DataFrame, top_k: int) -> DataFrame:
     return newest.withColumns({"rank": F.row_number().over(w) - 1, "score": F.lit(0.0)})
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, settings: Retrieval, doc_count: int = 1, cap: int = POOL_CAP) -> DataFrame:
+def ready_documents(documents: DataFrame) -> DataFrame:
+    """One row with the number ``n`` of documents that are ready and not deleted."""
+    return documents.filter((F.col("status") == "ready") & F.col("deleted_at").isNull()).agg(F.count(F.lit(1)).alias("n"))
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, settings: Retrieval, doc_count: int | DataFrame = 1, cap: int = POOL_CAP) -> DataFrame:
     """The whole pipeline for queries (query_id, text, embedding) over chunks (chunk_id, text, document, embedding).
 
     Queries with an embedding get the vector list, fused with the keyword list where that has rows. Those
-    without one get the keyword list alone. (What then has no row may take ``recent_chunks``.)
+    without one get the keyword list alone, and where it is empty the newest chunks as they are, if the
+    chunks have ``created_at`` and ``deleted_at``; deleted ones are never found then. ``doc_count`` is the
+    number of ready documents or the result of ``ready_documents``.
     """
-    depth = settings.rerank_depth if settings.diversity_min <= 1 else min(cap, max(settings.rerank_depth, doc_count * settings.rerank_depth))
-    merged = vector_search(chunks, queries, depth)
+    n_docs = 1 if settings.diversity_min <= 1 else doc_count if isinstance(doc_count, int) else doc_count.first()["n"]
+    depth = settings.rerank_depth if settings.diversity_min <= 1 else min(cap, max(settings.rerank_depth, n_docs * settings.rerank_depth))
+    dated = {"created_at", "deleted_at"} <= set(chunks.columns)
+    shown = chunks.filter(F.col("deleted_at").isNull()) if dated else chunks
+    merged = settled(vector_search(shown, queries, depth))  # some hundred rows a query, as the other lists
+    without_vector = queries.filter(F.col("embedding").isNull()).select("query_id")
     if settings.keyword_enabled:
-        keyword = keyword_search(chunks, queries, depth)
+        keyword = settled(keyword_search(shown, queries, depth))
         with_vector = queries.filter(F.col("embedding").isNotNull()).select("query_id")
         hybrid = keyword.select("query_id").distinct().join(with_vector, "query_id", "left_semi")
         fused = rank_fusion([merged.join(hybrid, "query_id", "left_semi"), keyword.join(hybrid, "query_id", "left_semi")])
         merged = fused.unionByName(merged.join(hybrid, "query_id", "left_anti")).unionByName(keyword.join(with_vector, "query_id", "left_anti"))
+        without_vector = without_vector.join(keyword.select("query_id").distinct(), "query_id", "left_anti")
     # word sets are made once for each chunk, not for each query that finds it
-    full = merged.join(chunks.select("chunk_id", "document", word_set(F.col("text")).alias("words")), "chunk_id")
-    return finish(full, settings).drop("words")
+    full = settled(merged.join(shown.select("chunk_id", "document", word_set(F.col("text")).alias("words")), "chunk_id"))
+    out = finish(full, settings).drop("words")
+    if not dated:
+        return out
+    newest = recent_chunks(chunks, settings.top_k).select("chunk_id", "document", "rank", "score")
+    return out.unionByName(without_vector.crossJoin(F.broadcast(newest)).select(*out.columns))  # top_k rows for each such query
+
+
+def retrieve_merged(chunks: DataFrame, queries: DataFrame, settings: Retrieval, doc_count: int | DataFrame = 1) -> DataFrame:
+    """One selection for each query from several texts (query_id, sub_query, text, embedding), numbered from 0.
+
+    Each text is searched by itself. A query of one text keeps its list; the lists of others are merged, freed
+    of near-duplicates and made diverse again, and texts without a chunk may bring their best one.
+    """
+    numbered = settled(queries.withColumn("_key", F.xxhash64("query_id", "sub_query")))
+    sizes = numbered.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    found = retrieve(chunks, numbered.select(F.col("_key").alias("query_id"), "text", "embedding"), settings, doc_count).withColumnRenamed("query_id", "_key")
+    lists = settled(found.join(numbered.select("_key", "query_id", "sub_query"), "_key").join(sizes, "query_id"))
+    columns = ["query_id", "sub_query", "chunk_id", "document", "score", "rank"]
+    alone = lists.filter("n = 1").select(*columns)
+    pool = merge_sub_queries(lists.filter("n > 1").select(*columns))
+    pool = pool.join(chunks.select("chunk_id", word_set(F.col("text")).alias("words")), "chunk_id")
+    pool = settled(drop_near_duplicates(settled(pool), settings.dedup_threshold))
+    chosen = select_diverse(cap_per_document(pool, settings.max_per_document), settings.top_k, settings.diversity_min, settings.diversity_threshold)
+    if settings.represent_sub_queries:
+        swapped = represent_sub_queries(chosen, pool, settings.top_k, settings.diversity_threshold, settings.swap_multiplier)
+        chosen = swapped.join(chunks.select("chunk_id", "document"), "chunk_id")
+    return alone.unionByName(chosen.select(*columns))
 
 
 def finish(candidates: DataFrame, settings: Retrieval) -> DataFrame:
@@ -254,42 +326,31 @@ def document_rollup(candidates: DataFrame, threshold: float) -> DataFrame:
     return ranked(out, F.col("best_score").desc(), F.col("document"))
 
 
-def represent_sub_queries(selected: DataFrame, merged: DataFrame, n_sub_queries: int, top_k: int, threshold: float, multiplier: float = 1.1) -> DataFrame:
+def represent_sub_queries(selected: DataFrame, merged: DataFrame, top_k: int, threshold: float, multiplier: float = 1.1) -> DataFrame:
     """``selected`` after each sub-query without a chunk in it had the chance to bring its best one.
 
     ``merged`` is the deduplicated list with ``sub_query``. A sub-query's best chunk comes in if its score
     reaches ``threshold * multiplier``: at the end while there is room, else in place of the chunk with the
-    lowest score if it is better. Sub-queries are few, so each query is a fold over its two short lists.
+    lowest score, the first of equals, if it is better. A fold over a query's few sub-queries, in order.
     """
-    cols = "query_id long, rank int, chunk_id long, score double, sub_query int"
-    tagged = selected.select("query_id", "rank", "chunk_id", "score", "sub_query", F.lit(0).alias("side"))
-    tagged = tagged.unionByName(merged.select("query_id", "rank", "chunk_id", "score", "sub_query", F.lit(1).alias("side")))
-
-    def swap(pdf):
-        import pandas as pd
-
-        chosen = [tuple(r) for r in pdf[pdf.side == 0].sort_values("rank")[["chunk_id", "score", "sub_query"]].itertuples(index=False)]
-        pool = pdf[pdf.side == 1].sort_values("rank")
-        present = {sub for _, _, sub in chosen}
-        for sub in sorted(set(range(n_sub_queries)) - present):
-            own = pool[pool.sub_query == sub]
-            if own.empty:
-                continue
-            best = (own.iloc[0].chunk_id, own.iloc[0].score, sub)
-            if best[0] in {c for c, _, _ in chosen} or best[1] < threshold * multiplier:
-                continue
-            if len(chosen) < top_k:
-                chosen.append(best)
-                continue
-            worst = min(range(len(chosen)), key=lambda i: chosen[i][1])
-            if best[1] > chosen[worst][1]:
-                chosen[worst] = best
-        out = pd.DataFrame(chosen, columns=["chunk_id", "score", "sub_query"])
-        out.insert(0, "rank", range(len(out)))
-        out.insert(0, "query_id", pdf.query_id.iloc[0])
-        return out
-
-    return tagged.groupBy("query_id").applyInPandas(swap, cols)
+    kind = "array<struct<rank:int,chunk_id:bigint,score:double,sub_query:int>>"
+    listed = lambda first: F.array_sort(F.collect_list(F.struct(first, "rank", F.col("chunk_id").cast("long").alias("chunk_id"), "score", F.col("sub_query").cast("int").alias("sub_query"))))
+    chosen = selected.groupBy("query_id").agg(listed(F.col("rank").alias("at")).alias("_chosen"))
+    best = F.row_number().over(Window.partitionBy("query_id", "sub_query").orderBy("rank", "chunk_id"))
+    pool = merged.withColumn("_n", best).filter("_n = 1").groupBy("query_id").agg(listed(F.col("sub_query").alias("at")).alias("_pool"))
+    plain = lambda a: F.transform(a, lambda x: F.struct(x["rank"], x["chunk_id"], x["score"], x["sub_query"])).cast(kind)
+    both = chosen.join(pool, "query_id", "left").select("query_id", plain(F.col("_chosen")).alias("_chosen"), plain(F.coalesce("_pool", F.array().cast("array<struct<at:int,rank:int,chunk_id:bigint,score:double,sub_query:int>>"))).alias("_pool"))
+    present = F.transform("_chosen", lambda c: c["sub_query"])
+    missing = F.filter("_pool", lambda b: ~F.array_contains(present, b["sub_query"]) & (b["score"] >= threshold * multiplier))
+
+    def step(acc: Column, b: Column) -> Column:
+        scores = F.transform(acc, lambda c: c["score"])
+        worst = F.array_position(scores, F.array_min(scores)) - 1
+        swapped = F.transform(acc, lambda c, i: F.when(i == worst, b).otherwise(c))
+        return F.when(F.size(acc) < top_k, F.concat(acc, F.array(b))).when(b["score"] > F.array_min(scores), swapped).otherwise(acc)
+
+    folded = both.select("query_id", F.posexplode(F.aggregate("_chosen", F.array().cast(kind), lambda a, c: F.concat(a, F.array(c)), lambda start: F.aggregate(missing, start, step))).alias("rank", "c"))
+    return folded.select("query_id", "rank", "c.chunk_id", "c.score", "c.sub_query")
 
 
 def low_confidence(selected: DataFrame, bound: float = 0.5) -> DataFrame:

@@ -92,6 +92,21 @@ def normalised_questions(items: Column) -> Column:
     return F.transform(F.from_json(items, "array<string>"), item)
 
 
+def truth_metadata(model: Column, chunk_ids: Column, generated_at: Column) -> Column:
+    """Versions and provenance of a question's truth; the time is UTC without a zone."""
+    # fixed values: versions of the payload's parts
+    return F.struct(
+        F.lit("1.1").alias("truth_schema_version"), F.lit("v1").alias("concept_extraction_version"), F.lit("v1").alias("evidence_alignment_version"),
+        model.alias("generated_by_model"), generated_at.cast("timestamp_ntz").alias("generated_at"), F.coalesce(chunk_ids, F.array().cast("array<bigint>")).alias("source_chunk_ids"),
+    )
+
+
+def attached(questions: DataFrame, truths: DataFrame) -> DataFrame:
+    """``questions`` (question_id, .., truth) with the truth made for those that had none; failures leave it null."""
+    made = truths.select("question_id", F.col("truth").alias("_made"))
+    return questions.join(made, "question_id", "left").withColumn("truth", F.coalesce("truth", "_made")).drop("_made")
+
+
 def needing_truth(questions: DataFrame) -> DataFrame:
     """Questions with an expected answer and no truth yet."""
     return questions.filter((F.coalesce("expected_answer", F.lit("")) != "") & F.col("truth").isNull())

@@ -439,7 +439,7 @@ def debug_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("subquery_swap")
 def subquery_swap(spark: SparkSession, d: str) -> DataFrame:
     merged = retrieval.merge_sub_queries(_lists(spark, d))
-    return retrieval.represent_sub_queries(retrieval.select_diverse(merged, 5, 3, 0.9), merged, 3, 5, 0.8)
+    return retrieval.represent_sub_queries(retrieval.select_diverse(merged, 5, 3, 0.9), merged, 5, 0.8)
 
 
 @query("retrieve_pipeline")

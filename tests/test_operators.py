@@ -155,10 +155,10 @@ def test_sub_query_swap(spark):
     schema = "query_id long, rank int, chunk_id long, score double, sub_query int"
     chosen = spark.createDataFrame([(1, 0, 1, 0.9, 0), (1, 1, 2, 0.5, 0)], schema)
     pool = spark.createDataFrame([(1, 0, 1, 0.9, 0), (1, 1, 3, 0.6, 1), (1, 2, 2, 0.5, 0), (1, 3, 4, 0.2, 2)], schema)
-    swapped = retrieval.represent_sub_queries(chosen, pool, 3, 2, 0.3, 1.1)
+    swapped = retrieval.represent_sub_queries(chosen, pool, 2, 0.3, 1.1)
     assert order(swapped) == [1, 3]
-    assert order(retrieval.represent_sub_queries(chosen, pool, 3, 5, 0.1, 1.1)) == [1, 2, 3, 4]
-    assert order(retrieval.represent_sub_queries(chosen, pool, 3, 2, 0.6, 1.1)) == [1, 2]
+    assert order(retrieval.represent_sub_queries(chosen, pool, 5, 0.1, 1.1)) == [1, 2, 3, 4]
+    assert order(retrieval.represent_sub_queries(chosen, pool, 2, 0.6, 1.1)) == [1, 2]
 
 
 def test_pipeline_without_vectors_uses_keywords(spark):
@@ -168,6 +168,72 @@ def test_pipeline_without_vectors_uses_keywords(spark):
     assert got[1, 0] == (1, 0.5) and got[2, 0] == (1, round(2 / 61, 4)) and got[3, 0][0] == 2 and got[3, 0][1] > 0.9
 
 
+def test_vector_search_by_blocks(spark):
+    """The same result whether queries are broadcast or meet the chunks block by block."""
+    rng = random.Random(1)
+    v = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(300, None)]
+    chunks = spark.createDataFrame(v, "chunk_id long, embedding array<float>")
+    queries = chunks.filter("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    rows = lambda **how: {tuple(r) for r in retrieval.vector_search(chunks, queries, 5, **how).collect()}
+    once = rows()
+    assert len(once) == 500 and once == rows(block=10, grid=40)
+
+
+def test_nothing_found_takes_the_newest_chunks(spark):
+    rows = [(1, "alpha", "d", None, 5, None), (2, "beta", "e", None, 9, None), (3, "gamma", "e", None, 10, "gone")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, document string, embedding array<double>, created_at long, deleted_at string")
+    queries = spark.createDataFrame([(1, "alpha", None), (2, "gamma", None)], "query_id long, text string, embedding array<double>")
+    docs = spark.createDataFrame([("ready", None), ("ready", "x"), ("error", None)], "status string, deleted_at string")
+    assert retrieval.ready_documents(docs).first()["n"] == 1
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in retrieval.retrieve(chunks, queries, FINANCE.retrieval, retrieval.ready_documents(docs)).collect()}
+    assert got == {(1, 0): (1, 0.5), (2, 0): (2, 0.0), (2, 1): (1, 0.0)}
+
+
+def fold(chosen, pool, top_k, least):
+    """The swap of sub-queries in plain Python; lists of (chunk, score, sub_query)."""
+    out, present = list(chosen), {c[2] for c in chosen}
+    for sub in sorted({c[2] for c in pool} - present):
+        best = next(c for c in pool if c[2] == sub)
+        if best[1] < least:
+            continue
+        if len(out) < top_k:
+            out.append(best)
+            continue
+        worst = min(range(len(out)), key=lambda i: out[i][1])
+        if best[1] > out[worst][1]:
+            out[worst] = best
+    return out
+
+
+def test_swap_against_plain_python(spark):
+    rng = random.Random(4)
+    chosen, pool, want = [], [], {}
+    for q in range(60):
+        p = sorted(((100 * q + i, round(rng.random(), 1), rng.randrange(6)) for i in range(rng.randrange(1, 14))), key=lambda c: -c[1])
+        c = sorted(rng.sample(p, min(len(p), rng.randrange(1, 6))), key=p.index)
+        chosen += [(q, i, *x) for i, x in enumerate(c)]
+        pool += [(q, i, *x) for i, x in enumerate(p)]
+        want[q] = [x[0] for x in fold(c, p, 4, 0.3 * 0.8)]
+    shape = "query_id long, rank int, chunk_id long, score double, sub_query int"
+    got = {}
+    for r in retrieval.represent_sub_queries(spark.createDataFrame(chosen, shape), spark.createDataFrame(pool, shape), 4, 0.3, 0.8).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == want
+
+
+@pytest.mark.parametrize("cap,want", [(2048, [2048, 1024, 512, 512]), (4096, [4096, 2048, 512, 512]), (8192, [8192, 4096, 1024, 512]), (256, [512, 512, 512, 512])])
+def test_retries_are_cut_again_and_again(spark, cap, want):
+    assert [spark.range(1).select(judge.retry_payload(F.lit(9), F.lit(i), F.lit(cap))["max_tokens"]).first()[0] for i in range(4)] == want
+
+
+def test_formats_of_the_front_end(spark):
+    shown = lambda c: spark.range(1).select(c).first()[0]
+    assert [shown(T.shown_score(F.lit(x))) for x in (0.125, 0.5, 0.0, None)] == ["13%", "50%", "0%", "--"]
+    assert shown(T.shown_metric(F.lit("latency_ms"), F.lit(1234.5))) == "1235ms" and shown(T.shown_metric(F.lit("relevancy"), F.lit(0.5))) == "50%"
+    assert shown(T.shown_metric(F.lit("latency_ms"), F.lit(None).cast("double"))) == "--"
+    assert shown(T.shown_time(F.timestamp_seconds(F.lit(0)))) == "1/1/1970, 12:00:00 AM" and shown(T.shown_time(F.timestamp_seconds(F.lit(0)), True)) == "1/1/1970" and shown(T.shown_time(F.lit(None).cast("timestamp"))) == ""
+
+
 # --- alignment and checks ------------------------------------------------------------------------------------
 
 

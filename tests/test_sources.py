@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.plans.evaluation import evaluate, summarize
-from plumbline.plans.models import CallingClient, ReplayClient
+from plumbline.operators.retrieval import retrieve_merged
+from plumbline.plans.evaluation import REFUSAL, chat, coverage_by_calls, decomposed, evaluate, summarize
+from plumbline.plans.models import CallingClient, ReplayClient, attempts
 from plumbline.plans.profiles import FINANCE
 from plumbline.plans.synthesis import answer_truth, grounded_truth, synthesize, traced_truth
 from plumbline.sources import ingest
@@ -121,3 +122,67 @@ def test_embed_missing(spark):
     c = spark.createDataFrame([(1, "a", [9.0]), (2, "bb", None), (3, "", None)], "chunk_id long, text string, embedding array<double>")
     out = ingest.embed_missing(c, lambda texts: [None if t.endswith(": ") else [float(len(t))] for t in texts])
     assert {r["chunk_id"]: r["embedding"] for r in out.collect()} == {1: [9.0], 2: [19.0], 3: None}
+
+
+def test_attempts():
+    """Lost connections are tried again with shorter prompts, statuses are not; a pair tells that reasoning came apart."""
+    sent, slept = [], []
+
+    def call(kind, prompts):
+        sent.append(prompts)
+        if len(sent) < 3:
+            raise ConnectionError("lost")
+        return [("a", True), "b"]
+
+    ask = attempts(call, 3, 2.0, slept.append)
+    assert ask("answer", ["p", "q"], [["p1", "p2"], None]) == [("a", None, True), ("b", None, False)]
+    assert sent == [["p", "q"], ["p1", "q"], ["p2", "q"]] and slept == [2.0, 4.0]
+
+    def refused(kind, prompts):
+        sent.append(prompts)
+        raise ValueError("status 400")
+
+    sent.clear()
+    assert attempts(refused, 3, 2.0)("answer", ["p"], [None]) == [(None, "status 400", False)] and len(sent) == 1
+
+    def dead(kind, prompts):
+        raise TimeoutError("slow")
+
+    assert attempts(dead, 2, 0.0)("answer", ["p"], [None]) == [(None, "no answer after 2 tries: slow", False)]
+
+
+CHUNK_SHAPE = "chunk_id long, document string, page string, section string, text string, embedding array<double>"
+
+
+def test_broad_question_is_split_and_merged(spark):
+    """Parts find what the whole question misses; they are embedded by the model or searched by words."""
+    rows = [(i, f"d{i}.pdf", None, "", f"text {w} number {i}", [1.0, i / 10]) for i, w in enumerate(["fees"] * 6)] + [(20, "risk.pdf", None, "", "market risk disclosures", [0.0, 1.0])]
+    chunks = spark.createDataFrame(rows, CHUNK_SHAPE)
+    broad = "Give a comprehensive overview of the key fees and the main risks please"
+    questions = spark.createDataFrame([(1, 10, broad, [1.0, 0.0], None, None), (1, 11, "fees", [1.0, 0.0], None, None)], f"run_id int, query_id long, question string, embedding array<double>, expected_answer string, truth {TRUTH}")
+
+    def call(kind, prompts):
+        return [{"decompose": '["fees text", "market risk"]', "embed": "[0.0, 1.0]" if "risk" in p else "none", "answer": ("ok", True), "judge_a": "{}", "guard_input": "unsafe\nS1" if "overview" in p else "safe", "guard_output": None}[kind] for p in prompts]
+
+    client = CallingClient(call)
+    parts = {(r["query_id"], r["sub_query"]): (r["text"], r["embedding"]) for r in decomposed(questions, client).collect()}
+    assert parts == {(10, 0): (broad, [1.0, 0.0]), (10, 1): ("fees text", None), (10, 2): ("market risk", [0.0, 1.0]), (11, 0): ("fees", [1.0, 0.0])}
+    found = retrieve_merged(chunks, decomposed(questions, client), FINANCE.retrieval, 7).collect()
+    assert any(r["query_id"] == 10 and r["chunk_id"] == 20 and r["sub_query"] == 2 for r in found)
+    assert {r["sub_query"] for r in found if r["query_id"] == 11} == {0}
+    got = {r["query_id"]: r for r in evaluate(questions, chunks, FINANCE, client, 7).collect()}
+    assert got[10]["answer"] == "ok" and "market risk" in got[10]["contexts"]
+    told = {r["query_id"]: r for r in chat(questions, chunks, FINANCE, client, 7).collect()}
+    assert (told[10]["answer"], told[10]["sources"]) == (REFUSAL, []) and told[11]["answer"] == "ok" and told[11]["sources"]
+
+
+def test_coverage_by_two_calls(spark):
+    rows = [(1, "q", "red and blue", "red", None, ["blue sky here"]), (2, "q", "x", "y", ["given"], []), (3, "q", "", "y", None, None), (4, "q", "odd", "y", None, None)]
+    df = spark.createDataFrame(rows, "query_id long, question string, expected_answer string, answer string, concepts array<string>, contexts array<string>")
+
+    def call(kind, prompts):
+        return [("none" if "odd" in p else '["red", "blue"]') if kind == "concepts" else ('["missing"]' if "given" in p else '["covered", "missing"]') for p in prompts]
+
+    got = {r["query_id"]: r["coverage_gaps"] for r in coverage_by_calls(df, CallingClient(call)).collect()}
+    assert (got[1]["covered"], got[1]["missing"], got[1]["generation_failures"]) == (["red"], ["blue"], ["blue"])
+    assert got[2]["concepts"] == ["given"] and got[2]["retrieval_failures"] is None and got[3] is None and got[4] is None
