@@ -85,7 +85,7 @@ def model_insights(pairs: DataFrame) -> DataFrame:
 
 def spec_lines(models: DataFrame) -> DataFrame:
     """Context length, price and release of models, as shown."""
-    price = F.concat(F.lit("$"), F.format_string("%.2f", F.col("price") * 1_000_000), F.lit("/1M"))
+    price = F.when(F.col("price").isNotNull(), F.concat(F.lit("$"), F.format_string("%.2f", F.col("price") * 1_000_000), F.lit("/1M")))
     context = F.when(F.coalesce("context", F.lit(0)) == 0, "--").otherwise(F.concat(format_tokens(F.col("context")), F.lit(" tokens")))
     return models.select("id", context.alias("context_shown"), F.coalesce(price, F.lit("--")).alias("price_shown"))
 

@@ -215,7 +215,7 @@ def compare_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "compare_questions",
-    f"""with {_RESULTS_SQL}, sets as (select run_id, question, concat('set ', question) as expected_answer from results where id < 300 group by all),
+    f"""with {_RESULTS_SQL}, sets as (select run_id, question, concat('set ', question) as expected_answer from results group by all),
  last as (select *, row_number() over (partition by run_id, question order by id desc) as n, min(id) over (partition by run_id, question) as pos from results),
  p as (select range as run_a, range + 1 as run_b from range(11)),
  a as (select run_a, run_b, question, id as id_a, nullif(expected_answer, '') as ea, pos as pa from p join last on run_id = run_a where n = 1),
@@ -225,7 +225,7 @@ def compare_warnings(spark: SparkSession, d: str) -> DataFrame:
 )
 def compare_questions(spark: SparkSession, d: str) -> DataFrame:
     r = results(spark, d)
-    sets = r.filter("id < 300").select("run_id", "question", F.concat(F.lit("set "), "question").alias("expected_answer")).distinct()
+    sets = r.select("run_id", "question", F.concat(F.lit("set "), "question").alias("expected_answer")).distinct()
     return compare.match_questions(pairs(spark), r, sets).withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -297,15 +297,16 @@ def embed_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _selected(spark: SparkSession, d: str) -> DataFrame:
-    """The first five documents of each source as a ranked selection."""
+    """All documents of each source, in selections of five."""
     docs = _t(spark, d, "documents").select(F.col("source").alias("query_id"), F.concat("source", F.lit(".pdf")).alias("document"), "lang", "text", "doc_id")
-    return retrieval.ranked(docs, F.col("doc_id")).filter("rank < 5").select(
-        "query_id", "rank", "document", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("").alias("section"), "text"
+    return retrieval.ranked(docs, F.col("doc_id")).select(
+        F.concat_ws("-", "query_id", F.expr("cast(rank div 5 as string)")).alias("query_id"), (F.col("rank") % 5).alias("rank"), "document", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("").alias("section"), "text"
     )
 
 
-_SELECTED_SQL = """selected as (select source as query_id, row_number() over (partition by source order by doc_id) - 1 as rank, concat(source, '.pdf') as document, case when doc_id % 2 = 0 then cast(doc_id as varchar) end as page,
- case when doc_id % 3 = 0 then lang else '' end as section, text from documents qualify rank < 5)"""
+_SELECTED_SQL = """placed as (select *, row_number() over (partition by source order by doc_id) - 1 as place from documents),
+ selected as (select concat(source, '-', place // 5) as query_id, place % 5 as rank, concat(source, '.pdf') as document, case when doc_id % 2 = 0 then cast(doc_id as varchar) end as page,
+ case when doc_id % 3 = 0 then lang else '' end as section, text from placed)"""
 
 
 @query(
@@ -345,13 +346,13 @@ _TERMS_SQL = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'),
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """Three words of each benchmark item as a keyword query."""
-    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.words(F.col("text")), 5, 2), " ").alias("text"))
+    """The text of every document whose id is divisible by 50 as a keyword query."""
+    return _t(spark, d, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
 @query(
     "keyword_topk",
-    f"""with q as (select item_id as query_id, list_distinct({_TERMS_SQL.format("array_to_string((list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))[5:6], ' ')")}) as asked from benchmark),
+    f"""with q as (select doc_id as query_id, list_distinct({_TERMS_SQL.format("text")}) as asked from documents where doc_id % 50 = 0),
  c as (select doc_id as chunk_id, {_TERMS_SQL.format("text")} as terms from documents),
  s as (select query_id, chunk_id, round(list_sum(list_transform(asked, lambda t: len(list_filter(terms, lambda x: x = t))::double / (len(list_filter(terms, lambda x: x = t)) + 1))), 6) as score from q, c where len(asked) > 0 and list_has_all(terms, asked))
  select query_id, chunk_id, (row_number() over (partition by query_id order by score desc, chunk_id) - 1)::int as rank, score from s qualify rank < 20""",
@@ -551,38 +552,38 @@ def document_presence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item with the documents of one source as retrieved chunks and some references."""
-    docs = _t(spark, d, "documents").filter("doc_id < 400")
+    """All documents in lists of ten as retrieved chunks, each with a benchmark item and some references."""
+    docs = _t(spark, d, "documents")
     c = F.struct(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("page"), "text")
-    per = docs.groupBy((F.col("doc_id") % 40).alias("item_id")).agg(F.array_sort(F.collect_list(c)).cast(alignment.CHUNKS).alias("chunks"))
+    per = docs.groupBy(F.expr("doc_id div 10").alias("list_id")).agg(F.array_sort(F.collect_list(c)).cast(alignment.CHUNKS).alias("chunks")).withColumn("item_id", F.col("list_id") % 40)
     refs = F.expr("array(concat('chunk:', cast(item_id as string)), concat('chunk:', cast(item_id * 3 as string)), concat('src', cast(item_id % 25 as string), ':', cast(item_id as string)), concat('src', cast(item_id % 25 as string)), 'chunk:x')")
     return _t(spark, d, "benchmark").join(per, "item_id").withColumn("refs", F.when(F.col("item_id") % 5 == 0, F.array(F.lit("chunk:-1"))).when(F.col("item_id") % 7 == 0, F.array().cast("array<string>")).otherwise(refs))
 
 
 _GRAMS_SQL = "list_transform(range(1, len({w}) - 2), lambda i: array_to_string({w}[i : i + 3], ' '))"
-_CHUNKS_SQL = f"""w as (select item_id, text, {_WORDS_SQL.format("lower(text)")} as iw from benchmark), dw as (select doc_id, doc_id % 40 as item_id, source, case when doc_id % 2 = 0 then cast(doc_id as varchar) end as page, {_WORDS_SQL.format("lower(text)")} as w from documents where doc_id < 400),
- hit as (select item_id, bool_or(len(list_filter({_GRAMS_SQL.format(w="w")}, lambda g: list_contains({_GRAMS_SQL.format(w="iw")}, g))) >= 3) as found from w join dw using (item_id) group by item_id),
- got as (select item_id, list(doc_id) as ids, list(source || ':' || page) as pages, list(source) as sources from dw group by item_id),
- r as (select b.item_id, ids, pages, sources, found, case when b.item_id % 5 = 0 then ['chunk:-1'] when b.item_id % 7 = 0 then [] else ['chunk:' || b.item_id, 'chunk:' || (b.item_id * 3), 'src' || (b.item_id % 25) || ':' || b.item_id, 'src' || (b.item_id % 25), 'chunk:x'] end as refs
-  from benchmark b join got using (item_id) join hit using (item_id)),
+_CHUNKS_SQL = f"""w as (select item_id, text, {_WORDS_SQL.format("lower(text)")} as iw from benchmark), dw as (select doc_id, doc_id // 10 as list_id, doc_id // 10 % 40 as item_id, source, case when doc_id % 2 = 0 then cast(doc_id as varchar) end as page, {_WORDS_SQL.format("lower(text)")} as w from documents),
+ hit as (select list_id, bool_or(len(list_filter({_GRAMS_SQL.format(w="w")}, lambda g: list_contains({_GRAMS_SQL.format(w="iw")}, g))) >= 3) as found from w join dw using (item_id) group by list_id),
+ got as (select list_id, any_value(item_id) as item_id, list(doc_id) as ids, list(source || ':' || page) as pages, list(source) as sources from dw group by list_id),
+ r as (select list_id, b.item_id, ids, pages, sources, found, case when b.item_id % 5 = 0 then ['chunk:-1'] when b.item_id % 7 = 0 then [] else ['chunk:' || b.item_id, 'chunk:' || (b.item_id * 3), 'src' || (b.item_id % 25) || ':' || b.item_id, 'src' || (b.item_id % 25), 'chunk:x'] end as refs
+  from benchmark b join got using (item_id) join hit using (list_id)),
  n as (select *, len(list_filter(refs, lambda x: starts_with(x, 'chunk:') and list_contains(ids, try_cast(x[7:] as bigint)))) as by_id,
   len(list_filter(refs, lambda x: not starts_with(x, 'chunk:') and case when contains(x, ':') then list_contains(pages, x) else list_contains(sources, x) end)) as by_name from r)"""
 
 
-@query("chunk_alignment", f"with {_CHUNKS_SQL} select item_id, case when len(refs) = 0 then 1.0e0 when by_id + by_name > 0 then (by_id + by_name)::double / len(refs) else found::int::double / len(refs) end as recall from n")
+@query("chunk_alignment", f"with {_CHUNKS_SQL} select list_id, case when len(refs) = 0 then 1.0e0 when by_id + by_name > 0 then (by_id + by_name)::double / len(refs) else found::int::double / len(refs) end as recall from n")
 def chunk_alignment(spark: SparkSession, d: str) -> DataFrame:
-    return _with_chunks(spark, d).select("item_id", alignment.alignment_recall(F.col("chunks"), F.col("refs"), F.array("text")).alias("recall"))
+    return _with_chunks(spark, d).select("list_id", alignment.alignment_recall(F.col("chunks"), F.col("refs"), F.array("text")).alias("recall"))
 
 
 @query(
     "chunk_recall_check",
-    f"""with {_CHUNKS_SQL}, k as (select *, case when by_id > 0 then by_id else found::int end as hits from n) select item_id, case when len(refs) = 0 then true else hits::double / len(refs) >= 0.5e0 end as passed,
+    f"""with {_CHUNKS_SQL}, k as (select *, case when by_id > 0 then by_id else found::int end as hits from n) select list_id, case when len(refs) = 0 then true else hits::double / len(refs) >= 0.5e0 end as passed,
  case when len(refs) = 0 then 'No expected chunk references specified' else concat('Chunk recall: ', hits, '/', len(refs), ' (', cast(round_even(hits::double / len(refs) * 100, 0) as bigint), '%)') end as detail from k""",
 )
 def chunk_recall_check(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
     df = _with_chunks(spark, d).withColumn("c", checks.chunk_alignment(F.col("refs"), F.array("text"), none, F.col("chunks")))
-    return df.select("item_id", "c.passed", "c.detail")
+    return df.select("list_id", "c.passed", "c.detail")
 
 
 @query(
@@ -610,21 +611,21 @@ def answer_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "coverage_gaps",
-    f"""with c as (select item_id, list_filter(string_split_regex(text, '[.,]\\s*'), lambda x: x <> '') as concepts from benchmark), d as (select doc_id % 40 as item_id, string_agg(text, ' ' order by doc_id) as body from documents where doc_id < 400 group by 1),
- t as (select item_id, concepts, list_distinct(list_transform(list_filter(string_split_regex(lower(body), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[.,;:!?''")\\]}}]+$', ''))) as tokens from c join d using (item_id)),
+    f"""with c as (select item_id, list_filter(string_split_regex(text, '[.,]\\s*'), lambda x: x <> '') as concepts from benchmark), d as (select doc_id // 10 as list_id, doc_id // 10 % 40 as item_id, string_agg(text, ' ' order by doc_id) as body from documents group by all),
+ t as (select list_id, concepts, list_distinct(list_transform(list_filter(string_split_regex(lower(body), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[.,;:!?''")\\]}}]+$', ''))) as tokens from c join d using (item_id)),
  m as (select *, list_filter(concepts, lambda x, i: i % 2 = 0) as missing, list_filter(concepts, lambda x, i: i % 2 = 1) as covered from t),
  f as (select *, list_filter(missing, lambda c: len(list_filter(string_split_regex(c, '\\s+'), lambda x: length(x) >= 3)) > 0 and
    len(list_filter(list_distinct(list_transform(list_filter(string_split_regex(c, '\\s+'), lambda x: length(x) >= 3), lambda x: lower(x))), lambda x: list_contains(tokens, x)))::double / len(list_distinct(list_transform(list_filter(string_split_regex(c, '\\s+'), lambda x: length(x) >= 3), lambda x: lower(x)))) >= 0.4e0) as gen from m)
- select item_id, array_to_string(covered, '|') as covered, array_to_string(missing, '|') as missing, round(len(covered)::double / len(concepts), 6) as coverage_ratio,
+ select list_id, array_to_string(covered, '|') as covered, array_to_string(missing, '|') as missing, round(len(covered)::double / len(concepts), 6) as coverage_ratio,
  case when len(missing) > 0 then array_to_string(gen, '|') end as generation_failures, case when len(missing) > 0 then array_to_string(list_filter(missing, lambda x: not list_contains(gen, x)), '|') end as retrieval_failures from f""",
 )
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
-    body = _t(spark, d, "documents").filter("doc_id < 400").groupBy((F.col("doc_id") % 40).alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("contexts"))
+    body = _t(spark, d, "documents").groupBy(F.expr("doc_id div 10").alias("list_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("contexts")).withColumn("item_id", F.col("list_id") % 40)
     concepts = F.filter(F.split("text", r"[.,]\s*"), lambda x: x != "")
     df = _t(spark, d, "benchmark").join(body, "item_id").withColumn("concepts", concepts)
     df = df.withColumn("statuses", F.transform("concepts", lambda c, i: F.when(i % 2 == 0, "covered").otherwise("missing")))
     df = df.withColumn("g", judge.coverage_gaps(F.col("concepts"), F.col("statuses"), F.col("contexts")))
-    return df.select("item_id", *[F.array_join(f"g.{c}", "|").alias(c) for c in ("covered", "missing", "generation_failures", "retrieval_failures")], F.round("g.coverage_ratio", 6).alias("coverage_ratio"))
+    return df.select("list_id", *[F.array_join(f"g.{c}", "|").alias(c) for c in ("covered", "missing", "generation_failures", "retrieval_failures")], F.round("g.coverage_ratio", 6).alias("coverage_ratio"))
 
 
 _RAW = """case event_id % 7 when 0 then concat('{"faithfulness": ', cast(value as string), ', "relevancy": "0.5"}') when 1 then '```json\\n{"faithfulness": 0.25, "relevancy": null}\\n```'
@@ -675,7 +676,7 @@ def synthesis_parse(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", F.array_join(F.transform(pairs_, lambda p: F.concat_ws("=", p["question"], p["expected_answer"])), "|").alias("parsed"))
 
 
-@query("retry_payload", "select event_id, case when event_id % 4 <= 0 then event_id % 23 else least(event_id % 23, greatest(4, event_id % 23 - greatest(1, (event_id % 23) // 4) * (event_id % 4))) end::int as chunks, greatest(512, 2048 // (1 << (event_id % 4)))::int as max_tokens from events")
+@query("retry_payload", "select event_id, case when event_id % 4 <= 0 then event_id % 23 else least(event_id % 23, greatest(4, event_id % 23 - greatest(1, (event_id % 23) // 4) * (event_id % 4))) end::int as chunks, case event_id % 4 when 0 then 2048 when 1 then 1024 else 512 end::int as max_tokens from events")
 def retry_payload(spark: SparkSession, d: str) -> DataFrame:
     p = judge.retry_payload((F.col("event_id") % 23).cast("int"), (F.col("event_id") % 4).cast("int"), F.lit(2048))
     return _t(spark, d, "events").withColumn("p", p).select("event_id", "p.chunks", "p.max_tokens")
@@ -714,11 +715,11 @@ def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
     return truth.balanced_sample(chunks, 50)
 
 
-@query("question_set_normalise", "select conv_id, concat('q', conv_id) as first_question, null::varchar as first_answer, 'w' as second_question, concat('a', turn) as second_answer from conversations where turn = 0")
+@query("question_set_normalise", "select conv_id, concat('q', conv_id) as first_question, null::varchar as first_answer, 'w' as second_question, concat('a', turn) as second_answer, turn from conversations")
 def question_set_normalise(spark: SparkSession, d: str) -> DataFrame:
     raw = F.expr("""concat('["q', cast(conv_id as string), '", {"question": "w", "expected_answer": "a', cast(turn as string), '"}]')""")
-    q = _t(spark, d, "conversations").filter("turn = 0").select("conv_id", truth.normalised_questions(raw).alias("q"))
-    return q.select("conv_id", *[F.col("q")[i][f].alias(f"{n}_{f.removeprefix('expected_')}") for i, n in enumerate(("first", "second")) for f in ("question", "expected_answer")])
+    q = _t(spark, d, "conversations").select("conv_id", "turn", truth.normalised_questions(raw).alias("q"))
+    return q.select("conv_id", "turn", *[F.col("q")[i][f].alias(f"{n}_{f.removeprefix('expected_')}") for i, n in enumerate(("first", "second")) for f in ("question", "expected_answer")])
 
 
 # --- sources, tables, reports -------------------------------------------------------------------------------------
