@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize
 
+#: A node with more links than ``BUSY`` and than one in ``SHARE`` of all is busy: there are ``2 * SHARE`` of them at most.
+BUSY, SHARE = 1000, 50_000
+
+
+def _with_least(links: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
+    """``links`` with ``m`` of their ``u``. Busy nodes, whose number has a bound, are broadcast, so that no task gathers
+    all links of a family's centre; the others are joined by ``u``."""
+    limit = max(BUSY, n_links // SHARE)
+    busy = F.broadcast(least.filter(F.col("n") > limit).drop("n"))
+    rest = links.join(busy, "u", "left_anti").join(least.filter(F.col("n") <= limit).drop("n"), "u")
+    return links.join(busy, "u").unionByName(rest)
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``links`` (u, v); a component is named by its least node.
@@ -17,15 +29,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     edges, before = materialize(edges, "links"), None
+    n_links = edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both, least, n_links).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, n_links).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
-        before = now
+        before, n_links = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,6 +8,7 @@ import pytest
 import brute
 from tables import SMALL
 from plumbline.llm import queries
+from plumbline.llm import components
 from plumbline.llm.components import connected_components
 from plumbline.llm.near_dedup import drop_near_duplicates, label_near_duplicates
 from plumbline.llm.suffix_dedup import later_windows, remove_repeated_bytes
@@ -124,13 +125,23 @@ def test_index_finds_history_and_compacts(spark, frame):
     assert index.runs == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("busy", [1, 2, 1000])
+def test_components(spark, busy, monkeypatch):
+    """Whatever share of the nodes is joined by broadcast."""
+    monkeypatch.setattr(components, "BUSY", busy)
     links = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9), (7, 7), (20, 22), (21, 22), (20, 21)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_with_a_busy_centre(spark):
+    """Two stars of 1500 leaves whose centres are not the least of their nodes, and a chain between two leaves."""
+    links = [(c, leaf) for c in (4000, 9000) for leaf in range(c - 1500, c)] + [(3000, 10000), (10000, 8000), (20000, 20001)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert len(got) == 3005 and {v for k, v in got.items() if k < 20000} == {2500} and got[20001] == 20000
+
+
 def thue_morse(n):
     """A word of two letters and its complement, which polynomial hashes modulo a power of two don't tell apart."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
