@@ -52,17 +52,25 @@ def fingerprints(window: int, gram: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints, kept as bucketed tables of the session's warehouse."""
+    """Sorted immutable runs of fingerprints, kept as bucketed tables of the session's warehouse.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = 2):
+    An index with a ``name`` outlives the call: made again under that name, window and anchor, in this or a later
+    session of the same catalog, it goes on from the runs that are there. Adding a batch once more, after a job
+    that died, does no harm, as places of candidates are told apart before they are counted.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = 2, name: str | None = None):
         if not 0 < window - gram < _PACK:
             raise ValueError("the window may hold up to 63 more words than the anchor")
+        if name is not None and not name.isidentifier():
+            raise ValueError("the name of an index has to be a plain table name")
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
-        self.buckets, self.name, self.runs, self.made = n_partitions(spark), f"plumbline_run_{uuid.uuid4().hex}", [], 0
+        self.buckets = n_partitions(spark)
+        self.name = f"{name.lower()}_{window}_{gram}_run" if name else f"plumbline_run_{uuid.uuid4().hex}"
+        self.runs = sorted(t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")) if name else []
 
     def _write(self, rows: DataFrame) -> str:
-        table = f"{self.name}_{self.made}"
-        self.made += 1
+        table = f"{self.name}_{uuid.uuid4().hex}"  # what a failed job leaves behind is never in the way
         rows.repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").sortBy("k").saveAsTable(table)
         return table
 
@@ -241,25 +249,53 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
     Anchors found more than ``group_rows`` times are split into their windows.
     """
     spark = docs.sparkSession
-    n = n_partitions(spark)
     rows, name = with_row_ids(docs.select("doc_id", "text"))
     index = FingerprintIndex(spark, window, gram, fanout)
     candidates = None
-    for k in range(batches):
-        found = index.add(rows.filter(F.pmod(F.xxhash64("_rid"), F.lit(batches)) == k))
-        candidates = found if candidates is None else candidates.union(found)
-        if k < batches - 1:
-            index.compact()
-    index.drop()
+    try:
+        for k in range(batches):
+            found = index.add(rows.filter(F.pmod(F.xxhash64("_rid"), F.lit(batches)) == k))
+            candidates = found if candidates is None else candidates.union(found)
+            if k < batches - 1:
+                index.compact()
+    finally:
+        index.drop()
     by_row = packed_by_row(rows)
+    out = _without(by_row, _marks(candidates, by_row, window, group_rows), window, with_text)
+    return name(out, "_rid", "doc_id").select("doc_id", *RESULT)
+
+
+def _marks(candidates: DataFrame, by_row: DataFrame, window: int, group_rows: int) -> DataFrame:
+    """(_rid, marks): the window starts of each document whose window is also elsewhere, in ranges."""
     places = marked_hot(candidates, group_rows).groupBy("_rid").agg(F.collect_set(F.struct("h", "at", "hot")).alias("found"))
     texts = places.join(by_row, "_rid").select("_rid", "found", "size", "packed")
     stretches = texts.mapInArrow(stretches_of(window), "h long, _rid long, first long, last long, weight long, piece binary")
-    marks = stretches.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_verified(window), "_rid long, first long, last long")
-    marks = marks.groupBy("_rid").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+    marks = stretches.repartition(n_partitions(by_row.sparkSession), "h").sortWithinPartitions("h").mapInArrow(_verified(window), "_rid long, first long, last long")
+    return marks.groupBy("_rid").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+
+
+def _without(by_row: DataFrame, marks: DataFrame, window: int, with_text: bool) -> DataFrame:
     last = by_row.join(marks, "_rid", "left").select("_rid", "size", "packed", "marks")
-    out = last.mapInArrow(_kept(window, with_text), "_rid long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return name(out, "_rid", "doc_id").select("doc_id", *RESULT)
+    return last.mapInArrow(_kept(window, with_text), "_rid long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def remove_windows_of_history(batch: DataFrame, history: DataFrame, index: FingerprintIndex, with_text: bool = True, group_rows: int = 2000) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256, kept_text`` of a new batch, which ``index`` then holds too.
+
+    A word goes if a window covers it that also starts elsewhere in the batch or in ``history``, the documents that
+    the index was built from; these stay as they are. Of the history only documents with a candidate are read
+    whole. Ids are whole numbers, present, and distinct over both. Of null and empty texts and empty tables the
+    same holds as in ``remove_repeated_windows``; other columns are not read.
+    """
+    new = batch.select(F.col("doc_id").cast("long").alias("_rid"), "text")
+    candidates = index.add(new)
+    index.compact()
+    met = candidates.select(F.col("_rid").alias("_met")).distinct()
+    old = history.select(F.col("doc_id").cast("long").alias("_rid"), "text")
+    old = old.join(met, old["_rid"] == met["_met"], "left_semi")
+    marks = _marks(candidates, packed_by_row(new.unionByName(old)), index.window, group_rows)
+    out = _without(packed_by_row(new), marks, index.window, with_text)
+    return out.select(F.col("_rid").cast(batch.schema["doc_id"].dataType).alias("doc_id"), *RESULT)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

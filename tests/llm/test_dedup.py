@@ -12,7 +12,7 @@ from plumbline.llm import components
 from plumbline.llm.components import connected_components
 from plumbline.llm.near_dedup import drop_near_duplicates, label_near_duplicates
 from plumbline.llm.suffix_dedup import later_windows, remove_repeated_bytes
-from plumbline.llm.window_dedup import FingerprintIndex, remove_repeated_windows, repeated
+from plumbline.llm.window_dedup import FingerprintIndex, remove_repeated_windows, remove_windows_of_history, repeated
 
 
 def table(df, *cols):
@@ -125,6 +125,29 @@ def test_index_finds_history_and_compacts(spark, frame):
     assert index.runs == []
 
 
+def test_named_index_is_opened_again(spark, frame):
+    """Batches that come one after the other, the index made anew for each, agree with brute force over all so far."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, twice, own = words(50), words(36), words(40)
+    texts = [f"{words(20)} {shared}", words(60), f"{shared} {words(5)}", None, "", f"{own} {own}", f"{twice} {words(9)}", f"{words(3)} {twice}", shared, words(34), f"x {shared[:-1]}", shared]
+    docs = list(enumerate(texts))
+    whole = brute.window_dedup(docs)
+    for at in range(0, len(docs), 3):
+        index = FingerprintIndex(spark, name="history_of_a_test")
+        assert len(index.runs) <= 1
+        got = table(remove_windows_of_history(frame(docs[at : at + 3], extra=False), frame(docs[:at], extra=False), index), *WORDS)
+        so_far = brute.window_dedup(docs[: at + 3])
+        assert got == {i: so_far[i] for i, _ in docs[at : at + 3]}
+    assert {i for i, v in so_far.items() if v[1]} == {i for i, v in whole.items() if v[1]} >= {0, 2, 5, 6, 7, 8, 11}
+    again = FingerprintIndex(spark, name="history_of_a_test")
+    assert table(remove_windows_of_history(frame(docs[9:], extra=False), frame(docs[:9], extra=False), again), *WORDS) == got  # a batch added once more
+    again.drop()
+    assert FingerprintIndex(spark, name="history_of_a_test").runs == []
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, name="no name")
+
+
 @pytest.mark.parametrize("busy", [1, 2, 1000])
 def test_components(spark, busy, monkeypatch):
     """Whatever share of the nodes is joined by broadcast."""
