@@ -260,8 +260,8 @@ def model_insights(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "formatted_values",
     """select event_id, coalesce(concat(floor(value * 100 + 0.5e0)::bigint, '%'), '--') as score, concat(floor(value * 1000 + 0.5e0)::bigint, 'ms') as latency,
- case when event_id < 1024 then concat(event_id, ' B') when event_id < 1048576 then printf('%.1f KB', event_id / 1024.0e0) else printf('%.1f MB', event_id / 1048576.0e0) end as size,
- case when event_id >= 1000000 then printf('%.1fM', event_id / 1e6) when event_id >= 1000 then printf('%.0fK', event_id / 1e3) else event_id::varchar end as tokens from events""",
+ case when event_id < 1024 then concat(event_id, ' B') when event_id < 1048576 then printf('%.1f KB', floor(event_id / 1024.0e0 * 10 + 0.5e0) / 10) else printf('%.1f MB', floor(event_id / 1048576.0e0 * 10 + 0.5e0) / 10) end as size,
+ case when event_id >= 1000000 then printf('%.1fM', floor(event_id / 1e6 * 10 + 0.5e0) / 10) when event_id >= 1000 then concat(floor(event_id / 1e3 + 0.5e0)::bigint, 'K') else event_id::varchar end as tokens from events""",
 )
 def formatted_values(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events")

@@ -13,17 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import let, words
+from plumbline.functions.text import words
+from plumbline.operators.fulltext import keyword_search
 from plumbline.plans.profiles import Retrieval
 from plumbline.sources.storage import settled
 
-#: The English stop words of PostgreSQL's text search.
-STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves"
-    " what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while"
-    " of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there"
-    " when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
-).split()
 POOL_CAP = 400
 
 
@@ -105,39 +99,6 @@ def _best_of_blocks(k: int, step: int = 512):
     return run
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased words of letters and digits, without stop words."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
-
-
-def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, broadcast_terms: int = 200_000) -> DataFrame:
-    """Chunks (chunk_id, text) that hold all terms of a query (query_id, text), best ``k`` by rank.
-
-    Texts are split into terms once. Only terms that some query asks for leave the scan; a chunk's are gathered,
-    and both the terms' frequencies and the search read that. The rarest term of each query leads to its
-    candidates, so a frequent word never multiplies rows, and the others are looked up in the candidate's own
-    terms. The rank is the sum of ``tf / (tf + 1)`` over the query's terms: it stands in for a database's
-    full-text rank, which fusion discards anyway. A query without terms finds nothing. Up to
-    ``broadcast_terms`` distinct terms and queries are broadcast.
-    """
-    asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("_asked")).filter(F.size("_asked") > 0)
-    of_queries = asked.select("query_id", F.explode("_asked").alias("term"))
-    wanted = of_queries.select("term").distinct()
-    n = wanted.count()
-    hint = lambda df, rows: F.broadcast(df) if rows <= broadcast_terms else df
-    found = chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term")).join(hint(wanted, n), "term", "left_semi")
-    held = found.groupBy("chunk_id").agg(F.collect_list("term").alias("_terms"))
-    frequency = held.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lead = of_queries.join(hint(frequency, n), "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("lead"), F.count(F.lit(1)).alias("found"))
-    lead = lead.join(asked, "query_id").filter(F.col("found") == F.size("_asked")).select("query_id", F.col("lead.term").alias("term"), "_asked")
-    hits = held.select("chunk_id", "_terms", F.explode(F.array_distinct("_terms")).alias("term")).join(lead, "term")
-    hits = hits.filter(F.forall("_asked", lambda t: F.array_contains("_terms", t)))
-    tf = lambda t: (F.size("_terms") - F.size(F.array_remove("_terms", t))).cast("double")
-    score = F.aggregate("_asked", F.lit(0.0), lambda a, t: a + let(tf(t), lambda n: n / (n + 1)))
-    best = ranked(hits.select("query_id", "chunk_id", F.round(score, 6).alias("score")), F.col("score").desc(), F.col("chunk_id"))
-    return best.filter(F.col("rank") < k).select("query_id", "chunk_id", "rank", "score")
-
-
 def rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: the sum of ``1 / (k + rank + 1)``; ties in order of first appearance.
 

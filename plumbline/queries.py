@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import stem
 from plumbline.functions import text as T
-from plumbline.operators import alignment, checks, chunking, compare, judge, reports, retrieval, truth, verdicts
+from plumbline.operators import alignment, checks, chunking, compare, fulltext, judge, reports, retrieval, truth, verdicts
 from plumbline.plans.profiles import FINANCE, SCORES
 from plumbline.sources import ingest
 
@@ -341,8 +342,55 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_search(v, v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), 10)
 
 
-_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + "]"
-_TERMS_SQL = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' and not list_contains(" + _STOP_SQL + ", x))"
+def _in_sql(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _mapped_sql(step: dict[str, str]) -> str:
+    return "case e " + " ".join(f"when '{a}' then '{b}'" for a, b in step.items()) + " end"
+
+
+def _ending_sql(of, name: str, source: str) -> str:
+    """The longest of the endings of w as e, and what stands before it as p."""
+    return f"{name}e as (select *, regexp_extract(w, '({'|'.join(of)})$') as e, w[: length(w) - length(regexp_extract(w, '({'|'.join(of)})$'))] as p from {source})"
+
+
+_SHORT_SQL = "'(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$'"
+#: Tokens (doc_id, place, word) of the documents, their stems as (word, stem), and the stems' places as posted (doc_id, stem, place).
+_POSTED_SQL = f"""tokens as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as place from (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as ws from documents)),
+ v as (select distinct word from tokens where word not in {_in_sql(fulltext.STOP_WORDS)}),
+ whole as (select * from (values {", ".join(f"('{a}', '{b}')" for a, b in stem.WHOLE.items())}) t(word, stem)),
+ s0 as (select word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') as w from v where length(word) > 2 and word not in (select word from whole)),
+ s1 as (select *, coalesce(nullif(length(regexp_extract(w, '^(gener|commun|arsen|[^aeiouy]*[aeiouy]+[^aeiouy])')), 0), length(w)) as r1 from s0),
+ s2 as (select *, r1 + coalesce(nullif(length(regexp_extract(w[r1 + 1 :], '^[^aeiouy]*[aeiouy]+[^aeiouy]')), 0), length(w) - r1) as r2 from s1),
+ {_ending_sql(["sses", "ied", "ies", "us", "ss", "s"], "s2", "s2")},
+ s3 as (select word, r1, r2, case when e = 'sses' then w[: length(w) - 2] when e in ('ied', 'ies') then w[: length(w) - case when length(w) > 4 then 2 else 1 end]
+  when e = 's' and regexp_matches(w[: length(w) - 2], '[aeiouy]') then p else w end as w from s2e),
+ ready as (select word, w as stem from s3 where w in {_in_sql(sorted(stem.WHOLE_AFTER_PLURAL))}),
+ {_ending_sql(["eed", "eedly", "ed", "edly", "ing", "ingly"], "s3", "(select * from s3 where word not in (select word from ready))")},
+ s4 as (select word, r1, r2, case when e = '' then w when e[:2] = 'ee' then case when length(p) >= r1 then concat(p, 'ee') else w end when not regexp_matches(p, '[aeiouy]') then w
+  when regexp_matches(p, '(at|bl|iz)$') then concat(p, 'e') when regexp_matches(p, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then p[: length(p) - 1]
+  when length(p) <= r1 and regexp_matches(p, {_SHORT_SQL}) then concat(p, 'e') else p end as w from s3e),
+ s5 as (select word, r1, r2, regexp_replace(w, '(.[^aeiouy])[yY]$', '\\1i') as w from s4),
+ {_ending_sql(stem.SECOND, "s5", "s5")},
+ s6 as (select word, r1, r2, case when e <> '' and length(p) >= r1 and (e <> 'ogi' or suffix(p, 'l')) and (e <> 'li' or regexp_matches(p, '[cdeghkmnrt]$')) then concat(p, {_mapped_sql(stem.SECOND)}) else w end as w from s5e),
+ {_ending_sql(stem.THIRD, "s6", "s6")},
+ s7 as (select word, r1, r2, case when e <> '' and length(p) >= r1 and (e <> 'ative' or length(p) >= r2) then concat(p, {_mapped_sql(stem.THIRD)}) else w end as w from s6e),
+ {_ending_sql(stem.FOURTH, "s7", "s7")},
+ s8 as (select word, r1, r2, case when e <> '' and length(p) >= r2 and (e <> 'ion' or regexp_matches(p, '[st]$')) then p else w end as w from s7e),
+ {_ending_sql(["e", "ll"], "s8", "s8")},
+ s9 as (select word, case when e <> '' and length(w) - 1 >= r2 or e = 'e' and length(p) >= r1 and not regexp_matches(p, {_SHORT_SQL}) then w[: length(w) - 1] else w end as w from s8e),
+ stems as (select word, replace(w, 'Y', 'y') as stem from s9 union all select * from ready union all select * from whole where word in (select word from v) union all select word, word from v where length(word) <= 2),
+ posted as (select doc_id, stem, place from tokens join stems using (word))"""
+
+_RANKED_SQL = f"""hits as (select query_id, doc_id as chunk_id, stem, list(place order by place) as ats from asked join posted using (stem) group by all),
+ sizes as (select query_id, count(*) as wanted from asked group by query_id),
+ held as (select query_id, chunk_id, count(*) as n from hits join sizes using (query_id) group by query_id, chunk_id, wanted having count(*) = wanted),
+ placed as (select query_id, chunk_id, n, stem, unnest(ats) as place, unnest(range(1, len(ats) + 1)) as i from hits join held using (query_id, chunk_id)),
+ alone as (select query_id, chunk_id, sum({fulltext.WEIGHT}e0 / (i * i)) / {fulltext.SQUARES}e0 as score from placed where n = 1 group by all),
+ pairs as (select query_id, chunk_id, sum(ln(1 - {fulltext.WEIGHT}e0 * sqrt(1 / (1.005e0 + 0.05e0 * exp(abs(a.place - b.place) / 1.5e0 - 2))))) as s from placed a join placed b using (query_id, chunk_id) where a.stem < b.stem and abs(a.place - b.place) <= {fulltext.FAR} group by all),
+ scored as (select query_id, chunk_id, round(coalesce(score, 1 - exp(s), 0), 6) as score from held left join alone using (query_id, chunk_id) left join pairs using (query_id, chunk_id))
+ select query_id, chunk_id, (row_number() over (partition by query_id order by score desc, chunk_id) - 1)::int as rank, round(score, 4) as score from scored qualify rank < 20"""
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -350,15 +398,29 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
-@query(
-    "keyword_topk",
-    f"""with q as (select doc_id as query_id, list_distinct({_TERMS_SQL.format("text")}) as asked from documents where doc_id % 50 = 0),
- c as (select doc_id as chunk_id, {_TERMS_SQL.format("text")} as terms from documents),
- s as (select query_id, chunk_id, round(list_sum(list_transform(asked, lambda t: len(list_filter(terms, lambda x: x = t))::double / (len(list_filter(terms, lambda x: x = t)) + 1))), 6) as score from q, c where len(asked) > 0 and list_has_all(terms, asked))
- select query_id, chunk_id, (row_number() over (partition by query_id order by score desc, chunk_id) - 1)::int as rank, score from s qualify rank < 20""",
-)
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+@query("keyword_topk", f"with {_POSTED_SQL}, asked as (select distinct doc_id as query_id, stem from posted where doc_id % 50 = 0), {_RANKED_SQL}")
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_search(_t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _asked(spark, d), 20)
+    """Whole texts as queries: what they find holds every one of their terms."""
+    return retrieval.keyword_search(_searched(spark, d), _asked(spark, d), 20)
+
+
+@query("keyword_ranked", f"with {_POSTED_SQL}, asked as (select distinct doc_id as query_id, stem from posted where doc_id % 50 = 0 and place between 3 and 5), {_RANKED_SQL}")
+def keyword_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Three words of a text, some of which are stop words or the same: many texts hold them, at many places."""
+    words = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0), 3, 3), " ")
+    return retrieval.keyword_search(_searched(spark, d), _asked(spark, d).withColumn("text", words), 20)
+
+
+@query("stemmed_vocabulary", f"with {_POSTED_SQL} select doc_id, count(distinct stem) as n_terms, count(*) as n_places, max(stem) as last_term from posted group by doc_id")
+def stemmed_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct stems and places of each document, stop words left out; texts without any are absent."""
+    held = fulltext.term_places(_t(spark, d, "documents"), "doc_id")
+    n = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + F.size(p))
+    return held.select("doc_id", F.size("terms").cast("long").alias("n_terms"), n.alias("n_places"), F.array_max("terms").alias("last_term"))
 
 
 def _list(spark: SparkSession, d: str, a: int, m: int, k: int = 20) -> DataFrame:

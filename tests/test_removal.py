@@ -1,5 +1,6 @@
 """The rest works without the removable parts."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -11,8 +12,9 @@ from tables import ROOT
 COUNT = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); assert set(s) <= set(q); print(len(q), sum(n.startswith('op') or n == 'pipeline' for n in q))"
 
 
-def counted(root):
-    out = subprocess.run([sys.executable, "-c", COUNT], cwd=root, capture_output=True, text=True)
+def counted(root, path):
+    # the copy is read, also where the caller's search path names the original
+    out = subprocess.run([sys.executable, "-c", COUNT], cwd=root, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | path, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     return tuple(map(int, out.stdout.split()))
 
@@ -34,9 +36,7 @@ def test_queries_without(tmp_path, gone):
             shutil.rmtree(root / part)
         elif (root / part).exists():
             (root / part).unlink()
-    every, removable = counted(root)
-    assert every - removable == len(QUERIES)
-    if (root / "plumbline/llm/__init__.py").exists():
-        assert removable == 10
-    else:
-        assert removable == 0
+    for path in ({}, {"PYTHONPATH": str(ROOT)}):
+        every, removable = counted(root, path)
+        assert every - removable == len(QUERIES)
+        assert removable == (13 if (root / "plumbline/llm/__init__.py").exists() else 0)
