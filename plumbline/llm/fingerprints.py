@@ -6,8 +6,8 @@ similarity of phrase sets stands in for a compression distance. A fingerprint ke
 the set, from which the similarity of two sets is estimated; sets of fewer phrases are kept whole, and
 compared exactly.
 
-The parse is a loop over phrases in Python; hashes are sums over a phrase's code points, made for all
-phrases of a text at once.
+The parse is a loop over code points in Python, which holds some 100 bytes a phrase of the longest text; hashes
+are sums over a phrase's code points, made for all phrases of a text at once.
 """
 
 from __future__ import annotations
@@ -36,56 +36,77 @@ def _mixed(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
-def parse(text: str, at: int = 0, seen: set[str] | None = None) -> list[int]:
-    """Where the phrases of ``text`` begin from ``at`` on, with the phrases ``seen`` before it.
+class Parse:
+    """The phrases of a text that may go on: in the order in which they were found, and as a set.
 
-    All beginnings of a phrase are phrases, so whether a length is too short or too long is told by one
-    look-up, and the search for the next length starts from the last one.
+    A phrase under way at the end of the text is one already, so the set is complete without it.
     """
-    seen = set() if seen is None else seen
-    starts, n, size = [], len(text), 1
-    while at < n:
-        end = at + size
-        if text[at:end] in seen:
-            end += 1
-            while end <= n and text[at:end] in seen:
-                end += 1
-        else:
-            while end - 1 > at and text[at : end - 1] not in seen:
-                end -= 1
-        end = min(end, n)
-        seen.add(text[at:end])
-        starts.append(at)
-        size, at = end - at, end
-    return starts
-
-
-def least_hashes(text: str, starts: list[int], k: int = K) -> list[int]:
-    """The least ``k`` hashes of the phrases that begin at ``starts``, ascending."""
-    if not starts:
-        return []
-    begin = np.array(starts)
-    sizes = np.diff(begin, append=len(text))
+
+    def __init__(self, text: str = ""):
+        self.seen: set[str] = set()
+        self.found: list[str] = []
+        self.under_way = ""
+        self.extend(text)
+
+    def extend(self, text: str) -> None:
+        seen, add, find, now = self.seen, self.seen.add, self.found.append, self.under_way
+        for c in text:
+            now += c
+            if now not in seen:
+                add(now)
+                find(now)
+                now = ""
+        self.under_way = now
+
+    def mark(self) -> tuple[int, str]:
+        return len(self.found), self.under_way
+
+    def back(self, mark: tuple[int, str]) -> None:
+        """Undo what came after ``mark``."""
+        n, self.under_way = mark
+        self.seen.difference_update(self.found[n:])
+        del self.found[n:]
+
+
+#: Mixed values of the code points of the basic plane.
+_POINTS = _mixed(np.arange(1 << 16, dtype=np.uint64))
+
+
+def hashes_of(phrases: list[str]) -> np.ndarray:
+    """A hash of every phrase."""
+    if not phrases:
+        return np.zeros(0, np.uint64)
+    sizes = np.fromiter(map(len, phrases), np.int64, len(phrases))
+    begin = np.cumsum(sizes) - sizes
+    points = np.frombuffer("".join(phrases).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    mixed = _POINTS[points] if points.max() < 1 << 16 else _mixed(points.astype(np.uint64))
     powers = np.cumprod(np.r_[np.uint64(1), np.full(int(sizes.max()) - 1, _BASE, dtype=np.uint64)])
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     place = np.arange(len(points)) - np.repeat(begin, sizes)
-    hashes = _mixed(np.add.reduceat(_mixed(points) * powers[place], begin)) >> np.uint64(64 - 4 * DIGITS)
-    return np.unique(hashes)[:k].tolist()
+    return _mixed(np.add.reduceat(mixed * powers[place], begin)) >> np.uint64(64 - 4 * DIGITS)
+
+
+def least(hashes: np.ndarray, k: int = K) -> np.ndarray:
+    """The least ``k`` of the hashes, ascending."""
+    return np.unique(np.partition(hashes, k)[:k] if len(hashes) > k else hashes)
+
+
+def fingerprint(text: str, k: int = K) -> np.ndarray:
+    return least(hashes_of(Parse(text).found), k)
 
 
-def written(hashes: list[int]) -> str:
-    return "".join([f"{h:0{DIGITS}x}" for h in hashes])
+def written(hashes: np.ndarray) -> str:
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DIGITS // 2 :].tobytes().hex()
 
 
-def alike(a: list[int], b: list[int], k: int = K) -> float:
+def alike(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     """Estimated Jaccard similarity of two phrase sets; exact where both are held whole. Two empty sets are equal."""
-    x, y = set(a), set(b)
-    both = x & y
-    if len(a) < k and len(b) < k:
-        union = len(x | y)
-        return len(both) / union if union else 1.0
-    least = sorted(x | y)[:k]
-    return sum(h in both for h in least) / len(least)
+    both = np.sort(np.concatenate([a, b]))
+    if not len(both):
+        return 1.0
+    twice = both[1:] == both[:-1]
+    rank = np.cumsum(np.concatenate([[True], ~twice]))
+    union = int(rank[-1]) if len(a) < k and len(b) < k else min(k, int(rank[-1]))
+    return int((twice & (rank[1:] <= union)).sum()) / union
 
 
 def likeness(a: Column, b: Column, k: int = K) -> Column:
@@ -115,7 +136,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_text(t.as_buffer().to_pybytes()) if t.is_valid else "" for t in batch.column(batch.num_columns - 1)]
-            made = pa.array([written(least_hashes(t, parse(t), k)) for t in texts], pa.string())
+            made = pa.array([written(fingerprint(t, k)) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "fingerprint"])
 
     return kept.select("*", F.col("text").alias("_text_")).mapInArrow(run, schema)
@@ -166,30 +187,30 @@ def with_edited(docs: DataFrame, k: int = K) -> DataFrame:
     The next document is the one with the next smaller id; after the smallest comes the largest, null ids come
     last, rows of one id in an order by their texts. In the edited text the last half of the code points, rounded down,
     gives way to as many first ones of the next text, or all of them. A single row is its own next one. The
-    likeness to the edited and to the next text is estimated from fingerprints alone. The parse of the edited text goes on
-    from the phrases that the kept half holds, so it costs half a parse more.
+    likeness to the edited and to the next text is estimated from fingerprints alone. Both texts are parsed on from the same
+    state at the end of the kept half, so the edited one costs half a parse more.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, before, print_before = [None, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()], "", []
+        kinds, before, print_before = [None, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()], "", np.zeros(0, np.uint64)
         for batch in batches:
             out = []
             for real, key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), unpacked(batch.column(5), batch.column(6))):
                 text = _text(text)
-                starts = parse(text)
-                own = least_hashes(text, starts, k)
+                half = len(text) // 2
+                left = len(text) - half
+                phrases = Parse(text[:left])
+                mark = phrases.mark()
+                phrases.extend(text[left:])
+                hashes = hashes_of(phrases.found)
+                own = least(hashes, k)
                 if real:
-                    half = len(text) // 2
-                    left = len(text) - half
+                    phrases.back(mark)
                     edited = text[:left] + before[:half]
-                    held = bisect_left(starts, left)  # phrases that begin in the kept part; the last one may reach beyond it
-                    held -= held > 0 and (starts[held] if held < len(starts) else len(text)) > left
-                    ends = starts[1 : held + 1] if held < len(starts) else [*starts[1:], len(text)]
-                    on = ends[held - 1] if held else 0
-                    kept = starts[:held] + parse(edited, on, {text[a:b] for a, b in zip(starts[:held], ends)})
-                    changed = least_hashes(edited, kept, k)
+                    phrases.extend(edited[left:])
+                    changed = least(np.concatenate([hashes[: mark[0]], hashes_of(phrases.found[mark[0] :])]), k)
                     digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
                     out.append((key, len(text), digest, written(own), written(changed), alike(own, changed, k), alike(own, print_before, k)))
                 before, print_before = text, own

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,16 +31,26 @@ def texts():
 
 def test_parse_finds_the_phrases():
     for t in texts():
-        starts = P.parse(t)
-        assert starts == sorted(set(starts)) and (not t or starts[0] == 0)
-        cut = {t[a:b] for a, b in zip(starts, [*starts[1:], len(t)])}
-        assert cut == phrases(t)
+        p = P.Parse(t)
+        assert len(p.found) == len(p.seen) and p.seen == phrases(t) and "".join(p.found) + p.under_way == t
+
+
+def test_parse_goes_on_and_back():
+    for t in texts():
+        for left in {0, 1, len(t) // 3, len(t) // 2, len(t)}:
+            p = P.Parse(t[:left])
+            mark = p.mark()
+            for more in (t[left:], "other text, other phrases " * 5, t[left:]):
+                p.extend(more)
+                assert p.found == P.Parse(t[:left] + more).found
+                p.back(mark)
+            assert p.found == P.Parse(t[:left]).found and p.seen == set(p.found)
 
 
 def test_hashes_tell_phrases_apart():
-    every = set().union(*(phrases(t) for t in texts()))
-    seen = {h for p in every for h in P.least_hashes(p, [0])}
-    assert len(seen) == len(every)
+    every = sorted(set().union(*(phrases(t) for t in texts())))
+    one_by_one = [int(P.hashes_of([p])[0]) for p in every]
+    assert len(set(one_by_one)) == len(every) and P.hashes_of(every).tolist() == one_by_one
 
 
 def test_likeness_of_whole_sets_is_exact_and_estimates_are_near():
@@ -47,18 +58,18 @@ def test_likeness_of_whole_sets_is_exact_and_estimates_are_near():
     prose = [" ".join(rng.choice(["data", "model", "spark", "text", "near", "far", "copy", "shard"]) + str(rng.randint(0, 9)) for _ in range(600)) for _ in range(4)]
     pairs = [(a, b) for a in [*texts(), *prose] for b in [*texts(), *prose, prose[0][:1500] + prose[1][1500:]]]
     for a, b in pairs:
-        x, y = (P.least_hashes(t, P.parse(t)) for t in (a, b))
+        x, y = P.fingerprint(a), P.fingerprint(b)
         got, want = P.alike(x, y), jaccard(phrases(a), phrases(b))
         if len(x) < P.K and len(y) < P.K:
             assert got == pytest.approx(want)
         else:
             assert abs(got - want) < 0.2
-        assert (got == 1.0) == (x == y)
+        assert (got == 1.0) == (x.tolist() == y.tolist())
 
 
 def test_column_form_agrees(spark):
-    prints = [P.written(P.least_hashes(t, P.parse(t))) for t in texts()]
-    rows = [(a, b, P.alike(*([int(s[i : i + P.DIGITS], 16) for i in range(0, len(s), P.DIGITS)] for s in (a, b)))) for a in prints for b in prints]
+    prints = [P.written(P.fingerprint(t)) for t in texts()]
+    rows = [(a, b, P.alike(*(np.array([int(s[i : i + P.DIGITS], 16) for i in range(0, len(s), P.DIGITS)], dtype=np.uint64) for s in (a, b)))) for a in prints for b in prints]
     df = spark.createDataFrame([*rows, (None, "", None)], "a string, b string, want double")
     got = df.withColumn("got", P.likeness(F.col("a"), F.col("b"))).collect()
     assert all((r["got"] is None) == (r["want"] is None) and (r["got"] is None or abs(r["got"] - r["want"]) < 1e-12) for r in got)
@@ -80,7 +91,7 @@ def expected(rows):
         t, follow = t or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + follow[:half]
-        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), P.written(P.least_hashes(edited, P.parse(edited))), edited, follow))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), P.written(P.fingerprint(edited)), edited, follow))
     return out
 
 
@@ -95,7 +106,7 @@ def test_edited_texts(spark, frame, corpus, partitions):
         assert (r["n_chars"], r["edited_sha256"], r["edited_fingerprint"]) == (n, digest, fingerprint)
         t = dict(rows)[i] or ""
         for name, other in (("near_edited", edited), ("near_next", follow)):
-            assert r[name] == pytest.approx(P.alike(P.least_hashes(t, P.parse(t)), P.least_hashes(other, P.parse(other))))
+            assert r[name] == pytest.approx(P.alike(P.fingerprint(t), P.fingerprint(other)))
 
 
 def test_one_row_no_rows_and_repeated_rows(spark):
