@@ -186,7 +186,7 @@ def test_nothing_found_takes_the_newest_chunks(spark):
     docs = spark.createDataFrame([("ready", None), ("ready", "x"), ("error", None)], "status string, deleted_at string")
     assert retrieval.ready_documents(docs).first()["n"] == 1
     got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in retrieval.retrieve(chunks, queries, FINANCE.retrieval, retrieval.ready_documents(docs)).collect()}
-    assert got == {(1, 0): (1, 0.5), (2, 0): (2, 0.0), (2, 1): (1, 0.0)}
+    assert got == {(1, 0): (1, 0.0608), (2, 0): (2, 0.0), (2, 1): (1, 0.0)}
 
 
 def fold(chosen, pool, top_k, least):
