@@ -11,8 +11,9 @@ splits a group's row among its partitions. Both laws are the same, so the result
 its rows by a second seeded hash; equal ranges of that hash are its blocks, whose counts give the slots
 at which they begin, so no task holds a shard.
 
-Every choice is a function of the row's values and the seed, so a task that runs again after an
-executor was lost makes the same choice.
+Rows that are equal in all columns are numbered, and each copy is dealt by itself. Every choice is a
+function of the row's values, the number of the copy and the seed, so a task that runs again after an
+executor was lost makes the same choice, and all passes over the rows agree.
 """
 
 from __future__ import annotations
@@ -69,25 +70,48 @@ def _hashable(docs: DataFrame) -> list[Column]:
     return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if holds_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
 
 
+#: Copies of a row that one task makes.
+COPIES = 4096
+
+
+def _numbered_copies(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with two hashes of their values (_h1, _h2) and the number of the copy among equal rows (_copy).
+
+    Where no row occurs twice, which the hashes tell, nothing moves. Otherwise equal rows are counted, map-side first,
+    and made again with their numbers, those of a row with many copies in several tasks.
+    """
+    columns = rows.columns
+    keyed = rows.withColumns({"_h1": F.xxhash64(F.lit(seed), *_hashable(rows)), "_h2": F.xxhash64(F.lit(seed + 3), *_hashable(rows))})
+    if keyed.groupBy("_h1", "_h2").count().filter("count > 1").isEmpty():
+        return keyed.withColumn("_copy", F.lit(0).cast("long"))
+    once = keyed.groupBy("_h1", "_h2").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("_row"), F.count(F.lit(1)).alias("_m"))
+    few = once.filter(F.col("_m") <= COPIES).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    parts = once.filter(F.col("_m") > COPIES).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / COPIES))))
+    parts = parts.repartition(n_partitions(rows.sparkSession), "_h1", "_h2", "_part")
+    last = F.least(F.col("_m"), (F.col("_part") + 1) * COPIES) - 1
+    many = parts.withColumn("_copy", F.explode(F.sequence(F.col("_part") * COPIES, last))).drop("_part")
+    return few.unionByName(many).select("_row.*", "_h1", "_h2", "_copy")
+
+
 def shard_rows(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_partition: int = 16384, group: int = 2048) -> DataFrame:
     """``docs`` with a shard, a slot and the row's size: law ``rows``, a uniform random permutation.
 
     Adds ``size`` (UTF-8 bytes plus 16; null text counts none), ``text_crc32`` (0 for a null or empty
     text), ``law``, ``shard``, ``slot`` (0, 1, ... within the shard) and a null ``grown_shard``; input
-    columns with these names are replaced. Null ids are dealt like others, repeated rows are separate
-    rows, an empty table gives an empty result; rows that agree in id and text are told apart by their
-    other columns. Shards differ by one row at most, whatever group of equal texts there is, so equal
+    columns with these names are replaced. Null ids are dealt like others, an empty table gives an empty
+    result; rows that agree in id and text are told apart by their other columns, and copies of a row that
+    is repeated as a whole are dealt independently of each other, at the price of a shuffle more. Shards differ by one row at most, whatever group of equal texts there is, so equal
     texts are not held together. Partitions and blocks hold some ``rows_per_partition`` rows, so their
     number grows with the table; the driver holds one row of ``n_shards`` counts for ``group`` of them.
     """
     spark = docs.sparkSession
     docs, back = shielded(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    kept = docs.drop(*OUT)
+    kept = _numbered_copies(docs.drop(*OUT), seed)
     n = docs.count()
     parts = max(n_partitions(spark) if n else 1, -(-n // rows_per_partition))
     per_shard = max(1, -(-n // (n_shards * rows_per_partition)))
-    key = lambda i: F.xxhash64(F.lit(seed + i), *_hashable(kept))
+    key = lambda i: F.xxhash64(F.lit(seed + i), "_h1", "_h2", "_copy")
     keys = {"_pid": F.pmod(key(0), F.lit(parts)), "_local": key(1), "_final": key(2)}
 
     counts = kept.select(keys["_pid"].alias("_pid")).groupBy("_pid").count().withColumn("_group", F.floor(F.col("_pid") / group))
@@ -119,7 +143,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_par
     out = sharded(kept.withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text).cast("long")}))
     out = out.withColumn("_place", rank(["shard", "_block"], ["_final", "_local"])).join(small(first, n_shards * per_shard), ["shard", "_block"])
     out = out.withColumns({"slot": (F.col("_first") + F.col("_place")).cast("long"), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
-    return back(out.select(*[c for c in kept.columns], *OUT))
+    return back(out.select(*[F.col(f"`{c}`") for c in kept.columns if c not in ("_h1", "_h2", "_copy")], *OUT))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

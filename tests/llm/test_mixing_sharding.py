@@ -149,6 +149,30 @@ def test_shuffle_is_uniform(spark):
     assert ((seen - 125) ** 2 / 125).sum() < 100 and abs(half.mean() - 4000) < 150
 
 
+def test_copies_of_a_row_are_dealt_independently(spark):
+    """Three copies each of 4000 rows: all in one shard one time in 1600, and neighbours by chance only."""
+    df = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text", "explode(sequence(1, 3)) as _c").drop("_c")
+    rows = shard_rows(df, rows_per_partition=1000).collect()
+    check_shards(rows)
+    places = {}
+    for r in rows:
+        places.setdefault(r["doc_id"], []).append((r["shard"], r["slot"]))
+    assert len(places) == 4000 and all(len(set(p)) == 3 for p in places.values())
+    together = sum(len({s for s, _ in p}) == 1 for p in places.values())
+    pairs = sum(a[0] == b[0] for p in places.values() for a, b in ((p[0], p[1]), (p[0], p[2]), (p[1], p[2])))
+    adjacent = sum(a[0] == b[0] and abs(a[1] - b[1]) == 1 for p in places.values() for a in p for b in p) // 2
+    assert together <= 10 and abs(pairs - 300) < 70 and adjacent < 15
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, shard_rows(df.orderBy(F.rand(1)), rows_per_partition=1000).collect()))
+
+
+def test_one_row_repeated_a_hundred_thousand_times(spark):
+    df = spark.range(100_000).selectExpr("7L as doc_id", "'hot' as text").unionByName(spark.range(100_000).selectExpr("id + 10 as doc_id", "'t' as text"))
+    out = shard_rows(df, n_shards=10).select("shard", "slot", (F.col("doc_id") == 7).alias("hot"))
+    per = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("hot").alias("h"), F.count_distinct("slot").alias("d"), F.avg(F.when(F.col("hot"), F.col("slot"))).alias("m")).collect()
+    assert [(r["n"], r["d"]) for r in per] == [(20_000, 20_000)] * 10 and sum(r["h"] for r in per) == 100_000
+    assert all(abs(r["h"] - 10_000) < 350 and abs(r["m"] - 10_000) < 300 for r in per)  # both five deviations off
+
+
 # --- the pipeline ---------------------------------------------------------------------------------------------
 
 
