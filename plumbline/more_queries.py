@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import alignment, checks, judge, reports, retrieval, truth
+from plumbline.operators import alignment, checks, judge, layout, reports, retrieval, truth, vector_index
 from plumbline.plans.profiles import SCORES
 from plumbline.queries import _DOCS_SQL, _RESULTS_SQL, _SPOKEN_SQL, _docs, _spoken, _t, query, results
 from plumbline.sources import ingest
+from plumbline.sources.storage import checkpoint_folder
 
 # --- checks and model outputs -----------------------------------------------------------------------------------
 
@@ -157,6 +160,33 @@ def rerun_questions(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("truth", F.col("truth.a"))
 
 
+# --- laid-out documents -------------------------------------------------------------------------------------------
+
+
+@query(
+    "layout_chunks",
+    r"""with t as (select page_id, regexp_extract_all(html, '(?i)<(title|h1|p|li)(?:\s[^>]*)?>([^<]*)', 1) as tags, regexp_extract_all(html, '(?i)<(title|h1|p|li)(?:\s[^>]*)?>([^<]*)', 2) as texts from pages),
+ l as (select page_id, unnest(range(len(tags))) as i, lower(unnest(tags)) as tag, trim(regexp_replace(unnest(texts), '\s+', ' ', 'g')) as text from t),
+ p as (select page_id, max(i) filter (tag = 'title') over w as a, max(i) filter (tag = 'h1') over w as b, count(*) filter (tag in ('title', 'h1')) over w as section, i, tag, text from l where text <> '' window w as (partition by page_id order by i)),
+ s as (select p.page_id, p.i, p.section, p.text, concat_ws(' > ', x.text, case when p.b > coalesce(p.a, -1) then y.text end) as path from p left join l x on x.page_id = p.page_id and x.i = p.a left join l y on y.page_id = p.page_id and y.i = p.b where p.tag in ('p', 'li'))
+ select page_id, (row_number() over (partition by page_id order by section) - 1)::int as seq, nullif(path, '') as section_path, string_agg(text, chr(10) order by i) as text, sum(len(string_split(text, ' ')))::int as token_count from s group by page_id, section, path""",
+)
+def layout_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The text of web pages under their title and main heading."""
+    lines = layout.html_lines(F.col("html"), {"title": 1, "h1": 2, "p": 0, "li": 0})
+    out = layout.layout_chunks(_t(spark, d, "pages").select("page_id", "html"), lines, 1_000_000)
+    return out.select("page_id", "seq", "section_path", "text", "token_count")
+
+
+@query("vector_topk_indexed")
+def vector_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """As ``vector_topk``, through a coarse index over all rows with as many probes as a recall of 0.95 needs."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    index = vector_index.build_index(v, f"{checkpoint_folder(spark)}/coarse-index-{uuid.uuid4().hex}")
+    asked = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return vector_index.indexed_search(index, asked, 10, vector_index.probes_for(index, spark, 10))
+
+
 # --- tables ------------------------------------------------------------------------------------------------------
 
 

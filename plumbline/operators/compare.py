@@ -172,15 +172,38 @@ def backfill_expected(results: DataFrame, items: DataFrame) -> DataFrame:
     return out.withColumn("expected_answer", F.coalesce(F.nullif(F.col("expected_answer"), F.lit("")), "_from_set")).drop("_from_set")
 
 
+#: Characters of the piece of an id by which names that hold it are found.
+PIECE = 6
+
+
 def match_models(names: DataFrame, metadata: DataFrame) -> DataFrame:
     """(model_name, id): the model's metadata by id, by name, by id whatever the case, or by an id that the name holds.
 
-    The first of these tiers counts, in it the first entry by position. Metadata is a short list.
+    The first of these tiers counts, in it the first entry by position. All four are joins by equality. For the
+    last, each id is looked up by its rarest piece of up to ``PIECE`` characters among the pieces of the names,
+    and what has met is compared whole; an id as short as a piece needs no comparison, and of ids that
+    differ in case only the first one counts. Names are distinct afterwards; blank ids are held by every name.
     """
-    m = F.broadcast(metadata.select("id", "name", "position"))
-    tier = (
-        F.when(F.col("id") == F.col("model_name"), 0).when(F.col("name") == F.col("model_name"), 1)
-        .when(F.lower("id") == F.lower("model_name"), 2).when(F.contains(F.lower("model_name"), F.lower("id")), 3)
-    )
-    out = names.join(m, tier.isNotNull(), "left").withColumn("_tier", tier)
-    return out.withColumn("_n", F.row_number().over(Window.partitionBy("model_name").orderBy("_tier", "position"))).filter("_n = 1").select("model_name", "id")
+    names = names.select("model_name").distinct()
+    m = metadata.select("id", "name", "position")
+    entry = lambda t: F.struct(F.lit(t).alias("tier"), "position", "id").alias("e")
+    found = names.join(m, F.col("id") == F.col("model_name")).select("model_name", entry(0))
+    found = found.union(names.join(m, F.col("name") == F.col("model_name")).select("model_name", entry(1)))
+    first = m.filter(F.col("id").isNotNull()).groupBy(F.lower("id").alias("low")).agg(F.min(F.struct("position", "id")).alias("f")).select("low", "f.position", "f.id")
+    lowered = names.filter(F.col("model_name").isNotNull()).select("model_name", F.lower("model_name").alias("text"))
+    found = found.union(lowered.join(first, F.col("low") == F.col("text")).select("model_name", entry(2)))
+    size = F.least(F.length("low"), F.lit(PIECE))
+    sizes = [r[0] for r in first.select(size).distinct().collect()]  # seven at most
+    pieces = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+    of_size = lambda text, n: F.when(F.length(text) >= n, pieces(text, n) if n else F.array(F.lit("")))
+    nothing = F.array().cast("array<string>")
+    held = lowered.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(of_size("text", n), nothing) for n in sizes]))))) if sizes else lowered.withColumn("piece", F.lit(None).cast("string")).limit(0)
+    frequency = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    by_size = F.lit(None).cast("array<string>")
+    for n in sizes:
+        by_size = F.when(size == n, of_size("low", n)).otherwise(by_size)
+    lead = first.withColumn("piece", F.explode(by_size)).join(frequency, "piece").groupBy("low", "position", "id").agg(F.min(F.struct("n", "piece")).alias("l"))
+    met = held.join(lead.select("low", "position", "id", F.col("l.piece").alias("piece")), "piece").filter(F.contains("text", "low"))
+    found = found.union(met.select("model_name", entry(3)))
+    best = found.groupBy("model_name").agg(F.min("e").alias("e"))
+    return names.join(best, "model_name", "left").select("model_name", "e.id")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import logging
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import embedding_input
 from plumbline.operators.chunking import chunk_sections
+from plumbline.sources.storage import path_exists
 
 MAX_BYTES = 50 * 1024 * 1024
 MAX_ADDRESSES = 20
@@ -140,16 +145,36 @@ def model_metadata(raw: DataFrame) -> DataFrame:
     """Models from an admin interface's JSON (body): camel case to columns, with capabilities as a list."""
     shape = (
         "array<struct<id:string,name:string,contextLength:bigint,maxTokens:bigint,pricing:struct<input:double,output:double,unit:string>,capabilities:array<string>,"
-        "tpm:bigint,rpm:bigint,supportsVision:boolean,supportsFunctionCalling:boolean,supportsReasoning:boolean>>"
+        "tpm:bigint,rpm:bigint,supportsVision:boolean,supportsFunctionCalling:boolean,supportsReasoning:boolean,supportsEmbeddings:boolean>>"
     )
     m = raw.select(F.explode(F.from_json("body", shape)).alias("m"))
     return m.select(
         "m.id", "m.name", F.col("m.contextLength").alias("context_length"), F.col("m.maxTokens").alias("max_tokens"), "m.pricing", F.coalesce("m.capabilities", F.array().cast("array<string>")).alias("capabilities"),
         "m.tpm", "m.rpm", F.coalesce("m.supportsVision", F.lit(False)).alias("supports_vision"), F.coalesce("m.supportsFunctionCalling", F.lit(False)).alias("supports_function_calling"),
-        F.coalesce("m.supportsReasoning", F.lit(False)).alias("supports_reasoning"),
+        F.coalesce("m.supportsReasoning", F.lit(False)).alias("supports_reasoning"), F.coalesce("m.supportsEmbeddings", F.lit(False)).alias("supports_embeddings"),
     )
 
 
+def model_snapshots(spark: SparkSession, path: str, fetch: Callable[[], str], ttl: float = 300.0, now: Callable[[], float] = time.time) -> DataFrame:
+    """Models from the newest snapshot below ``path`` that is at most ``ttl`` seconds old, else from ``fetch``.
+
+    ``fetch`` gives the admin interface's JSON, a list or an object with the list in ``data``; what it gave is kept as a snapshot of its own, named by
+    the time. If it raises, or gives no JSON, the last snapshot is read however old it is; without one there are no models.
+    """
+    shape, at = "body string, taken long", round(now() * 1000)
+    held = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path) if path_exists(spark, path) else spark.createDataFrame([], shape)
+    last = held.agg(F.max_by("body", "taken").alias("body"), F.max("taken").alias("taken")).first()
+    body = last["body"]
+    if body is None or at - last["taken"] >= ttl * 1000:
+        try:
+            told = json.loads(fetch())
+            body = json.dumps(told.get("data", []) if isinstance(told, dict) else told)
+            spark.createDataFrame([(body, at)], shape).coalesce(1).write.parquet(f"{path}/taken-{at}-{uuid.uuid4().hex}")
+        except Exception as e:  # a service fails in any way; what is known stays good
+            logging.getLogger(__name__).warning("model metadata could not be fetched: %s", e)
+    return model_metadata(spark.createDataFrame([(body,)] if body is not None else [], "body string"))
+
+
 def configured_models(spark: SparkSession, model_a: str, model_b: str) -> DataFrame:
     return spark.createDataFrame([(1, model_a, "available"), (2, model_b, "available")], "id int, name string, status string")
 
