@@ -5,6 +5,7 @@ import decimal
 import pytest
 
 import plumbline.more_queries  # noqa: F401
+import plumbline.run_queries  # noqa: F401
 from plumbline.queries import ORACLE_SQL, QUERIES
 from tables import ROOT, SMALL
 

@@ -22,6 +22,7 @@ def counted(root, path):
 @pytest.mark.parametrize("gone", [["plumbline/llm", "tests/llm"], ["plumbline/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"], ["plumbline/llm/__init__.py"]])
 def test_queries_without(tmp_path, gone):
     import plumbline.more_queries  # noqa: F401
+    import plumbline.run_queries  # noqa: F401
     from plumbline.queries import QUERIES
 
     root = tmp_path / "repo"
