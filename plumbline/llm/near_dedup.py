@@ -5,8 +5,11 @@ a key of the first and one of the second is a table key. So ``tables ** 2`` tabl
 ``2 * tables * band`` minhashes. Texts that meet in a table are put into families; inside a family the
 full shingle sets are compared, and links join texts of ``percent`` similarity and more.
 
-Texts with equal shingle sets are one class from the start, whatever their number. Families above a
-size are compared block against block in separate tasks.
+Texts with equal shingle sets are one class from the start, whatever their number. Large families are
+dealt into blocks, and all blocks are compared with the first one, each pair of blocks in a task of its own. What
+that links is one cluster, most of a family of copies as a rule; then only members outside the largest
+cluster are compared with all. So the work grows with the family and with its square only as far as
+its members are no copies of each other.
 """
 
 from __future__ import annotations
@@ -159,6 +162,25 @@ def compare(percent: int):
     return run
 
 
+def _links_in_cells(docs: DataFrame, placed: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (u, v) between the texts that share a cell of their family; ``placed`` is (_rid, family, cells of i and j)."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, family, cells = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            out: list[tuple] = []
+            for at, h, _ in shingle_sets(batch.column(3)):
+                out += [(family[at], c["i"], c["j"], rid[at], h.view(np.int64)) for c in cells[at]]
+            cols = list(zip(*out)) or [[]] * 5
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["family", "i", "j", "_rid", "sets"])
+
+    texts = placed.select("_rid", "family", "cells").join(docs.select("_rid", "text"), "_rid").select("_rid", "family", "cells", "text")
+    sets = texts.mapInArrow(sets_of, "family long, i int, j int, _rid long, sets array<long>")
+    sets = sets.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return sets.mapInArrow(compare(percent), "u long, v long")
+
+
 def tables_for(percent: int, band: int, miss: float = 1.5e-4) -> int:
     """Keys of each collection with which a pair at the threshold is missed with probability ``miss`` at most."""
     apart = 1 - (percent / 100) ** band
@@ -189,23 +211,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, tables: int | None = Non
     sized = families.join(reps, families.node == reps._rid)
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / (block * 2000))).cast("int").alias("blocks"))
     members = families.join(blocks, "component").select(F.col("node").alias("_rid"), F.col("component").alias("family"), "blocks")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rid, family, total = (batch.column(c).to_numpy() for c in (0, 1, 2))
-            out: list[tuple] = []
-            for at, h, _ in shingle_sets(batch.column(3)):
-                mine = int(mix(np.array([rid[at]], dtype=np.int64).view(np.uint64))[0] % U(total[at]))
-                for other in range(total[at]):
-                    out.append((family[at], min(mine, other), max(mine, other), rid[at], h.view(np.int64)))
-            cols = list(zip(*out)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["family", "i", "j", "_rid", "sets"])
-
-    texts = members.join(docs.select("_rid", "text"), "_rid").select("_rid", "family", "blocks", "text")
-    sets = texts.mapInArrow(sets_of, "family long, i int, j int, _rid long, sets array<long>")
-    sets = sets.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
-    roots = connected_components(sets.mapInArrow(compare(percent), "u long, v long"))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("_rid"), F.col("blocks")).cast("int"))
+
+    # all meet the first block of their family; of a small family that is all of it
+    every = lambda n, cell: F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell)
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    first_block = F.when(F.col("mine") == 0, every("blocks", lambda j: cell(F.lit(0), j))).otherwise(F.array(cell(F.lit(0), F.col("mine"))))
+    links = materialize(_links_in_cells(docs, members.withColumn("cells", first_block), percent, n), "links-to-first-block")
+    large = members.filter("blocks > 1")
+    if not large.isEmpty():
+        roots = connected_components(links)
+        large = large.join(roots, large["_rid"] == roots.node, "left").select("_rid", "family", "blocks", "mine", F.coalesce("component", "_rid").alias("root"))
+        large = materialize(large, "large-families")
+        clusters = large.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = clusters.groupBy("family").agg(F.max(F.struct("n", F.col("root").alias("main"))).alias("m"), F.sum("n").alias("all")).select("family", "m.main", (F.col("all") - F.col("m.n")).alias("rest"), "all")
+        # of most of a family outside its main cluster there is no main cluster to speak of: all blocks meet all
+        main = main.filter("rest > 0").withColumn("rest_blocks", F.when(2 * F.col("rest") <= F.col("all"), F.ceil(F.col("rest") / block)).otherwise(0).cast("int"))
+        open_ = large.join(main, "family").withColumn("outside", F.col("root") != F.col("main"))
+        meets_all = every("blocks", lambda j: cell(F.least("mine", j), F.greatest("mine", j)))
+        as_any = every("rest_blocks", lambda i: cell(i, F.col("mine")))
+        as_rest = every("blocks", lambda j: cell(F.pmod(F.xxhash64("_rid", F.lit(1)), F.col("rest_blocks")), j))
+        cells = F.when(F.col("rest_blocks") == 0, meets_all).when(F.col("outside"), F.array_union(as_any, as_rest)).otherwise(as_any)
+        more = _links_in_cells(docs, open_.withColumn("cells", cells), percent, n)
+        links = links.union(materialize(more, "links-to-the-rest"))
+    roots = connected_components(links)
     out = reps.join(roots, reps["class"] == roots.node, "left")
     return out.select("_rid", "n_shingles", F.coalesce("component", "class").alias("root"))
 

@@ -7,8 +7,7 @@ import pytest
 
 import brute
 from tables import SMALL
-from plumbline.llm import queries
-from plumbline.llm import components
+from plumbline.llm import components, hashing, queries
 from plumbline.llm.components import connected_components
 from plumbline.llm.near_dedup import drop_near_duplicates, label_near_duplicates
 from plumbline.llm.suffix_dedup import later_windows, remove_repeated_bytes
@@ -197,3 +196,59 @@ def test_windows_of_one_hash_are_told_apart_by_words():
     marks = repeated(text, begin, end, np.arange(3), np.zeros(3, np.uint64), np.ones(3, np.int64))
     assert marks.tolist() == [True, False, True]
     assert repeated(text, begin, end, np.arange(3), np.zeros(3, np.uint64), np.array([1, 2, 1])).tolist() == [True, True, True]
+
+
+@pytest.mark.parametrize("block", [1, 4, 400])
+def test_large_families_of_any_shape(frame, block):
+    """Families beyond the block's size: one cluster, a cluster with strays, chains, and members alike in part only."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"x{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    rows = [(i, edited(base, 1)) for i in range(12)]  # links between nearly all
+    rows += [(100 + i, edited(base, rng.choice([2, 4, 7]))) for i in range(14)]  # strays that some keys lead to
+    chain = base[:60] + [f"c{k}" for k in range(60)]
+    for i in range(12):  # each is like the one before it, and less and less like the first
+        chain[60 + 5 * i : 65 + 5 * i] = [f"d{i}x{k}" for k in range(5)]
+        rows.append((200 + i, " ".join(chain)))
+    rows += [(300, rows[0][1]), (301, rows[-1][1]), (302, None), (303, "")]
+    assert table(label_near_duplicates(frame(rows), block=block), *NEAR) == brute.near_dedup(rows)
+
+
+def test_ids_of_a_batch_are_checked(spark, frame):
+    index = FingerprintIndex(spark, name="checked_ids_of_a_test")
+    history = frame([(1, "a b"), (2, "c")], extra=False)
+    for bad in ([(3, "x"), (None, "y")], [(3, "x"), (3, "y")], [(2, "x")]):
+        with pytest.raises(ValueError):
+            remove_windows_of_history(frame(bad, extra=False), history, index)
+    assert index.runs == []
+
+
+def test_index_is_opened_with_another_number_of_partitions(spark, frame):
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = words(45)
+    docs = [(i, f"{words(10)} {shared if i % 2 else words(40)}") for i in range(9)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for at, parts in ((0, before), (3, "7"), (6, "2")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            index = FingerprintIndex(spark, name="other_buckets_of_a_test")
+            got = table(remove_windows_of_history(frame(docs[at : at + 3], extra=False), frame(docs[:at], extra=False), index), *WORDS)
+            so_far = brute.window_dedup(docs[: at + 3])
+            assert got == {i: so_far[i] for i, _ in docs[at : at + 3]}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        FingerprintIndex(spark, name="other_buckets_of_a_test").drop()
+
+
+def test_many_hot_anchors_are_joined_by_salt(spark):
+    rows = spark.range(4000).selectExpr("id % 40 as h", "id as _rid").union(spark.range(5).selectExpr("id + 100 as h", "id as _rid"))
+    for most in (1000, 3):
+        got = {tuple(r) for r in hashing.marked_hot(rows, 50, most).select("h", "_rid", "hot").collect()}
+        assert len(got) == 4005 and {h for h, _, hot in got if hot} == set(range(40)) and {h for h, _, hot in got if not hot} == set(range(100, 105))
