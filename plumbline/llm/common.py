@@ -51,6 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[app]}"
 
 
+def check_warehouse(spark: SparkSession) -> None:
+    """Tables of the catalog have to lie where all executors see them: outside local mode the default folder doesn't do."""
+    where = spark.conf.get("spark.sql.warehouse.dir", "")
+    if not spark.sparkContext.master.startswith("local") and where.startswith("file:") and where.rstrip("/").endswith("/spark-warehouse"):
+        raise ValueError("spark.sql.warehouse.dir has to name a folder that all executors share")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, small
+from plumbline.llm.common import materialize
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C55)
@@ -242,10 +242,22 @@ def firsts(same: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return order[heads], np.diff(np.r_[heads, len(order)]), np.flatnonzero(other)
 
 
-def marked_hot(found: DataFrame, rows: int) -> DataFrame:
-    """``found`` (h, ..) with ``hot``: whether its anchor is found more than ``rows`` times."""
+#: Ways in which the rows of a hot anchor are dealt where hot anchors are too many to be broadcast.
+SALTS = 64
+
+
+def marked_hot(found: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
+    """``found`` (h, _rid, ..) with ``hot``: whether its anchor is found more than ``rows`` times.
+
+    Up to ``most`` hot anchors are broadcast. More are joined by anchor and a salt of the row, so that no task gets
+    all rows of an anchor.
+    """
     hot = materialize(found.groupBy("h").count().filter(F.col("count") > rows).select("h", F.lit(True).alias("hot")), "hot-anchors")
     n = hot.count()
     if not n:
         return found.withColumn("hot", F.lit(False))
-    return found.join(small(hot, n, 500_000), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    if n <= most:
+        return found.join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    salted = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = found.withColumn("_salt", F.pmod(F.xxhash64("_rid"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["h", "_salt"], "left").withColumn("hot", F.coalesce("hot", F.lit(False))).drop("_salt")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, materialize, n_partitions, packed_by_row, unpacked, with_row_ids
+from plumbline.llm.common import check_warehouse, documents, materialize, n_partitions, packed_by_row, unpacked, with_row_ids
 from plumbline.llm.hashing import ANCHORS, OTHER_VALUES, anchors, byte_groups, dealt_anchors, firsts, marked_hot, merged, mix, numbered, prefix, run_hashes, spread, whole_groups, word_hashes
 
 WINDOW, GRAM = 35, 8
@@ -70,6 +70,7 @@ class FingerprintIndex:
         self.runs = sorted(t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")) if name else []
 
     def _write(self, rows: DataFrame) -> str:
+        check_warehouse(self.spark)
         table = f"{self.name}_{uuid.uuid4().hex}"  # what a failed job leaves behind is never in the way
         rows.repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").sortBy("k").saveAsTable(table)
         return table
@@ -284,10 +285,13 @@ def remove_windows_of_history(batch: DataFrame, history: DataFrame, index: Finge
 
     A word goes if a window covers it that also starts elsewhere in the batch or in ``history``, the documents that
     the index was built from; these stay as they are. Of the history only documents with a candidate are read
-    whole. Ids are whole numbers, present, and distinct over both. Of null and empty texts and empty tables the
+    whole. Ids are whole numbers, present, and distinct over both; others in the batch raise an error. Of null and empty texts and empty tables the
     same holds as in ``remove_repeated_windows``; other columns are not read.
     """
     new = batch.select(F.col("doc_id").cast("long").alias("_rid"), "text")
+    ids = new.groupBy("_rid").count()
+    if not ids.filter("_rid is null or count > 1").isEmpty() or not ids.join(history.select(F.col("doc_id").cast("long").alias("_rid")), "_rid", "left_semi").isEmpty():
+        raise ValueError("the ids of a batch have to be present, distinct, and none of the history's")
     candidates = index.add(new)
     index.compact()
     met = candidates.select(F.col("_rid").alias("_met")).distinct()
