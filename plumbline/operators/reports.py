@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import format_tokens
+from plumbline.operators.compare import backfill_expected
 
 
 def _sentence(*parts: Column | str) -> Column:
@@ -132,3 +133,14 @@ def newest_first(df: DataFrame, id_col: str) -> DataFrame:
 
 def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def run_detail(results: DataFrame, items: DataFrame) -> DataFrame:
+    """(run_id, results): a run's results in order of their ids, each with its expected answer: its own, or where that is
+    blank the one of the first item (question, expected_answer, position) with that question.
+
+    A run has a hundred questions at most, so its list is a short one.
+    """
+    full = backfill_expected(results, items)
+    one = F.struct("id", *[c for c in full.columns if c not in ("run_id", "id")])
+    return full.groupBy("run_id").agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("results"))
