@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import embedding_input
 from plumbline.operators.chunking import chunk_sections
+from plumbline.plans.models import attempts
 from plumbline.sources.storage import path_exists
 
 MAX_BYTES = 50 * 1024 * 1024
@@ -112,18 +113,22 @@ def embedding_status(chunks: DataFrame) -> DataFrame:
     return per.select("document_id", F.when(F.col("k") == F.col("n"), "embedding_failed").otherwise("ready").alias("status"), F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), told).alias("message"))
 
 
-def embed_missing(chunks: DataFrame, call: Callable[[list[str]], list[list[float] | None]], batch: int = 16) -> DataFrame:
+def embed_missing(chunks: DataFrame, call: Callable[[list[str]], list[list[float] | None]], batch: int = 16, wait: float = 2.0, limited: int = 5) -> DataFrame:
     """``chunks`` (chunk_id, text, embedding) with embeddings for those without one, in batches of ``batch`` texts.
 
-    ``call`` gets prepared texts and returns a vector or None for each; it is where retries belong. Only
-    rows without an embedding go through Python.
+    ``call`` gets prepared texts and returns a vector, None or an exception for each. Where it raises ``RateLimited`` the
+    batch is sent again, ``limited`` times at most, after waits from ``wait`` seconds on that double; any other
+    exception costs the texts that cause it their embedding and no others. Only rows without an embedding go through
+    Python.
     """
+    ask = attempts(lambda _, texts: call(texts), 1, wait, limited=limited)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, out = b.column(1).to_pylist(), []
             for i in range(0, len(texts), batch):
-                out += call(texts[i : i + batch])
+                some = texts[i : i + batch]
+                out += [vector for vector, _, _ in ask("embed", some, [None] * len(some))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], ["chunk_id", "_new"])
 
     todo = chunks.filter(F.col("embedding").isNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), embedding_input(F.col("text")).alias("text"))
