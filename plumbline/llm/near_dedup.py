@@ -187,12 +187,14 @@ def tables_for(percent: int, band: int, miss: float = 1.5e-4) -> int:
     return max(1, math.ceil(math.log(miss / 2) / math.log(apart))) if apart > 0 else 1
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, tables: int | None = None, band: int = 3, block: int = 400, seed: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, tables: int | None = None, band: int = 3, block: int = 400, first_block: int = 128, seed: int = 8) -> DataFrame:
     """(_rid, n_shingles, root): the least row that each row of ``docs`` (with ``_rid``, ``text``) is linked to.
 
     A pair at the threshold is missed by all tables with probability about 2 * (1 - (percent/100) ** band) **
     tables, and much less above it; ``tables`` follows from the threshold if it is not given (10 at 85, 14 at
-    80), so that this is 0.00015 at most. Every pair that meets is compared exactly.
+    80), so that this is 0.00015 at most. Every pair that meets is compared exactly, unless its texts are
+    linked already. Families are dealt into blocks of ``first_block``, of which the first meets all others, so a
+    task of the first comparison holds two blocks; members outside the main cluster go in blocks of ``block``.
     """
     spark = docs.sparkSession
     tables = tables or tables_for(percent, band)
@@ -209,19 +211,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, tables: int | None = Non
     families = materialize(connected_components(met), "families")
 
     sized = families.join(reps, families.node == reps._rid)
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / (block * 2000))).cast("int").alias("blocks"))
-    members = families.join(blocks, "component").select(F.col("node").alias("_rid"), F.col("component").alias("family"), "blocks")
+    whole = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("n_shingles"))
+    in_blocks = lambda size: F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("n_shingles") / (size * 2000))).cast("int")
+    members = families.join(whole, "component").select(F.col("node").alias("_rid"), F.col("component").alias("family"), in_blocks(min(first_block, block)).alias("blocks"), in_blocks(block).alias("large_blocks"))
     members = members.withColumn("mine", F.pmod(F.xxhash64("_rid"), F.col("blocks")).cast("int"))
 
     # all meet the first block of their family; of a small family that is all of it
     every = lambda n, cell: F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell)
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    first_block = F.when(F.col("mine") == 0, every("blocks", lambda j: cell(F.lit(0), j))).otherwise(F.array(cell(F.lit(0), F.col("mine"))))
-    links = materialize(_links_in_cells(docs, members.withColumn("cells", first_block), percent, n), "links-to-first-block")
+    meets_first = F.when(F.col("mine") == 0, every("blocks", lambda j: cell(F.lit(0), j))).otherwise(F.array(cell(F.lit(0), F.col("mine"))))
+    links = materialize(_links_in_cells(docs, members.withColumn("cells", meets_first), percent, n), "links-to-first-block")
     large = members.filter("blocks > 1")
     if not large.isEmpty():
         roots = connected_components(links)
-        large = large.join(roots, large["_rid"] == roots.node, "left").select("_rid", "family", "blocks", "mine", F.coalesce("component", "_rid").alias("root"))
+        large = large.join(roots, large["_rid"] == roots.node, "left").select("_rid", "family", F.col("large_blocks").alias("blocks"), F.coalesce("component", "_rid").alias("root"))
+        large = large.withColumn("mine", F.pmod(F.xxhash64("_rid", F.lit(2)), F.col("blocks")).cast("int"))
         large = materialize(large, "large-families")
         clusters = large.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
         main = clusters.groupBy("family").agg(F.max(F.struct("n", F.col("root").alias("main"))).alias("m"), F.sum("n").alias("all")).select("family", "m.main", (F.col("all") - F.col("m.n")).alias("rest"), "all")
