@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import concept_in_contexts, let, repair_json, strip, strip_fence, strip_fence_lines
 
 HALLUCINATION_BELOW = 0.7
+# Keys of a judge's answer, and the scores that they become.
 JUDGED = {
     "faithfulness": "groundedness_score", "relevancy": "relevancy_score", "context_relevancy": "context_relevancy_score", "abstention_quality": "abstention_score",
     "completeness": "completeness_score", "correctness": "correctness_score", "compliance_accuracy": "compliance_accuracy_score", "context_precision": "context_precision_score",
