@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _A_TO_Z = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -45,12 +47,32 @@ NEAR_DEDUP = f"""with recursive d as (select doc_id, {_WORDS.format(_A_TO_Z.form
  select s.doc_id, len(shingles)::bigint as n_shingles, min(root) as component_id, s.doc_id = min(root) as kept from s join reach on s.doc_id = reach.node group by s.doc_id, shingles"""
 
 
+#: Least standard deviations of the five statistics, as op4 states them.
+LEAST = [0.1, 0.04, 0.15, 0.12, 1.5]
+P = len(LEAST)
+
+
+def _chi_square(x: float, k: int) -> float:
+    """The distribution function for an odd number of degrees of freedom, in closed form."""
+    tail, term = 0.0, 1.0
+    for r in range(1, k - 1, 2):
+        term *= x / r if r > 1 else math.sqrt(x)
+        tail += term
+    return math.erf(math.sqrt(x / 2)) - math.sqrt(2 / math.pi) * math.exp(-x / 2) * tail
+
+
+def _quantile(p: float, k: int) -> float:
+    x, step = 0.0, 64.0
+    while step > 1e-13:
+        x += step if _chi_square(x + step, k) < p else 0.0
+        step /= 2
+    return x
+
+
 def quality_rules(steps: int = 3, keep: float = 0.75, tail: float = 1e-6, min_rows: int = 50) -> str:
     """The base statistics and the minimum-covariance-determinant verdict as one chain of table expressions."""
-    from plumbline.llm.quality_rules import LEAST_SD, P, chi_square_cdf, chi_square_quantile
-
-    least = list(LEAST_SD.values())
-    inside, near = chi_square_quantile(keep, P), chi_square_quantile(0.975, P)
+    least = LEAST
+    inside, near = _quantile(keep, P), _quantile(0.975, P)
     lower = [(i, j) for i in range(P) for j in range(i + 1)]
     model = ", ".join([f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in lower])
 
@@ -75,7 +97,7 @@ def quality_rules(steps: int = 3, keep: float = 0.75, tail: float = 1e-6, min_ro
     chain = [medians, f"model0 as (select med0.g, {start} from med0 " + " ".join(f"join med{i} using (g)" for i in range(1, P)) + ")"]
     for k in range(steps + 1):
         last = k == steps
-        scale = 0.975 / chi_square_cdf(near, P + 2) if last else keep / chi_square_cdf(inside, P + 2)
+        scale = 0.975 / _chi_square(near, P + 2) if last else keep / _chi_square(inside, P + 2)
         chain.append(f"far{k} as (select *, floor(ln(d2 + 1e-6) * 20) as bin from (select *, {far} from passed join model{k} using (g)))")
         chain.append(f"cut{k} as ({at_share(keep, f'far{k}', 'bin')})")
         chosen = f"far{k} where d2 <= {near!r}" if last else f"far{k} f join cut{k} c using (g) where f.bin <= c.bin"
@@ -95,7 +117,7 @@ def quality_rules(steps: int = 3, keep: float = 0.75, tail: float = 1e-6, min_ro
  large as (select k from vectors where not base_failed group by k having count(*) >= {min_rows}),
  placed as (select *, case when k in (select k from large) then k else '' end as g from vectors), passed as (select * from placed where not base_failed),
  {", ".join(chain)}
- select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2 <= {chi_square_quantile(1 - tail, P)!r}, true) as kept, round(d2, 6) as outlier_distance
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2 <= {_quantile(1 - tail, P)!r}, true) as kept, round(d2, 6) as outlier_distance
  from (select placed.*, {far.replace("x", "placed.x")} from placed left join model{steps + 1} using (g))"""
 
 

@@ -252,3 +252,25 @@ def test_many_hot_anchors_are_joined_by_salt(spark):
     for most in (1000, 3):
         got = {tuple(r) for r in hashing.marked_hot(rows, 50, most).select("h", "_rid", "hot").collect()}
         assert len(got) == 4005 and {h for h, _, hot in got if hot} == set(range(40)) and {h for h, _, hot in got if not hot} == set(range(100, 105))
+
+
+def test_recall_just_above_the_threshold(frame):
+    """Three hundred pairs of 85 to 90 % similarity and as many of 75 to 84: all of the first, none of the others."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows, near = [], 0
+    while len(rows) < 1200:
+        base = [word() for _ in range(rng.randint(150, 300))]
+        other = list(base)
+        for at in rng.sample(range(0, len(base), 6), rng.randint(2, 7)):
+            other[at] = word()
+        x, y = brute.shingles(" ".join(base)), brute.shingles(" ".join(other))
+        share = 100 * len(x & y) / len(x | y)
+        wanted = 85 <= share < 90 if near < 300 else 75 <= share < 85
+        if wanted:
+            near += near < 300
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in label_near_duplicates(frame(rows)).collect()}
+    found = sum(got[i] == got[i + 1] for i in range(0, 600, 2))
+    assert found >= 299 and all(got[i] == i for i in range(600, 1200))
+    assert {i: c for i, c in got.items() if i < 600 and c not in (i, i - 1)} == {}

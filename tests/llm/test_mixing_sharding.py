@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from tables import SMALL
-from plumbline.llm import queries
+from plumbline.llm import mixing, queries
 from plumbline.llm.mixing import mix_documents, mixed
 from plumbline.llm.sharding import communication_matrix, hypergeometric, shard_rows
 
@@ -85,6 +85,26 @@ def test_matrix_margins():
     assert large.sum(axis=1).tolist() == [3 * 10**10, 5, 7 * 10**10] and large.sum(axis=0).tolist() == [25 * 10**9] * 4 + [5] and (large >= 0).all()
 
 
+def test_multipliers_against_bisection(spark):
+    """The dual's solution of every source, found by halving an interval instead of Newton's steps."""
+    rng = random.Random(12)
+    rows = [(f"s{k}", rng.choice([0, 1, 7, 30, 400, 5000]) + rng.randint(0, 40)) for k in range(9) for _ in range(rng.choice([3, 40, 300]))] + [(None, 50), (None, 0), ("empty", 0)]
+    sizes = spark.createDataFrame(rows, "source string, size long")
+    solved = mixing.solve(sizes, per := mixing.targets(sizes), per.count()).collect()
+    assert len(solved) == 11 and any(r["full"] for r in solved) and sum(not r["full"] for r in solved) >= 3
+    for r in solved:
+        mine = np.array([n for s, n in rows if s == r["source"] and n > 0], dtype=float)
+        assert r["source_size"] == mine.sum() and r["target"] <= 3 * mine.sum() * (1 + 1e-12)
+        if r["full"] or not len(mine):
+            continue
+        words = lambda t: (mine * 3 / (1 + 2 * np.exp(-t * mine / r["mean_size"]))).sum()
+        low, high = -100.0, 100.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < r["target"] else (low, mid)
+        assert abs(words(r["tilt"]) - r["target"]) <= 1e-6 * r["target"] and abs(r["tilt"] - low) <= 1e-4 * max(1, abs(low))
+
+
 def test_hypergeometric_law():
     """Frequencies of all values against the exact law, and moments beyond the sizes that common generators draw."""
     rng = np.random.default_rng(3)
