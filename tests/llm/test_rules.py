@@ -207,3 +207,17 @@ def test_query_against_brute_force(spark):
         base, more = brute.base_spans(texts[r["doc_id"]]), brute.token_spans(texts[r["doc_id"]], lambda s: len(model.encoding.encode_ordinary(s)))
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert sorted(s for s in r["spans"].split(",") if s) == sorted(base + more)
+
+
+def test_every_group_may_have_its_own_estimate(spark):
+    """With ``min_rows`` 0 no group is pooled: a far document of a small source is far from that source, not from all."""
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, " ".join(word(5) for _ in range(rng.randint(80, 120))), "en", "short words") for i in range(40)]
+    rows += [(100 + i, " ".join(word(14) for _ in range(rng.randint(80, 120))), "en", "long words") for i in range(12)]
+    rows += [(200, " ".join(word(14) for _ in range(100)), "en", "short words"), (300, " ".join(word(5) for _ in range(60)), None, None), (301, None, "en", "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    own = {r["doc_id"]: r["kept"] for r in quality_rules(df, ["doc_id"], min_rows=0).select("doc_id", "kept").collect()}
+    assert len(own) == len(rows) and not own[200] and not own[301] and all(own[i] for i in [*range(40), *range(100, 112), 300])
+    pooled = {r["doc_id"]: r["kept"] for r in quality_rules(df, ["doc_id"]).select("doc_id", "kept").collect()}
+    assert not any(pooled[100 + i] for i in range(12))  # by the estimate of all, which short words make
