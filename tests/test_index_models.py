@@ -119,3 +119,28 @@ def test_no_snapshot_and_no_service(spark, tmp_path):
         raise TimeoutError
 
     assert ingest.model_snapshots(spark, str(tmp_path / "none"), fetch).count() == 0
+
+
+def test_nearest_in_slices(monkeypatch):
+    """The same ids, ties and vectors that are no numbers included, whatever the size of a slice; and little memory."""
+    import tracemalloc
+
+    import numpy as np
+
+    from plumbline.operators import retrieval
+
+    rng = np.random.default_rng(8)
+    m = rng.integers(-2, 3, (3000, 8)).astype(float)
+    m[::5], m[7] = m[0], np.nan
+    m[:, 0] += 10
+    unit, ids, cid = retrieval._unit(m), np.arange(1100), rng.permutation(3000)
+    d = 1 - unit @ unit[:1100].T
+    tracemalloc.start()
+    got = retrieval._best(ids, unit[:1100], cid, unit, 6)
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    want = np.lexsort((np.broadcast_to(np.round(cid[:, None], 0), d.shape), np.round(d, 12)), axis=0)[:6]
+    rows = sorted(zip(got.column(0).to_pylist(), np.round(got.column(2).to_numpy(), 12), got.column(1).to_pylist()))
+    assert len(rows) == 6600 and [r[1] for r in rows if r[0] != 7] == [x for i in ids if i != 7 for x in np.round(d[want[:, i], i], 12)]
+    few = retrieval._best(ids[:2], unit[:2], cid[:9], unit[:9], 20, 4)
+    assert few.num_rows == 18 and np.isnan(few.column(2).to_numpy()).sum() == 2
