@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import source_header
 from plumbline.operators import alignment, judge, truth
-from plumbline.operators.retrieval import retrieve
+from plumbline.operators.retrieval import narrowed, retrieve
 from plumbline.plans.models import ModelClient
 from plumbline.plans.profiles import Profile
+from plumbline.sources.storage import settled
 
 RULES = {
     "fsi": "Ask about regulatory duties, limits, deadlines, reporting and escalation, and how the text defines them.",
@@ -58,8 +59,8 @@ def grounded_truth(questions: DataFrame, chunks: DataFrame, profile: Profile, cl
     leaves it to the count of chunks.
     """
     asked = questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("text"), "embedding")
-    found = retrieve(chunks, asked, profile.retrieval, doc_count).select(F.col("query_id").alias("question_id"), "chunk_id", "rank")
-    own = found.join(chunks.select("chunk_id", "document", "text"), "chunk_id")
+    found = settled(retrieve(chunks, asked, profile.retrieval, doc_count).select(F.col("query_id").alias("question_id"), "chunk_id", "rank"))
+    own = found.join(narrowed(chunks, found).select("chunk_id", "document", "text"), "chunk_id")
     classes = truth.fallback_classes(own)
     if client is not None:
         listed = own.groupBy("question_id").agg(F.array_sort(F.collect_set("document")).alias("documents"))

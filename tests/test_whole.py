@@ -168,3 +168,19 @@ def test_indexed_search_finds_most_of_the_exact_result(spark):
     exact = {(r["query_id"], r["chunk_id"]) for r in QUERIES["vector_topk"](spark, SMALL).collect()}
     found = {(r["query_id"], r["chunk_id"]) for r in QUERIES["vector_topk_indexed"](spark, SMALL).collect()}
     assert len(exact & found) >= 0.9 * len(exact) and len(found) == len(exact)
+
+
+def test_texts_that_were_not_found_go_through_no_shuffle(spark):
+    """Ids that were found meet the documents below the join that chunks are made of."""
+    from plumbline.operators.retrieval import narrowed
+    from plumbline.run_queries import _chunks
+
+    chunks = _chunks(spark, SMALL)
+    found = spark.createDataFrame([(3,), (10,), (17,), (999999,)], "chunk_id long")
+    few = narrowed(chunks.hint("merge"), found).select("chunk_id", "text")
+    lines = few._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda kind: min(len(x) - len(x.lstrip(" :+-")) for x in lines if f"Join {kind}" in x)
+    assert depth("LeftSemi") > depth("Inner")
+    want = chunks.join(found, "chunk_id").select("chunk_id", "text")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, want.collect())) != []
+    assert narrowed(chunks, found, 2) is chunks
