@@ -13,8 +13,10 @@ BUSY, SHARE = 1000, 50_000
 
 def _with_least(links: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
     """``links`` with ``m`` of their ``u``. Busy nodes, whose number has a bound, are broadcast, so that no task gathers
-    all links of a family's centre; the others are joined by ``u``."""
+    all links of a family's centre; the others are joined by ``u``. ``n_links`` is half of the rows of ``links`` at least."""
     limit = max(BUSY, n_links // SHARE)
+    if 2 * n_links <= limit:  # nobody is busy: a plan without broadcasts, of which the driver would hold some for each round
+        return links.join(least.drop("n"), "u")
     busy = F.broadcast(least.filter(F.col("n") > limit).drop("n"))
     rest = links.join(busy, "u", "left_anti").join(least.filter(F.col("n") <= limit).drop("n"), "u")
     return links.join(busy, "u").unionByName(rest)

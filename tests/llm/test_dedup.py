@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from tables import SMALL
@@ -274,3 +275,14 @@ def test_recall_just_above_the_threshold(frame):
     found = sum(got[i] == got[i + 1] for i in range(0, 600, 2))
     assert found >= 299 and all(got[i] == i for i in range(600, 1200))
     assert {i: c for i, c in got.items() if i < 600 and c not in (i, i - 1)} == {}
+
+
+def test_few_links_need_no_busy_nodes(spark):
+    """A round over few links broadcasts nothing; its plan is held by the driver."""
+    from plumbline.llm.components import _with_least
+
+    links = spark.createDataFrame([(i, i % 5) for i in range(5, 60)], "u long, v long")
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    few, many = (_with_least(links, least, n) for n in (55, 50_000_000))
+    assert "Union" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, few.select("u", "v", "m").collect())) == sorted(map(tuple, many.select("u", "v", "m").collect()))
