@@ -221,9 +221,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, tables: int | None = Non
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     meets_first = F.when(F.col("mine") == 0, every("blocks", lambda j: cell(F.lit(0), j))).otherwise(F.array(cell(F.lit(0), F.col("mine"))))
     links = materialize(_links_in_cells(docs, members.withColumn("cells", meets_first), percent, n), "links-to-first-block")
+    roots = connected_components(links)
     large = members.filter("blocks > 1")
     if not large.isEmpty():
-        roots = connected_components(links)
         large = large.join(roots, large["_rid"] == roots.node, "left").select("_rid", "family", F.col("large_blocks").alias("blocks"), F.coalesce("component", "_rid").alias("root"))
         large = large.withColumn("mine", F.pmod(F.xxhash64("_rid", F.lit(2)), F.col("blocks")).cast("int"))
         large = materialize(large, "large-families")
@@ -236,9 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, tables: int | None = Non
         as_any = every("rest_blocks", lambda i: cell(i, F.col("mine")))
         as_rest = every("blocks", lambda j: cell(F.pmod(F.xxhash64("_rid", F.lit(1)), F.col("rest_blocks")), j))
         cells = F.when(F.col("rest_blocks") == 0, meets_all).when(F.col("outside"), F.array_union(as_any, as_rest)).otherwise(as_any)
-        more = _links_in_cells(docs, open_.withColumn("cells", cells), percent, n)
-        links = links.union(materialize(more, "links-to-the-rest"))
-    roots = connected_components(links)
+        more = materialize(_links_in_cells(docs, open_.withColumn("cells", cells), percent, n), "links-to-the-rest")
+        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     out = reps.join(roots, reps["class"] == roots.node, "left")
     return out.select("_rid", "n_shingles", F.coalesce("component", "class").alias("root"))
 

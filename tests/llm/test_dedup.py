@@ -286,3 +286,22 @@ def test_few_links_need_no_busy_nodes(spark):
     few, many = (_with_least(links, least, n) for n in (55, 50_000_000))
     assert "Union" not in few._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, few.select("u", "v", "m").collect())) == sorted(map(tuple, many.select("u", "v", "m").collect()))
+
+
+def test_rounds_broadcast_nothing(spark):
+    """The driver would hold each round's broadcasts, whatever the number of links."""
+    from plumbline.llm.components import _with_least
+
+    links = spark.createDataFrame([(i, i % 5) for i in range(5, 60)], "u long, v long")
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    for n in (55, 50_000_000):
+        assert "Broadcast" not in _with_least(links, least, n)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    """Only the links themselves are written, so that the components of components cost no round."""
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, f=components.materialize: written.append(name) or f(df, name))
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([(5, 1), (1, 7), (9, 2), (2, 2)], "u long, v long")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2} and written == ["links"]
+    assert {r["component"] for r in connected_components(spark.createDataFrame([(5, 1), (5, 2), (9, 5)], "u long, v long")).collect()} == {1} and len(written) > 2
