@@ -184,3 +184,18 @@ def test_texts_that_were_not_found_go_through_no_shuffle(spark):
     want = chunks.join(found, "chunk_id").select("chunk_id", "text")
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, want.collect())) != []
     assert narrowed(chunks, found, 2) is chunks
+
+
+def test_texts_and_vectors_meet_once_for_all_searches(spark, monkeypatch):
+    """What ``retrieve`` reads several times is no join any more."""
+    from plumbline.operators import retrieval
+
+    seen = []
+    whole = retrieval.retrieve
+    monkeypatch.setattr(retrieval, "retrieve", lambda chunks, *rest: seen.append(chunks) or whole(chunks, *rest))
+    QUERIES["retrieve_pipeline"](spark, SMALL)
+    (chunks,) = seen
+    assert "Join" not in chunks._jdf.queryExecution().optimizedPlan().toString()
+    texts, vectors = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "embeddings"))
+    want = texts.join(vectors, texts["doc_id"] == vectors["vec_id"]).select("doc_id", "text")
+    assert sorted(map(tuple, chunks.select("chunk_id", "text").collect())) == sorted(map(tuple, want.collect())) != []
