@@ -134,27 +134,34 @@ def anchors(pre: np.ndarray, first: np.ndarray, last: np.ndarray, gram: int, win
     return h[place[new]], place[new], starts[new], starts[np.r_[new[1:], len(starts)] - 1]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows from batches sorted by ``keys``, cut between keys; one key's rows stay together."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000, size: int = 1 << 31) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows or ``size`` bytes from batches sorted by ``keys``, cut between keys; one key's rows stay together."""
     held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
+    n = held_size = 0
+    for part in parts(batches, rows, size):
+        held.append(part)
+        n += part.num_rows
+        held_size += part.nbytes
+        if n >= rows or held_size >= size:
             table = pa.Table.from_batches(held)
             cut = boundaries(table, keys)[-2] if table.num_rows else 0
             if cut:
                 yield table.slice(0, cut)
             rest = table.slice(cut).combine_chunks()
-            held, n = rest.to_batches(), 0
-            n = rows - max(rows // 4, 1) if not cut else rest.num_rows
+            held = rest.to_batches()
+            n, held_size = (rest.num_rows, rest.nbytes) if cut else (rows - max(rows // 4, 1), size - max(size // 4, 1))
     if held:
         yield pa.Table.from_batches(held)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``rows`` rows and, in the mean of a batch, a quarter of ``size`` bytes."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // (4 * max(batch.nbytes, 1))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def boundaries(table: pa.Table, keys: list[str]) -> np.ndarray:
     """Starts of the runs of equal keys, and the number of rows."""
     n = table.num_rows
@@ -242,6 +249,17 @@ def firsts(same: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return order[heads], np.diff(np.r_[heads, len(order)]), np.flatnonzero(other)
 
 
+#: Anchors, and windows of hot anchors, whose bytes a task holds at a time.
+SLICE = 100_000
+
+
+def runs_of(n: np.ndarray, limit: int = SLICE) -> Iterator[slice]:
+    """Slices of consecutive places whose counts ``n`` add up to about ``limit``."""
+    at = np.cumsum(n) // limit
+    cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(n)]
+    return (slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if a < b)
+
+
 #: Ways in which the rows of a hot anchor are dealt where hot anchors are too many to be broadcast.
 SALTS = 64
 

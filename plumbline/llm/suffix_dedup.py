@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, materialize, n_partitions, packed_by_row, unpacked, with_row_ids
-from plumbline.llm.hashing import ANCHORS, BYTE_VALUES, anchors, byte_groups, dealt_anchors, firsts, marked_hot, merged, numbered, prefix, repeated_anchors, spread, whole_groups
+from plumbline.llm.hashing import ANCHORS, BYTE_VALUES, SLICE, anchors, byte_groups, dealt_anchors, firsts, marked_hot, merged, numbered, prefix, repeated_anchors, runs_of, spread, whole_groups
 
 WINDOW, GRAM = 100, 24
 _PACK = 128
@@ -52,46 +52,58 @@ def byte_anchors(window: int, gram: int):
     return run
 
 
-def strings_at(window: int):
-    """(h, _rid, at, end, piece): the bytes of all windows that each candidate anchor serves.
+STRINGS = "h long, _rid long, at long, end long, piece binary"
 
-    Of equal strings in a batch only the earliest is passed on. The windows of the others are later copies
+
+def _strings(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]]) -> pa.RecordBatch:
+    *columns, pieces = zip(*parts)
+    arrays = [pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in columns]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([p for some in pieces for p in some], pa.binary())], ["h", "_rid", "at", "end", "piece"])
+
+
+def _told(row: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple:
+    """Stretches of later copies as rows without a piece."""
+    r, a, b = merged(row, first, end)
+    return spread(r), r, a, b, [None] * len(r)
+
+
+def strings_at(window: int, rows: int = SLICE):
+    """(h, _rid, at, end, piece): the bytes of all windows that each candidate anchor serves, some ``rows`` anchors at a time.
+
+    Of equal strings among these only the earliest is passed on. The windows of the others are later copies
     by that alone; they come as rows without a piece, merged to stretches from ``at`` to ``end``. So a
     string that a third of all documents share, or one document repeats, reaches a task a few times only.
 
-    What a hot anchor has left, strings with different surroundings, is split into its windows: each goes by a
-    hash of its own bytes, and again only the earliest of equals. Equal windows still meet, all others spread.
+    A hot anchor's strings go by a hash of their own bytes, with ``end`` -1 to say so: equal ones meet, all others spread.
     """
 
+    def distinct(held: list[tuple]) -> pa.RecordBatch:
+        key, row, at, hot = map(np.concatenate, list(zip(*held))[:4])
+        pieces = [p for some in held for p in some[4]]
+        first, size = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK + window
+        kept, _, later = firsts(numbered(key.tolist(), pieces), row, first)
+        hot = hot[kept]
+        pieces = [pieces[k] for k in kept]
+        key = key[kept]
+        key[hot] = np.fromiter((xxhash.xxh3_64_intdigest(pieces[k]) for k in np.flatnonzero(hot)), np.uint64, hot.sum()).view(np.int64)
+        return _strings([(key, row[kept], at[kept], np.where(hot, -1, 0), pieces), _told(row[later], first[later], (first + size)[later])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, found = batch.column(0).to_numpy(), batch.column(1)
-            keys, rids, ats, hots, pieces = [], [], [], [], []
+            held, n = [], 0
             for i, b in enumerate(unpacked(batch.column(2), batch.column(3))):
                 key, at, hot = (found[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "at", "hot"))
-                first, n = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK
-                pieces += [b[x : x + y] for x, y in zip(first.tolist(), (n + window).tolist())]
-                keys.append(key)
-                rids.append(np.full(len(key), rid[i]))
-                ats.append(at)
-                hots.append(hot)
-            if not keys:
-                continue
-            key, row, at, hot = map(np.concatenate, (keys, rids, ats, hots))
-            first, size = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK + window
-            kept, _, later = firsts(numbered(key.tolist(), pieces), row, first)
-            split = kept[hot[kept]]
-            kept = kept[~hot[kept]]
-            n = size[split] - window + 1
-            at2 = np.repeat(first[split] - np.r_[0, np.cumsum(n)[:-1]][: len(n)], n) + np.arange(n.sum())
-            row2, pieces2 = np.repeat(row[split], n), [pieces[k][i : i + window] for k in split for i in range(len(pieces[k]) - window + 1)]
-            key2 = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pieces2), np.uint64, len(pieces2)).view(np.int64)
-            kept2, _, later2 = firsts(numbered(key2.tolist(), pieces2), row2, at2)
-            r, a, b = merged(np.r_[row[later], row2[later2]], np.r_[first[later], at2[later2]], np.r_[(first + size)[later], at2[later2] + window])
-            place = [at[kept], at2[kept2] * _PACK * _PACK, a]
-            columns = [np.r_[key[kept], key2[kept2], spread(r)], np.r_[row[kept], row2[kept2], r], np.concatenate(place), np.r_[np.zeros(len(kept) + len(kept2), np.int64), b]]
-            strings = [pieces[k] for k in kept] + [pieces2[k] for k in kept2] + [None] * len(r)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], ["h", "_rid", "at", "end", "piece"])
+                for k in range(0, len(key), rows):
+                    places = at[k : k + rows]
+                    first, size = places // (_PACK * _PACK) - places // _PACK % _PACK, places % _PACK + window
+                    held.append((key[k : k + rows], np.full(len(places), rid[i]), places, hot[k : k + rows], [b[x : x + y] for x, y in zip(first.tolist(), size.tolist())]))
+                    n += len(places)
+                    if n >= rows:
+                        yield distinct(held)
+                        held, n = [], 0
+            if held:
+                yield distinct(held)
 
     return run
 
@@ -157,32 +169,68 @@ def later_windows(group: np.ndarray, start: np.ndarray, length: np.ndarray, flat
     return marks
 
 
+def _later_stretches(table: pa.Table, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, end) of the bytes that later windows cover, from strings sorted by anchor."""
+    lead = window - gram
+    table = table.combine_chunks()
+    h, rid, at = (table.column(c).to_numpy() for c in ("h", "_rid", "at"))
+    if len(h) < 2:
+        return (np.zeros(0, np.int64),) * 3
+    place, before = at // (_PACK * _PACK), at // _PACK % _PACK
+    group = np.cumsum(np.r_[0, h[1:] != h[:-1]])
+    rank = np.empty(len(h), dtype=np.int64)
+    rank[np.lexsort((place, rid))] = np.arange(len(h))
+    piece = table.column("piece").chunk(0)
+    offsets = np.frombuffer(piece.buffers()[1], dtype=np.int32)[piece.offset : piece.offset + len(piece) + 1]
+    flat = np.frombuffer(piece.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    marks = later_windows(group, lead - before, np.diff(offsets).astype(np.int64), flat, rank, window, lead + window).T
+    edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (r, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return rid[r], place[r] + a - lead, place[r] + b - 1 - lead + window
+
+
+def _windows(table: pa.Table, window: int, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Of equal strings of hot anchors all but the earliest are told; the others go on as their windows, each by a hash of its own bytes."""
+    h, rid, at = (table.column(c).to_numpy() for c in ("h", "_rid", "at"))
+    pieces = table.column("piece").to_pylist()
+    first, n = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK + 1
+    kept, _, later = firsts(numbered(h.tolist(), pieces), rid, first)
+    yield _strings([_told(rid[later], first[later], (first + n - 1 + window)[later])])
+    for run in runs_of(n[kept], rows):
+        k, m = kept[run], n[kept[run]]
+        at2 = np.repeat(first[k] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+        row2, pieces2 = np.repeat(rid[k], m), [pieces[j][i : i + window] for j in k for i in range(n[j])]
+        key2 = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pieces2), np.uint64, len(pieces2)).view(np.int64)
+        kept2, _, later2 = firsts(numbered(key2.tolist(), pieces2), row2, at2)
+        whole = key2[kept2], row2[kept2], at2[kept2] * _PACK * _PACK, np.zeros(len(kept2), np.int64), [pieces2[j] for j in kept2]
+        yield _strings([whole, _told(row2[later2], at2[later2], at2[later2] + window)])
+
+
+def _split(window: int, gram: int):
+    """Strings sorted by anchor: as (h, _rid, at, end, piece) the stretches that later windows cover, and the windows of hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["h"], size=1 << 22):
+            whole = pc.is_valid(table.column("piece"))
+            hot = pc.and_(whole, pc.less(table.column("end"), 0))
+            yield from table.filter(pc.invert(whole)).to_batches()
+            r, a, b = _later_stretches(table.filter(pc.and_not(whole, hot)), window, gram)
+            yield _strings([(spread(r), r, a, b, [None] * len(r))])
+            yield from _windows(table.filter(hot), window)
+
+    return run
+
+
 def _removed(window: int, gram: int):
     """(_rid, first, last) of the bytes to remove, from strings sorted by anchor."""
-    lead = window - gram
-    columns = lead + window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["h"]):
+        for table in whole_groups(batches, ["h"], size=1 << 22):
             whole = pc.is_valid(table.column("piece"))
             told = table.filter(pc.invert(whole))
             if told.num_rows:
                 yield pa.RecordBatch.from_arrays([told.column(c).combine_chunks() for c in ("_rid", "at", "end")], ["_rid", "first", "last"])
-            table = table.filter(whole).combine_chunks()
-            h, rid, at = (table.column(c).to_numpy() for c in ("h", "_rid", "at"))
-            if len(h) < 2:
-                continue
-            place, before = at // (_PACK * _PACK), at // _PACK % _PACK
-            group = np.cumsum(np.r_[0, h[1:] != h[:-1]])
-            rank = np.empty(len(h), dtype=np.int64)
-            rank[np.lexsort((place, rid))] = np.arange(len(h))
-            piece = table.column("piece").chunk(0)
-            offsets = np.frombuffer(piece.buffers()[1], dtype=np.int32)[piece.offset : piece.offset + len(piece) + 1]
-            flat = np.frombuffer(piece.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-            marks = later_windows(group, lead - before, np.diff(offsets).astype(np.int64), flat, rank, window, columns).T
-            edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            (r, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[r]), pa.array(place[r] + a - lead), pa.array(place[r] + b - 1 - lead + window)], ["_rid", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _later_stretches(table.filter(whole), window, gram)], ["_rid", "first", "last"])
 
     return run
 
@@ -217,7 +265,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     with null or repeated ids are documents of their own, in the order of id (nulls last). Bytes may be
     cut inside a character, hence the binary column. Texts shorter than a window stay whole; other
     columns are not read; an empty table gives an empty result. ``with_text`` False leaves it null. Anchors
-    found more than ``group_rows`` times are split into their windows.
+    found more than ``group_rows`` times are split into their windows, once for each distinct string.
     """
     if not 0 < window - gram < _PACK:
         raise ValueError("the window may hold up to 127 more bytes than the anchor")
@@ -228,7 +276,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     shared = marked_hot(materialize(shared, "shared-anchors"), group_rows)
     places = shared.groupBy("_rid").agg(F.collect_list(F.struct("h", "at", "hot")).alias("found"))
     by_row = packed_by_row(rows)
-    pieces = places.join(by_row, "_rid").select("_rid", "found", "size", "packed").mapInArrow(strings_at(window), "h long, _rid long, at long, end long, piece binary")
+    pieces = places.join(by_row, "_rid").select("_rid", "found", "size", "packed").mapInArrow(strings_at(window), STRINGS)
+    pieces = pieces.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_split(window, gram), STRINGS)
     marks = pieces.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_removed(window, gram), "_rid long, first long, last long")
     marks = marks.groupBy("_rid").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
     last = by_row.join(marks, "_rid", "left").select("_rid", "size", "packed", "marks")

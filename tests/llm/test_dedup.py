@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from tables import SMALL
-from plumbline.llm import components, hashing, queries
+from plumbline.llm import components, hashing, queries, suffix_dedup
 from plumbline.llm.components import connected_components
 from plumbline.llm.near_dedup import drop_near_duplicates, label_near_duplicates
 from plumbline.llm.suffix_dedup import later_windows, remove_repeated_bytes
@@ -305,3 +307,38 @@ def test_links_that_are_stars_take_no_round(spark, monkeypatch):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([(5, 1), (1, 7), (9, 2), (2, 2)], "u long, v long")).collect()}
     assert got == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2} and written == ["links"]
     assert {r["component"] for r in connected_components(spark.createDataFrame([(5, 1), (5, 2), (9, 5)], "u long, v long")).collect()} == {1} and len(written) > 2
+
+
+def test_bytes_of_hot_anchors_come_in_slices():
+    """Neither the strings of a batch nor the windows of its hot anchors are held or sent at once, and none is lost."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 3_000_000, dtype=np.uint8)) for _ in range(2)]
+    found = pa.Table.from_batches(suffix_dedup.byte_anchors(100, 24)([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([t.decode() for t in texts])], ["_rid", "text"])]))
+    per_row = [found.filter(pc.equal(found.column("_rid"), r)).combine_chunks() for r in (1, 2)]
+    fields = [[t.column("h").to_numpy() for t in per_row], [np.where(a < 0, ~a, a) for t in per_row for a in [t.column("at").to_numpy()]], [np.ones(t.num_rows, bool) for t in per_row]]
+    structs = pa.StructArray.from_arrays([pa.array(np.concatenate(f)) for f in fields], ["h", "at", "hot"])
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [t.num_rows for t in per_row]), pa.int32()), structs)
+    codec = pa.Codec("zstd")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), lists, pa.array([len(t) for t in texts]), pa.array([codec.compress(t, asbytes=True) for t in texts])], ["_rid", "found", "size", "packed"])
+    strings = list(suffix_dedup.strings_at(100)([batch]))
+    assert sum(b.num_rows for b in strings) == found.num_rows > 150_000
+    windows = {}
+    for b in strings:
+        assert b.nbytes < 40 << 20
+        for out in suffix_dedup._split(100, 24)([b]):
+            assert out.nbytes < 40 << 20
+            for r, at, piece in zip(*(out.column(c).to_pylist() for c in ("_rid", "at", "piece"))):
+                assert texts[r - 1][(x := at >> 14) : x + 100] == piece
+                windows[r, x] = windows.get((r, x), 0) + 1
+    assert len(windows) == sum(len(t) - 99 for t in texts) and set(windows.values()) == {1}
+
+
+def test_slices_of_a_few_rows(frame, corpus, monkeypatch):
+    """However strings and windows are cut, results are the same."""
+    for f in (suffix_dedup.strings_at, suffix_dedup._windows):
+        monkeypatch.setattr(f, "__defaults__", (5,))
+    rng = random.Random(12)
+    phrase, long = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(45))
+    other = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))
+    rows = corpus + [(100 + i, f"{other()} {phrase} {other()}") for i in range(8)] + [(200 + i, f"{other()} {long} {other()}") for i in range(8)]
+    assert table(remove_repeated_bytes(frame(rows), group_rows=3), *BYTES) == brute.suffix_dedup(rows)
