@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import check_warehouse, documents, materialize, n_partitions, packed_by_row, unpacked, with_row_ids
-from plumbline.llm.hashing import ANCHORS, OTHER_VALUES, anchors, byte_groups, dealt_anchors, firsts, marked_hot, merged, mix, numbered, prefix, run_hashes, spread, whole_groups, word_hashes
+from plumbline.llm.common import check_warehouse, documents, materialize, n_partitions, new_path, packed_by_row, remove, unpacked, with_row_ids
+from plumbline.llm.hashing import ANCHORS, OTHER_VALUES, SLICE, anchors, byte_groups, dealt_anchors, firsts, marked_hot, merged, mix, numbered, prefix, run_hashes, runs_of, spread, whole_groups, word_hashes
 
 WINDOW, GRAM = 35, 8
 #: An anchor's place, how many windows lie before it and how many it serves, in one number.
 _PACK = 64
+#: Bytes of stretches that a task hashes at a time.
+_TEXT = 1 << 21
 RESULT = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 
 
@@ -52,7 +54,7 @@ def fingerprints(window: int, gram: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints, kept as bucketed tables of the session's warehouse.
+    """Sorted immutable runs of fingerprints, kept as bucketed tables: in the folder for intermediate tables, or by name in the warehouse.
 
     An index with a ``name`` outlives the call: made again under that name, window and anchor, in this or a later
     session of the same catalog, it goes on from the runs that are there. Adding a batch once more, after a job
@@ -66,15 +68,27 @@ class FingerprintIndex:
             raise ValueError("the name of an index has to be a plain table name")
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.buckets = n_partitions(spark)
+        self.paths: dict[str, str] = {}  # of the runs outside the warehouse
+        self.named = name is not None
         self.name = f"{name.lower()}_{window}_{gram}_run" if name else f"plumbline_run_{uuid.uuid4().hex}"
         self.runs = sorted(t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")) if name else []
 
     def _write(self, rows: DataFrame) -> str:
-        check_warehouse(self.spark)
         table = f"{self.name}_{uuid.uuid4().hex}"  # what a failed job leaves behind is never in the way
-        rows.repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").sortBy("k").saveAsTable(table)
+        out = rows.repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").sortBy("k")
+        if self.named:
+            check_warehouse(self.spark)
+        else:
+            self.paths[table] = new_path(self.spark, "run")
+            out = out.option("path", self.paths[table])
+        out.saveAsTable(table)
         return table
 
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {run}")
+        if run in self.paths:
+            remove(self.spark, self.paths.pop(run))
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch (_rid, text); the fingerprint rows, old and new, that it shares with itself or with history."""
         new = self._write(batch.select("_rid", "text").mapInArrow(fingerprints(self.window, self.gram), ANCHORS))
@@ -99,65 +113,71 @@ class FingerprintIndex:
                 whole = whole.union(self.spark.table(run))
             merged = self._write(whole)
             for run in self.runs:
-                self.spark.sql(f"DROP TABLE {run}")
+                self._drop(run)
             self.runs = [merged]
 
     def drop(self) -> None:
         for run in self.runs:
-            self.spark.sql(f"DROP TABLE {run}")
+            self._drop(run)
         self.runs = []
 
 
-def stretches_of(window: int):
-    """(h, _rid, first, last, weight, piece): the words of all windows that each candidate anchor serves.
+STRETCHES = "h long, _rid long, first long, last long, weight long, piece binary"
+
+
+def _stretches(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]]) -> pa.RecordBatch:
+    *columns, pieces = zip(*parts)
+    arrays = [pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in columns]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([p for some in pieces for p in some], pa.binary())], ["h", "_rid", "first", "last", "weight", "piece"])
+
+
+def _told(row: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple:
+    """Ranges of starts of repeated windows as rows without a piece."""
+    r, a, b = merged(row, first, last + window)
+    return spread(r), r, a, b - window, np.zeros(len(r), np.int64), [None] * len(r)
+
+
+def stretches_of(window: int, rows: int = SLICE):
+    """(h, _rid, first, last, weight, piece): the words of all windows that each candidate anchor serves, some ``rows`` anchors at a time.
 
     A piece is the words from the first window's first to the last window's last, joined by one space. Of
-    equal stretches in a batch only one is passed on, with weight 2: all its windows are repeated. The
+    equal stretches among these only one is passed on, with weight 2: all its windows are repeated. The
     others come as rows without a piece, merged to ranges of window starts from ``first`` to ``last``. So
     a stretch that a third of all documents share, or one document repeats, reaches a task a few times only.
 
-    What a hot anchor has left, stretches with different surroundings, is split into its windows: each goes by
-    a hash of its own words, so that equal windows still meet and all others spread.
+    A hot anchor's stretches go by a hash of their own words, with their weight negated to say so: equal ones meet, all others spread.
     """
 
+    def distinct(held: list[tuple]) -> pa.RecordBatch:
+        key, row, first, last, hot = map(np.concatenate, list(zip(*held))[:5])
+        pieces = [p for some in held for p in some[5]]
+        kept, often, others = firsts(numbered(key.tolist(), pieces), row, first)
+        weight, hot = np.minimum(often, 2), hot[kept]
+        pieces = [pieces[k] for k in kept]
+        key = key[kept]
+        key[hot] = np.fromiter((xxhash.xxh3_64_intdigest(pieces[k]) for k in np.flatnonzero(hot)), np.uint64, hot.sum()).view(np.int64)
+        return _stretches([(key, row[kept], first[kept], last[kept], np.where(hot, -weight, weight), pieces), _told(row[others], first[others], last[others], window)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, found = batch.column(0).to_numpy(), batch.column(1)
-            keys, rids, firsts_, counts, hots, pieces = [], [], [], [], [], []
+            held, n = [], 0
             for i, b in enumerate(unpacked(batch.column(2), batch.column(3))):
                 words = b.split()
                 text, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
                 key, at, hot = (found[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "at", "hot"))
-                first, n = at // (_PACK * _PACK) - at // _PACK % _PACK, at % _PACK + 1
-                pieces += [text[x:y] for x, y in zip(np.r_[0, ends][first].tolist(), (ends[first + n + window - 2] - 1).tolist())]
-                keys.append(key)
-                rids.append(np.full(len(key), rid[i]))
-                firsts_.append(first)
-                counts.append(n)
-                hots.append(hot)
-            if not keys:
-                continue
-            key, row, first, n, hot = map(np.concatenate, (keys, rids, firsts_, counts, hots))
-            kept, often, others = firsts(numbered(key.tolist(), pieces), row, first)
-            split, weight = kept[hot[kept]], np.minimum(often, 2)
-            row2, first2, weight2, pieces2 = np.repeat(row[split], n[split]), [], np.repeat(weight[hot[kept]], n[split]), []
-            for k in split:
-                words = pieces[k].split(b" ")
-                first2 += range(first[k], first[k] + n[k])
-                pieces2 += [b" ".join(words[i : i + window]) for i in range(n[k])]
-            first2 = np.array(first2, dtype=np.int64)
-            key2 = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pieces2), np.uint64, len(pieces2)).view(np.int64)
-            same2 = numbered(key2.tolist(), pieces2)
-            kept2, _, others2 = firsts(same2, row2, first2)
-            total2 = np.minimum(np.bincount(same2, weights=weight2, minlength=1)[same2[kept2]], 2).astype(np.int64)
-            weight, kept = weight[~hot[kept]], kept[~hot[kept]]
-            r, a, b = merged(np.r_[row[others], row2[others2]], np.r_[first[others], first2[others2]], np.r_[(first + n - 1 + window)[others], first2[others2] + window])
-            columns = [
-                np.r_[key[kept], key2[kept2], spread(r)], np.r_[row[kept], row2[kept2], r], np.r_[first[kept], first2[kept2], a],
-                np.r_[(first + n - 1)[kept], first2[kept2], b - window], np.r_[weight, total2, np.zeros(len(r), np.int64)],
-            ]
-            strings = [pieces[k] for k in kept] + [pieces2[k] for k in kept2] + [None] * len(r)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(strings, pa.binary())], ["h", "_rid", "first", "last", "weight", "piece"])
+                for k in range(0, len(key), rows):
+                    places = at[k : k + rows]
+                    first = places // (_PACK * _PACK) - places // _PACK % _PACK
+                    last = first + places % _PACK
+                    pieces = [text[x:y] for x, y in zip(np.r_[0, ends][first].tolist(), (ends[last + window - 1] - 1).tolist())]
+                    held.append((key[k : k + rows], np.full(len(places), rid[i]), first, last, hot[k : k + rows], pieces))
+                    n += len(places)
+                    if n >= rows:
+                        yield distinct(held)
+                        held, n = [], 0
+            if held:
+                yield distinct(held)
 
     return run
 
@@ -187,33 +207,73 @@ def repeated(text: bytes, begin: np.ndarray, end: np.ndarray, row: np.ndarray, v
     return hit
 
 
+def _repeated_ranges(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of runs of window starts whose window is also elsewhere, from stretches sorted by anchor."""
+    h, rid, first, last, weight = (table.column(c).to_numpy() for c in ("h", "_rid", "first", "last", "weight"))
+    n = last - first + 1
+    text = b" ".join(table.column("piece").to_pylist())
+    hashes, starts, ends = word_hashes(np.frombuffer(text, dtype=np.uint8), OTHER_VALUES)
+    row = np.repeat(np.arange(len(n)), n)
+    # a piece of n windows has n + window - 1 words, so each piece before has pushed the words window - 1 further
+    at = np.arange(len(row)) + row * (window - 1)
+    pre = prefix(hashes)
+    value = mix(run_hashes(pre, at, at + window) + mix(h.view(np.uint64))[row])
+    hit = np.flatnonzero(repeated(text, starts[at], ends[at + window - 1], row, value, weight[row]))
+    start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)][: len(hit)]
+    a, b = hit[new], hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1][: new.sum()]]
+    return rid[row[a]], start[a], start[b]
+
+
+def _windows(table: pa.Table, window: int, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Of equal stretches of hot anchors all but one are told; the others go on as their windows, each by a hash of its own words."""
+    h, rid, first, last, weight = (table.column(c).to_numpy() for c in ("h", "_rid", "first", "last", "weight"))
+    pieces, n = table.column("piece").to_pylist(), last - first + 1
+    same = numbered(h.tolist(), pieces)
+    kept, _, others = firsts(same, rid, first)
+    total = np.minimum(np.bincount(same, weights=-weight, minlength=1)[same[kept]], 2).astype(np.int64)
+    yield _stretches([_told(rid[others], first[others], last[others], window)])
+    for run in runs_of(n[kept], rows):
+        k, m = kept[run], n[kept[run]]
+        row2, weight2, first2, pieces2 = np.repeat(rid[k], m), np.repeat(total[run], m), [], []
+        for j in k:
+            words = pieces[j].split(b" ")
+            first2 += range(first[j], first[j] + n[j])
+            pieces2 += [b" ".join(words[i : i + window]) for i in range(n[j])]
+        first2 = np.array(first2, dtype=np.int64)
+        key2 = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pieces2), np.uint64, len(pieces2)).view(np.int64)
+        same2 = numbered(key2.tolist(), pieces2)
+        kept2, _, others2 = firsts(same2, row2, first2)
+        total2 = np.minimum(np.bincount(same2, weights=weight2)[same2[kept2]], 2).astype(np.int64)
+        whole = key2[kept2], row2[kept2], first2[kept2], first2[kept2], total2, [pieces2[j] for j in kept2]
+        yield _stretches([whole, _told(row2[others2], first2[others2], first2[others2], window)])
+
+
+def _split(window: int):
+    """Stretches sorted by anchor: as (h, _rid, first, last, weight, piece) the ranges of repeated windows, and the windows of hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["h"], size=_TEXT):
+            whole = pc.is_valid(table.column("piece"))
+            hot = pc.and_(whole, pc.less(table.column("weight"), 0))
+            yield from table.filter(pc.invert(whole)).to_batches()
+            r, a, b = _repeated_ranges(table.filter(pc.and_not(whole, hot)), window)
+            yield _stretches([(spread(r), r, a, b, np.zeros(len(r), np.int64), [None] * len(r))])
+            yield from _windows(table.filter(hot), window)
+
+    return run
+
+
 def _verified(window: int):
     """(_rid, first, last) of runs of window starts whose window is also elsewhere, from rows sorted by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["h"]):
+        for table in whole_groups(batches, ["h"], size=_TEXT):
             whole = pc.is_valid(table.column("piece"))
             told = table.filter(pc.invert(whole))
             if told.num_rows:
                 yield pa.RecordBatch.from_arrays([told.column(c).combine_chunks() for c in ("_rid", "first", "last")], ["_rid", "first", "last"])
-            table = table.filter(whole)
-            if not table.num_rows:
-                continue
-            h, rid, first, last, weight = (table.column(c).to_numpy() for c in ("h", "_rid", "first", "last", "weight"))
-            n = last - first + 1
-            text = b" ".join(table.column("piece").to_pylist())
-            hashes, starts, ends = word_hashes(np.frombuffer(text, dtype=np.uint8), OTHER_VALUES)
-            row = np.repeat(np.arange(len(n)), n)
-            # a piece of n windows has n + window - 1 words, so each piece before has pushed the words window - 1 further
-            at = np.arange(len(row)) + row * (window - 1)
-            pre = prefix(hashes)
-            value = mix(run_hashes(pre, at, at + window) + mix(h.view(np.uint64))[row])
-            hit = np.flatnonzero(repeated(text, starts[at], ends[at + window - 1], row, value, weight[row]))
-            if len(hit):
-                start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]
-                a, b = hit[new], hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(rid[row[a]]), pa.array(start[a]), pa.array(start[b])], ["_rid", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _repeated_ranges(table.filter(whole), window)], ["_rid", "first", "last"])
 
     return run
 
@@ -247,7 +307,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
     agree are compared word for word. Null and empty texts have no word; texts shorter than
     a window stay whole. Rows with null or repeated ids are documents of their own. Other columns are
     not read; an empty table gives an empty result. ``with_text`` False leaves ``kept_text`` null.
-    Anchors found more than ``group_rows`` times are split into their windows.
+    Anchors found more than ``group_rows`` times are split into their windows, once for each distinct stretch.
     """
     spark = docs.sparkSession
     rows, name = with_row_ids(docs.select("doc_id", "text"))
@@ -270,8 +330,10 @@ def _marks(candidates: DataFrame, by_row: DataFrame, window: int, group_rows: in
     """(_rid, marks): the window starts of each document whose window is also elsewhere, in ranges."""
     places = marked_hot(candidates, group_rows).groupBy("_rid").agg(F.collect_set(F.struct("h", "at", "hot")).alias("found"))
     texts = places.join(by_row, "_rid").select("_rid", "found", "size", "packed")
-    stretches = texts.mapInArrow(stretches_of(window), "h long, _rid long, first long, last long, weight long, piece binary")
-    marks = stretches.repartition(n_partitions(by_row.sparkSession), "h").sortWithinPartitions("h").mapInArrow(_verified(window), "_rid long, first long, last long")
+    n = n_partitions(by_row.sparkSession)
+    stretches = texts.mapInArrow(stretches_of(window), STRETCHES)
+    stretches = stretches.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_split(window), STRETCHES)
+    marks = stretches.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_verified(window), "_rid long, first long, last long")
     return marks.groupBy("_rid").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
 
 

@@ -1,6 +1,7 @@
 """Suffix, window and near-duplicate removal against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from tables import SMALL
-from plumbline.llm import components, hashing, queries, suffix_dedup
+from plumbline.llm import components, hashing, queries, suffix_dedup, window_dedup
 from plumbline.llm.components import connected_components
 from plumbline.llm.near_dedup import drop_near_duplicates, label_near_duplicates
 from plumbline.llm.suffix_dedup import later_windows, remove_repeated_bytes
@@ -334,11 +335,37 @@ def test_bytes_of_hot_anchors_come_in_slices():
 
 
 def test_slices_of_a_few_rows(frame, corpus, monkeypatch):
-    """However strings and windows are cut, results are the same."""
-    for f in (suffix_dedup.strings_at, suffix_dedup._windows):
+    """However strings, stretches and windows are cut, results are the same."""
+    for f in (suffix_dedup.strings_at, suffix_dedup._windows, window_dedup.stretches_of, window_dedup._windows):
         monkeypatch.setattr(f, "__defaults__", (5,))
     rng = random.Random(12)
     phrase, long = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(45))
     other = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))
     rows = corpus + [(100 + i, f"{other()} {phrase} {other()}") for i in range(8)] + [(200 + i, f"{other()} {long} {other()}") for i in range(8)]
     assert table(remove_repeated_bytes(frame(rows), group_rows=3), *BYTES) == brute.suffix_dedup(rows)
+    assert table(remove_repeated_windows(frame(rows), group_rows=3), *WORDS) == brute.window_dedup(rows)
+
+
+def test_an_index_without_a_name_needs_no_warehouse(spark, frame, corpus, monkeypatch):
+    """Its runs lie in the folder for intermediate tables while they are used, and are gone after it."""
+    monkeypatch.setattr(window_dedup, "check_warehouse", lambda spark: pytest.fail("the warehouse is asked for"))
+    warehouse = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    before = set(warehouse.glob("plumbline_run_*"))
+    index = FingerprintIndex(spark)
+    index.add(frame(corpus, extra=False).selectExpr("doc_id as _rid", "text"))
+    paths = [Path(p.removeprefix("file://")) for p in index.paths.values()]
+    assert len(paths) == len(index.runs) == 1 and list(paths[0].glob("*.parquet")) and set(warehouse.glob("plumbline_run_*")) == before
+    index.drop()
+    assert not paths[0].exists() and not index.paths
+    assert table(remove_repeated_windows(frame(corpus)), *WORDS) == brute.window_dedup(corpus)
+
+
+def test_groups_are_cut_by_bytes():
+    """Long words: a table of stretches is cut by its bytes, between keys, with no row lost."""
+    pieces = [bytes([97 + i % 26]) * 50_000 for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i // 3 for i in range(400)]), pa.array(pieces, pa.binary())], ["h", "piece"])
+    tables = list(hashing.whole_groups(iter([batch]), ["h"], size=1 << 20))
+    assert [p for t in tables for p in t.column("piece").to_pylist()] == pieces
+    assert max(t.nbytes for t in tables) < 2 << 20
+    keys = [set(t.column("h").to_pylist()) for t in tables]
+    assert sum(map(len, keys)) == len(set().union(*keys))
